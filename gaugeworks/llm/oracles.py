@@ -36,4 +36,58 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op2_mixing": OP2}
+
+def _op4() -> str:
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    fits = {r: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for r, h, p in (("net/", "net", "/"), ("example.net/en/", "example.net", "/en/"), ("example.com/de/", "example.com", "/de/"), ("org/fr/", "org", "/fr/"))}
+    out = f"""
+WITH raw AS (SELECT page_id, coalesce({rest}, '') AS rest FROM pages),
+cut AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM raw),
+u AS (SELECT *, CASE WHEN {fits["example.com/de/"]} THEN 'example.com/de/' WHEN {fits["example.net/en/"]} THEN 'example.net/en/' WHEN {fits["org/fr/"]} THEN 'org/fr/' WHEN {fits["net/"]} THEN 'net/' END AS rule,
+      list_transform(string_split(substr(path, 2), '/'), lambda s: CASE WHEN length(s) > 24 THEN '{{slug}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS segments FROM cut),
+g AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS given, array_to_string(segments, '/') AS shape FROM u),
+t0 AS (SELECT host, shape, any_value(segments) AS segments, '' AS template, count(*)::DOUBLE AS n, count(given)::DOUBLE AS labelled, count(*) FILTER (given = 'block')::DOUBLE AS bad FROM g GROUP BY host, shape)"""
+    for k in (1, 2, 3):
+        out += f""",
+h{k} AS (SELECT *, coalesce(segments[{k}], '') AS child, greatest(len(segments) - {k}, 0) * n AS below FROM t{k - 1}),
+c{k} AS (SELECT host, template, child, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad, sum(below) AS below FROM h{k} GROUP BY ALL),
+n{k} AS (SELECT host, template, count(*) AS children, sum(n) AS an, sum(labelled) AS al, sum(bad) AS ab, sum(below) AS aw FROM c{k} GROUP BY ALL),
+d{k} AS (SELECT host, template, child, CASE WHEN (children > 20 AND n * 20 < an) OR (labelled > 0 AND abs(below * an - aw * n) * 2 <= n * an
+         AND (bad * al - ab * labelled) * (bad * al - ab * labelled) <= 4 * ab * (al - ab) * labelled) THEN '*' ELSE child END AS token FROM c{k} JOIN n{k} USING (host, template)),
+t{k} AS (SELECT host, shape, segments, template || '/' || token AS template, n, labelled, bad FROM h{k} JOIN d{k} USING (host, template, child))"""
+    return out + """,
+f AS (SELECT host, shape, template || '/' || array_to_string(segments[4:], '/') AS template, labelled, bad FROM t3),
+p AS (SELECT host, template, (sum(bad) + 2) / (sum(labelled) + 4) AS purity FROM f GROUP BY ALL),
+m AS (SELECT host, shape, purity >= 0.8 AS reject FROM f JOIN p USING (host, template))
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict FROM g LEFT JOIN m USING (host, shape)
+"""
+
+
+def _op5() -> str:
+    esc = lambda x: _controls(f"replace({x}, chr(92), chr(92) || chr(92))")
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+      sum(length('<|turn|><|text|><|end|>') + length({esc("role")}) + length({esc("text")})) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
+"""
+
+
+def _controls(sql: str) -> str:
+    for c in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+        sql = f"replace({sql}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return sql
+
+
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN strlen(html) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op2_mixing": OP2, "op4_urls": _op4(), "op5_chat": _op5(), "op8_warc": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, language, mixing, secrets, simhash
+from gaugeworks.llm import chat, decontaminate, embeddings, language, mixing, secrets, simhash, suffixes, urls, warc
 from gaugeworks.llm._common import table
 from gaugeworks.llm.oracles import ORACLES  # noqa: F401
 
@@ -28,6 +28,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: A conversation that says control strings, in another layout than the table's.
+CONTROL = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = spark.range(1).select((F.col("id") - 1).alias("conv_id"), F.lit(CONTROL).alias("record"))
+    extra = chat.turns_of_records(records).select("conv_id", F.inline("turns"))
+    turns = chat.turns_of_rows(table(spark, sf_dir, "conversations")).unionByName(extra)
+    return chat.digest(chat.formatted(turns))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -35,8 +54,20 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held.alias("held_out")), model, keep_text=False)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash, op7_language, op9_secrets)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_mixing, op3_simhash, op4_urls, op5_chat, op6_embeddings, op7_language, op8_warc, op9_secrets, op10_suffixes)
+}
