@@ -1,11 +1,11 @@
 """Language identification with spans for mixed-language texts.
 
-Words are runs of letters, lower-cased. The script of a word's first letter (by code point
-ranges) narrows the candidates to the languages that use it. A word scores by language with
-smoothed log probabilities of its letter n-grams in a hashed table of fixed size, plus the
-whole word as one more feature. Viterbi over the words, with a penalty for each switch,
-labels spans; the language with most letters under its label is the prediction, and its part
-of the letters the score.
+Words are runs of letters and marks, lower-cased by code point. The script of a word's first
+character (by code point ranges) narrows the candidates to the languages that use it. A word
+scores by language with smoothed log probabilities of its letter n-grams (2 to 4, with word
+ends) and of the whole word, in a hashed table of fixed size. Viterbi over the words, with a
+penalty for each switch, labels spans; the language with most letters under its label is the
+prediction, and its part of the letters the score. All of it runs on arrays of code points.
 
 Fitting takes a documented sample: of the labelled rows, those whose seeded hash is below
 `sample` / (number of labelled rows), so about `sample` documents whatever the input's size.
@@ -17,10 +17,9 @@ text is. Ties go to the language first in code point order. Repeated rows count
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,9 @@ BUCKETS = 1 << 16
 SAMPLE = 8000
 SWITCH = 6.0
 UNKNOWN = "und"
-_CACHE_WORDS = 100_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Code points that are scored at a time, and bytes of text that are labelled at a time.
+_BLOCK, _SLICE = 1 << 18, 1 << 21
+_CODE_POINTS = 0x110000
 #: Scripts by code point ranges (start, end exclusive).
 SCRIPTS = {
     "latin": [(0x41, 0x250), (0x1E00, 0x1F00), (0x2C60, 0x2C80), (0xA720, 0xA800)],
@@ -54,23 +54,76 @@ SCRIPTS = {
     "han": [(0x3400, 0xA000), (0x20000, 0x32000)],
 }
 _SCRIPT_NAMES = [*SCRIPTS, "other"]
-_BOUNDS = sorted((a, b, i) for i, ranges in enumerate(SCRIPTS.values()) for a, b in ranges)
 
 
-def script(char: str) -> int:
-    c = ord(char)
-    return next((i for a, b, i in _BOUNDS if a <= c < b), len(SCRIPTS))
-
-
-def features(word: str) -> list[int]:
-    """Buckets of the letter n-grams (1 to 4, with word ends) and of the whole word."""
-    w = f"^{word}$"
-    grams = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in [*word, *grams, f"={word}"]]
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: 1 for letters and 2 for marks, the lower case, and the script's number."""
+    kind, lower, script = np.zeros(_CODE_POINTS, np.uint8), np.arange(_CODE_POINTS, dtype=np.uint32), np.full(_CODE_POINTS, len(SCRIPTS), np.uint8)
+    for c in range(0x33480):
+        x = chr(c)
+        if x.isalpha():
+            kind[c] = 1
+            if len(y := x.lower()) == 1:
+                lower[c] = ord(y)
+        elif unicodedata.category(x)[0] == "M":
+            kind[c] = 2
+    for i, ranges in enumerate(SCRIPTS.values()):
+        for a, b in ranges:
+            script[a:b] = i
+    return kind, lower, script
+
+
+class Words:
+    """The words of some texts: place, length, letters, script and text of each."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        kind, lower, script = _tables()
+        points = [np.frombuffer(f"\n{t or ''}".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        self.text_starts = np.cumsum([1, *(len(p) for p in points)])
+        points = np.concatenate([*points, np.full(5, 10, np.uint32)])
+        kinds = kind[points]
+        self.inside = kinds > 0
+        self.points = np.where(self.inside, lower[points], 0).astype(np.uint64)
+        edge = np.flatnonzero(self.inside[1:] != self.inside[:-1]) + 1
+        self.first, self.end = edge[::2], edge[1::2]
+        letters = np.concatenate([[0], np.cumsum(kinds == 1)])
+        self.letters = letters[self.end] - letters[self.first]
+        self.script = script[points[self.first]]
+        self.text = np.searchsorted(self.text_starts, self.first, "right") - 1
+        #: Words of text i are from starts[i] to starts[i + 1].
+        self.starts = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+        """(words, place of each word's first n-gram, [(bucket, valid) of the n-grams from every place], bucket of each whole word), some words at a time."""
+        at = 0
+        while at < len(self.first):
+            to = max(at + 1, int(np.searchsorted(self.end, self.first[at] + _BLOCK, "right")))
+            lo, hi = int(self.first[at]) - 1, int(self.end[to - 1])
+            x, ok = self.points[lo : hi + 4], self.inside[lo : hi + 4]
+            n = hi - lo
+            with np.errstate(over="ignore"):
+                two = x[:-1] * _M1 + x[1:]
+                three = two[:-1] * _M1 + x[2:]
+                four = three[:-1] * _M1 + x[3:]
+                grams = [(_bucket(two[:n]), None), (_bucket(three[:n] ^ _M2), ok[1 : n + 1]), (_bucket(four[:n] ^ _M3), ok[1 : n + 1] & ok[2 : n + 2])]
+                place = self.first[at:to] - 1 - lo
+                index = np.arange(n, dtype=np.uint64) - np.repeat(place, np.diff(np.append(place, n))).astype(np.uint64)
+                whole = np.add.reduceat(_mixed(x[:n] + index * _M2) * (x[:n] > 0), place)
+            yield slice(at, to), place, grams, _bucket(whole)
+            at = to
+
+
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M2
+    return x ^ (x >> np.uint64(29))
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return ((x ^ (x >> np.uint64(32))) * _M1 >> np.uint64(64 - 16)).astype(np.int64)
 
 
 class Model:
@@ -83,55 +136,34 @@ class Model:
         share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
         self.allowed = share >= 0.01
         self.allowed[~self.allowed.any(axis=1)] = True
-        self.cache: dict[str, int] = {}
-        self.scores = np.zeros((0, len(languages)), np.float32)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "scores": self.scores[:0]}
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Row numbers in `scores` of the words, scoring the new ones."""
-        cache, new = self.cache, []
-        if len(cache) > _CACHE_WORDS:
-            cache.clear()
-            self.scores = self.scores[:0]
-        at = []
-        for w in words:
-            i = cache.get(w)
-            if i is None:
-                i = cache[w] = len(cache)
-                new.append(w)
-            at.append(i)
-        if new:
-            self.scores = np.concatenate([self.scores, np.array([self.score(w) for w in new], np.float32)])
-        return np.array(at, dtype=np.int64)
-
-    def score(self, word: str) -> np.ndarray:
-        """Mean log probability by language, weighed by the number of letters up to 8; other scripts' languages are out."""
-        s = self.log[features(word)].mean(axis=0) * min(len(word), 8)
-        return np.where(self.allowed[script(word[0])], s - s.max(), -50.0)
-
-    def label(self, texts: list[str | None], switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, labels, letters): Viterbi labels of all words, those of text i from starts[i] to starts[i + 1]."""
-        found = [words_of(t) for t in texts]
-        lengths = np.array([len(w) for w in found])
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        flat = [w for ws in found for w in ws]
-        letters = np.array([len(w) for w in flat], dtype=np.int64)
-        # Without a copy of its own, the cache could be cleared between two texts.
-        rows = self.rows(flat)
-        scores = self.scores[rows] if len(rows) else np.zeros((0, len(self.languages)), np.float32)
-        return starts, viterbi(scores, starts, switch), letters
+
+    def scores(self, words: Words) -> np.ndarray:
+        """By word and language: mean log probability times the word's length up to 8, best language 0; other scripts' languages are out."""
+        out = np.zeros((len(words.first), len(self.languages)), np.float32)
+        for part, place, grams, whole in words.blocks():
+            total = self.log[grams[0][0]]
+            number = np.ones(len(total), np.float32)
+            for bucket, valid in grams[1:]:
+                total += self.log[bucket] * valid[:, None]
+                number += valid
+            length = (words.end - words.first)[part]
+            mean = (np.add.reduceat(total, place, axis=0) + self.log[whole]) / (np.add.reduceat(number, place) + 1)[:, None]
+            out[part] = mean * np.minimum(length, 8)[:, None]
+        out -= out.max(axis=1, keepdims=True) if len(self.languages) else 0
+        out[~self.allowed[words.script]] = -50.0
+        return out
+
+    def label(self, words: Words, switch: float = SWITCH) -> np.ndarray:
+        """Viterbi labels of all words."""
+        return viterbi(self.scores(words), words.starts, switch)
 
     def predict(self, texts: list[str | None], switch: float = SWITCH) -> tuple[list[str], list[float]]:
-        if not self.languages:
+        if not self.languages or not texts:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        starts, labels, letters = self.label(texts, switch)
-        n = len(self.languages)
-        doc = np.repeat(np.arange(len(texts)), np.diff(starts))
-        mass = np.bincount(doc * n + labels, weights=letters, minlength=len(texts) * n).reshape(-1, n)
+        words, n = Words(texts), len(self.languages)
+        mass = np.bincount(words.text * n + self.label(words, switch), weights=words.letters, minlength=len(texts) * n).reshape(-1, n)
         best, total = mass.argmax(axis=1), mass.sum(axis=1)
-        top = mass[np.arange(len(texts)), best] if len(texts) else total
+        top = mass[np.arange(len(texts)), best]
         return [self.languages[b] if t else UNKNOWN for b, t in zip(best, total, strict=True)], (top / np.maximum(total, 1)).tolist()
 
 
@@ -179,23 +211,26 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         rows = rows.filter(F.shiftright(F.xxhash64(F.lit("language"), F.xxhash64("text"), "lang"), 1).between(-(1 << 61), -(1 << 61) + limit))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: Counter[tuple[int, int]] = Counter()
+        got = np.zeros((len(languages), BUCKETS + len(_SCRIPT_NAMES)), np.int64)
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for lang, text in zip(langs, batch.column("text").to_pylist(), strict=True):
-                k = number[lang]
-                for w, times in Counter(words_of(text)).items():
-                    for f in features(w):
-                        got[k, f] += times
-                    got[k, -1 - script(w[0])] += times
-        keys = [*got]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([f for _, f in keys], pa.int32()), pa.array([got[k] for k in keys], pa.int64())], ["k", "f", "n"])
+            for part in text_slices(batch, limit=_SLICE):
+                langs, words = np.array([number[x] for x in part.column("lang").to_pylist()]), Words(part.column("text").to_pylist())
+                lang = langs[words.text]
+                np.add.at(got, (lang, BUCKETS + words.script.astype(np.int64)), 1)
+                for words_of, place, grams, whole in words.blocks():
+                    np.add.at(got, (lang[words_of], whole), 1)
+                    of = np.repeat(lang[words_of], np.diff(np.append(place, len(grams[0][0]))))
+                    for bucket, valid in grams:
+                        use = slice(None) if valid is None else valid
+                        got += np.bincount((of[use] * got.shape[1] + bucket[use]), minlength=got.size).reshape(got.shape)
+        k, f = np.nonzero(got)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(f, pa.int32()), pa.array(got[k, f], pa.int64())], ["k", "f", "n"])
 
     counts, scripts = np.zeros((BUCKETS, len(languages))), np.zeros((len(_SCRIPT_NAMES), len(languages)))
     summed = rows.select("text", "lang").mapInArrow(count, "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n"))
     got = summed.toArrow().to_pydict()
     for k, f, n in zip(got["k"], got["f"], got["n"], strict=True):
-        (scripts if f < 0 else counts)[-1 - f if f < 0 else f, k] += n
+        (scripts if f >= BUCKETS else counts)[f % BUCKETS, k] += n
     return Model(languages, counts, scripts)
 
 
@@ -209,7 +244,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, keep_text: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Model = shared.value
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=_SLICE):
                 langs, scores = held.predict(part.column("text").to_pylist(), switch)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
@@ -217,13 +252,11 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, keep_text: bo
 
 
 def spans(text: str, model: Model, switch: float = SWITCH) -> list[tuple[int, int, str]]:
-    """(start, end, language) of the labelled stretches of one text, in code points of the lower-cased text."""
-    _, labels, _ = model.label([text], switch)
-    out: list[tuple[int, int, str]] = []
-    for m, k in zip(_WORD.finditer(text.lower()), labels.tolist(), strict=True):
-        lang = model.languages[k]
-        if out and out[-1][2] == lang:
-            out[-1] = (out[-1][0], m.end(), lang)
+    """(start, end, language) of the labelled stretches of one text, in code points."""
+    words, out = Words([text]), []
+    for a, b, k in zip((words.first - 1).tolist(), (words.end - 1).tolist(), model.label(words, switch).tolist(), strict=True):
+        if out and out[-1][2] == model.languages[k]:
+            out[-1] = (out[-1][0], b, out[-1][2])
         else:
-            out.append((m.start(), m.end(), lang))
+            out.append((a, b, model.languages[k]))
     return out
