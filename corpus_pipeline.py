@@ -35,7 +35,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their number of repetitions."""
-    return mixing.mix(docs, carry=("doc_id", "text", "lang", "n_chars")).filter("repeats > 0")
+    return mixing.mix_documents(docs)
 
 
 STAGES = [

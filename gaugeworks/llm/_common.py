@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds at a time.
@@ -44,7 +45,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch that hold about `limit` bytes of text, one row at least."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:
@@ -70,3 +71,15 @@ def clear_of(df: DataFrame, *names: str) -> None:
 def count_words(text: str = "text") -> F.Column:
     """Number of runs of characters other than space and \\t \\n \\v \\f \\r; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a 128-bit key of (doc_id, source if there, text): equal only for rows that agree in them."""
+    clear_of(docs, "_k1", "_k2", "_n")
+    parts = [c for c in ("doc_id", "source", "text") if c in docs.columns]
+    return docs.withColumns({"_k1": F.xxhash64(F.lit(1), *parts), "_k2": F.xxhash64(F.lit(2), *reversed(parts))})
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """A number `_n` for each row of a key, so that repeated rows meet their decisions one by one."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(*(order or ("_k1",)))))

@@ -34,7 +34,7 @@ SAMPLE = 8000
 SWITCH = 6.0
 UNKNOWN = "und"
 #: Code points that are scored at a time, and bytes of text that are labelled at a time.
-_BLOCK, _SLICE = 1 << 18, 1 << 21
+_BLOCK, _SLICE = 1 << 17, 1 << 20
 _CODE_POINTS = 0x110000
 #: Scripts by code point ranges (start, end exclusive).
 SCRIPTS = {

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._common import clear_of, count_words, materialize
+from gaugeworks.llm._common import clear_of, count_words, keyed, materialize, numbered
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -52,20 +52,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", fill.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the carried columns, source, size, source_size, target, repeats, taken."""
-    clear_of(docs, "size", "source_size", "target", "repeats", "taken")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, the keys, source, size, source_size, target, repeats, taken."""
     key: Column = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    names = list(dict.fromkeys(["doc_id", *carry]))
-    sized = materialize(docs.select(*names, "source", count_words().alias("size")), "mix-sizes")
-    keyed = sized.withColumn("_key", key).withColumn("_block", F.substring("_key", 1, 3))
-    blocks = keyed.groupBy("source", "_block").agg(F.sum("size").alias("_words"))
+    sized = materialize(docs.select("doc_id", *keys, "source", count_words().alias("size")), "mix-sizes")
+    keyed_rows = sized.withColumn("_key", key).withColumn("_block", F.substring("_key", 1, 3))
+    blocks = keyed_rows.groupBy("source", "_block").agg(F.sum("size").alias("_words"))
     ahead = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_words").over(ahead), F.lit(0)))
     goal = targets(sized.select("source", "size"), weights, share, max_epochs)
     blocks = blocks.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_before", "source_size", "target")
     inside = Window.partitionBy("source", "_block").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = keyed.withColumn("_ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    ordered = keyed_rows.withColumn("_ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = ordered.join(blocks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - F.col("_whole") * F.col("source_size")
@@ -74,5 +72,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return (
         joined.withColumn("_whole", whole)
         .withColumn("repeats", repeats)
-        .select(*names, "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+        .select("doc_id", *keys, "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
     )
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target, repeats and taken. Texts move once."""
+    clear_of(docs, "size", "source_size", "target", "repeats", "taken")
+    whole = keyed(docs)
+    chosen = mix(whole, weights, share, max_epochs, ("_k1", "_k2")).select("_k1", "_k2", "size", "source_size", "target", "repeats", "taken")
+    out = numbered(whole).join(numbered(chosen, "repeats"), ["_k1", "_k2", "_n"]).filter("repeats > 0")
+    return out.select(*docs.columns, "size", "source_size", "target", "repeats", "taken")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm._common import as_bytes, clear_of, materialize, text_slices
+from gaugeworks.llm._common import as_bytes, clear_of, keyed, materialize, numbered, text_slices
 from gaugeworks.llm.components import components
 
 SHINGLE = 3
@@ -149,13 +149,16 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One document of each class, unchanged: the one with the smallest doc_id (null last), one row of repeated ones."""
-    clear_of(docs, "_row")
-    marked = materialize(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), shingle, keep_text=True), "simhash-docs")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    """One document of each class, unchanged: the one with the smallest doc_id (null last), one row of repeated ones.
+
+    Texts are fingerprinted where they are read, and move once, to meet the keys that stay.
+    """
+    whole = keyed(docs)
+    marked = materialize(fingerprints(whole.select("doc_id", "_k1", "_k2", "text"), shingle), "simhash-fp")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
     groups = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "simhash-groups")
-    kept = _rooted(groups, bits).groupBy("root").agg(F.min("first").alias("first")).select("first._row")
-    return marked.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = _rooted(groups, bits).groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2")
+    return numbered(whole).filter("_n = 1").join(kept, ["_k1", "_k2"], "left_semi").select(*docs.columns)
 
 
 def hex_digits(fp: str = "fp") -> Column:

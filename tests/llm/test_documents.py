@@ -228,7 +228,7 @@ def test_empty_tables(spark):
     assert language.predict(spark.createDataFrame(ODD, DOCS), model).filter("lang_pred <> 'und'").count() == 0
 
 
-@pytest.mark.parametrize(("op", "column"), [(lambda d: simhash.classes(d), "fp"), (lambda d: secrets.scan(d), "base_spans"), (lambda d: mixing.mix(d), "taken"), (lambda d: decontaminate.scan(d, d), "n_words")])
+@pytest.mark.parametrize(("op", "column"), [(lambda d: simhash.classes(d), "fp"), (lambda d: secrets.scan(d), "base_spans"), (lambda d: mixing.mix_documents(d), "taken"), (lambda d: decontaminate.scan(d, d), "n_words")])
 def test_clashing_columns_are_refused(spark, op, column):
     with pytest.raises(ValueError, match=column):
         op(spark.createDataFrame(ODD, DOCS).withColumn(column, F.lit(1)))
@@ -238,7 +238,11 @@ def test_extra_columns(spark):
     docs = spark.createDataFrame(ODD, DOCS).withColumns({"key": F.lit(1), "u": F.lit(2), "root": F.lit(3), "item": F.lit("x"), "count": F.lit(0)})
     assert simhash.keep_first(docs).columns == docs.columns
     assert simhash.keep_first(docs).count() == 5
-    assert mixing.mix(docs, carry=("doc_id", "key", "root")).count() == 7
+    assert mixing.mix(docs).count() == 7
+    kept = mixing.mix_documents(docs)
+    assert kept.columns == [*docs.columns, "size", "source_size", "target", "repeats", "taken"]
+    taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    assert kept.agg(F.sum("taken")).first()[0] == taken and kept.filter("doc_id = 2").count() == 0
 
 
 def test_mixing_reaches_targets(spark):
