@@ -318,7 +318,8 @@ def latency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of the milliseconds between readings of a sensor; rounded, as sums run in any order."""
-    rows = in_range(spark, sf_dir).withColumn("timestamp_ms", F.floor(F.col("timestamp_ns") / 1_000_000))
+    t = F.col("timestamp_ns")
+    rows = in_range(spark, sf_dir).withColumn("timestamp_ms", F.round((t - F.pmod(t, F.lit(1_000_000))) / 1_000_000).cast("long"))
     got = metrics.jitter(metrics.intervals(rows, BY_SENSOR, "timestamp_ms", "interval"), "interval", ("sensor_id",))
     return got.select("sensor_id", "count", F.round("mean_ns", 3).alias("mean"), F.round("std_dev_ns", 3).alias("std_dev"), F.col("min_ns").alias("least"), F.col("max_ns").alias("most"), F.col("range_ns").alias("range"), F.round("coefficient_of_variation", 6).alias("variation"))
 

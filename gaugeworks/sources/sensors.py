@@ -297,7 +297,7 @@ class _StreamReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = min(start["seq"] + self.batch, self.limit)
-        return _rows(self.imu, start["seq"], end), {"seq": end}
+        return iter(list(_rows(self.imu, start["seq"], end))), {"seq": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return _rows(self.imu, start["seq"], end["seq"])
