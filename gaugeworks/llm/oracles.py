@@ -90,4 +90,36 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_dig
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op2_mixing": OP2, "op4_urls": _op4(), "op5_chat": _op5(), "op8_warc": OP8}
+OP6 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+OP10 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+hit AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS fresh FROM g JOIN m USING (s) WHERE least < doc_id),
+num AS (SELECT doc_id, p, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit),
+run AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM num GROUP BY doc_id, k),
+edge AS (SELECT doc_id, b AS lo, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS hi FROM run UNION ALL SELECT doc_id, 0, min(a) FROM run GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, coalesce(2 * (hi - lo), length(h))), '' ORDER BY lo) AS h FROM edge JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1,
+    "op2_mixing": OP2,
+    "op4_urls": _op4(),
+    "op5_chat": _op5(),
+    "op6_embeddings": OP6,
+    "op8_warc": OP8,
+    "op10_suffixes": OP10,
+}

@@ -29,7 +29,7 @@ def docs_of(spark, sf=SF):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op2_mixing"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_mixing", "op10_suffixes"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

@@ -15,10 +15,10 @@ from gaugeworks.llm.oracles import ORACLES
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("name", ["op4_urls", "op5_chat", "op8_warc"])
+@pytest.mark.parametrize("name", ["op4_urls", "op5_chat", "op6_embeddings", "op8_warc"])
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
