@@ -1,12 +1,20 @@
-"""Tables written to the folder that the driver and all executors share."""
+"""Tables written to the folder that the driver and all executors share.
+
+They live as long as the driver needs them: `release` drops them early, and what is left
+goes when the driver ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a session without it, as in tests, gets a folder of its own."""
@@ -17,9 +25,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder, to be dropped with the others."""
+    if not _made:
+        atexit.register(_at_exit)
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time for `release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Drops what was written since a mark, but for one path. Frames that read it can't be used any more."""
+    gone = [p for p in _made[since:] if p != keep]
+    _made[since:] = [p for p in _made[since:] if p == keep]
+    hadoop = spark._jsc.hadoopConfiguration()
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+
+
+def _at_exit() -> None:
+    if (spark := SparkSession.getActiveSession()) is not None:
+        with contextlib.suppress(Exception):  # the engine may be gone already
+            release(spark)
