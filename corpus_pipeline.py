@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontaminate, language, mixing, secrets, simhash
 from gaugeworks.llm._common import shared_path, table
+from gaugeworks.storage import mark, release
 
 #: A document goes if the language of most of its letters holds less than this part of them.
 LEAST_SCORE = 0.5
@@ -51,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage has written is dropped once the next one's input stands."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         out = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        release(spark, since, keep=out)
     return docs
