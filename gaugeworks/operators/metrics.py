@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.ordered import Stream, running
+from gaugeworks.operators.ordered import Stream, running, with_previous
 
 PERCENTILES = {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99, "p999_ns": 0.999}
 
@@ -78,7 +78,7 @@ def jitter(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def intervals(df: DataFrame, stream: Stream, time: str = "timestamp_ns", out: str = "interval_ns") -> DataFrame:
     """Time since the row before; null for the first."""
-    return df.withColumn(out, F.col(time) - F.lag(time).over(stream.window()))
+    return with_previous(df, stream, time, "_previous").withColumn(out, F.col(time) - F.col("_previous")).drop("_previous")
 
 
 def stage_metrics(df: DataFrame, latency_column: str = "latency_ns", keys: tuple[str, ...] = ("name",)) -> DataFrame:

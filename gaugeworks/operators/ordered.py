@@ -95,10 +95,18 @@ def median_filter(df: DataFrame, stream: Stream, column: str, size: int, out: st
     return lists.withColumn(out, middle).drop("_values")
 
 
+def with_previous(df: DataFrame, stream: Stream, column: str, out: str) -> DataFrame:
+    """Adds the value of the row before; null for the first."""
+    if not stream.spread:
+        return df.withColumn(out, F.lag(column).over(stream.window()))
+    two = framed(df, stream, 2, _rows=F.count(F.lit(1)), _first=F.first(column))
+    return two.withColumn(out, F.when(F.col("_rows") == 2, F.col("_first"))).drop("_rows", "_first")
+
+
 def sequence_gaps(df: DataFrame, stream: Stream, seq: str = "seq", out: str = "dropped") -> DataFrame:
     """Missing sequence numbers just before each row; 0 for the first."""
-    previous = F.lag(seq).over(stream.window())
-    return df.withColumn(out, F.coalesce(F.greatest(F.col(seq) - (previous + 1), F.lit(0)), F.lit(0)))
+    gap = F.greatest(F.col(seq) - (F.col("_previous") + 1), F.lit(0))
+    return with_previous(df, stream, seq, "_previous").withColumn(out, F.coalesce(gap, F.lit(0))).drop("_previous")
 
 
 def stamped(df: DataFrame, stream: Stream, raw: str, out: str = "timestamp_ns", seq: str = "seq") -> DataFrame:

@@ -76,6 +76,7 @@ def test_spread_windows_equal_plain_ones(spark, values, size, parts):
         assert series(ordered.moving_average(df, SPREAD, "value", size), "average") == series(ordered.moving_average(df, ONE, "value", size), "average")
         assert series(ordered.running_status(df, SPREAD), "mean") == series(ordered.running_status(df, ONE), "mean")
         assert series(ordered.numbered(df, SPREAD), "n") == list(range(len(values)))
+        assert series(ordered.with_previous(df, SPREAD, "value", "p"), "p") == [None, *values[:-1]]
         assert series(ordered.moving_average(df, ONE, "value", 1), "average") == values
     finally:
         ordered.CELL = before
@@ -95,6 +96,7 @@ def test_clock_and_gaps(spark):
     assert [(r.timestamp_ns, r.seq) for r in got] == [(1000, 0), (1000, 1), (2000, 2)]
     gaps = ordered.sequence_gaps(spark.createDataFrame([(1,), (2,), (5,), (6,)], "seq long"), ONE)
     assert series(gaps, "dropped") == [0, 0, 2, 0]
+    assert series(ordered.sequence_gaps(gaps.drop("dropped"), SPREAD), "dropped") == [0, 0, 2, 0]
 
 
 def fold_of(spark, fold, values, stream=ONE, parts=3):
