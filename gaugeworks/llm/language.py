@@ -33,8 +33,8 @@ BUCKETS = 1 << 16
 SAMPLE = 8000
 SWITCH = 6.0
 UNKNOWN = "und"
-#: Code points that are scored at a time, and bytes of text that are labelled at a time.
-_BLOCK, _SLICE = 1 << 17, 1 << 20
+#: Code points that are scored at a time, characters that words are taken from, bytes of text that are labelled together.
+_BLOCK, _SLICE, _LABELLED = 1 << 17, 1 << 20, 8 << 20
 _CODE_POINTS = 0x110000
 #: Scripts by code point ranges (start, end exclusive).
 SCRIPTS = {
@@ -160,44 +160,56 @@ class Model:
     def predict(self, texts: list[str | None], switch: float = SWITCH) -> tuple[list[str], list[float]]:
         if not self.languages or not texts:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        words, n = Words(texts), len(self.languages)
-        mass = np.bincount(words.text * n + self.label(words, switch), weights=words.letters, minlength=len(texts) * n).reshape(-1, n)
+        n, at, parts = len(self.languages), 0, []
+        while at < len(texts):  # features take much memory, and a step of all texts little
+            to, held = at, 0
+            while to < len(texts) and (to == at or held + len(texts[to] or "") <= _SLICE):
+                held += len(texts[to] or "")
+                to += 1
+            words = Words(texts[at:to])
+            parts.append((words.text + at, words.letters, self.scores(words)))
+            at = to
+        text, letters, scores = (np.concatenate(c) for c in zip(*parts, strict=True))
+        labels = viterbi(scores, np.searchsorted(text, np.arange(len(texts) + 1)), switch)
+        mass = np.bincount(text * n + labels, weights=letters, minlength=len(texts) * n).reshape(-1, n)
         best, total = mass.argmax(axis=1), mass.sum(axis=1)
         top = mass[np.arange(len(texts)), best]
         return [self.languages[b] if t else UNKNOWN for b, t in zip(best, total, strict=True)], (top / np.maximum(total, 1)).tolist()
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray:
-    """Best label path of each text; all texts advance together, longest first."""
+    """Best label path of each text; all texts advance together, longest first, so a step is one slice of words."""
     n_words, n = scores.shape
-    labels = np.zeros(n_words, dtype=np.int64)
     if n_words == 0:
-        return labels
+        return np.zeros(0, dtype=np.int64)
     lengths = np.diff(starts)
     order = np.argsort(-lengths, kind="stable")
-    base, lengths = starts[:-1][order], lengths[order]
-    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(1, lengths[0] + 1))
-    came = np.zeros((n_words, n), dtype=np.int16 if n < 32768 else np.int64)
-    own = np.arange(n)
-    v = np.zeros((len(lengths), n), np.float32)
-    last = np.zeros(len(lengths), dtype=np.int64)
-    for t, k in enumerate(active):
-        at = base[:k] + t
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    active = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(1, lengths.max() + 1))
+    offset = np.concatenate([[0], np.cumsum(active)])
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = offset[np.arange(n_words) - starts[text]] + rank[text]
+    stepped = np.empty_like(scores)
+    stepped[place] = scores
+    came = np.empty((n_words, n), dtype=np.int16)
+    own, v, state = np.arange(n, dtype=np.int16), np.zeros((len(lengths), n), np.float32), np.zeros(len(lengths), dtype=np.int64)
+    sizes, offsets = [*active.tolist(), 0], offset.tolist()
+    for t in range(len(sizes) - 1):
+        k, o = sizes[t], offsets[t]
         prev = v[:k]
-        best = prev.argmax(axis=1)
-        top = prev[np.arange(k), best] - switch
-        stay = prev >= top[:, None]
-        came[at] = np.where(stay, own, best[:, None])
-        v[:k] = np.where(stay, prev, top[:, None]) + scores[at]
-        ends = np.flatnonzero(lengths[:k] == t + 1)
-        last[ends] = v[ends].argmax(axis=1)
-    state = last
-    for t in range(len(active) - 1, -1, -1):
-        k = active[t]
-        at = base[:k] + t
-        labels[at] = state[:k]
-        state[:k] = came[at, state[:k]]
-    return labels
+        top = prev.max(axis=1, keepdims=True) - np.float32(switch)
+        came[o : o + k] = np.where(prev >= top, own, prev.argmax(axis=1)[:, None])
+        np.maximum(prev, top, out=prev)
+        prev += stepped[o : o + k]
+        if (left := sizes[t + 1]) < k:
+            state[left:k] = v[left:k].argmax(axis=1)
+    rows, labels = np.arange(len(lengths)), np.empty(n_words, dtype=np.int64)
+    for t in range(len(sizes) - 2, -1, -1):
+        k, o = sizes[t], offsets[t]
+        labels[o : o + k] = now = state[:k]
+        state[:k] = came[o : o + k][rows[:k], now]
+    return labels[place]
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -244,7 +256,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, keep_text: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Model = shared.value
         for batch in batches:
-            for part in text_slices(batch, limit=_SLICE):
+            for part in text_slices(batch, limit=_LABELLED):
                 langs, scores = held.predict(part.column("text").to_pylist(), switch)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
