@@ -38,9 +38,11 @@ from gaugeworks.llm._common import as_bytes, materialize, shared_path
 
 LENGTH = 50
 K = 25
-CHUNK = 4 << 20
 STEP = 1 << 20
-BUCKET_BYTES = 20 << 20
+#: Bytes of text of a chunk and of the windows that a bucket gathers, (least, most): both grow
+#: with the corpus, so that a chunk still has several windows for each bucket.
+CHUNK, CHUNK_PARTS = (4 << 20, 64 << 20), 20_000
+BUCKET, BUCKET_PARTS = (20 << 20, 256 << 20), 50_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TOP = np.uint64(16)
 
@@ -148,6 +150,7 @@ class Chunk:
         self.entry_bucket, self.entry_id = bucket[order][self.heads], ids[order][self.heads]
         self.entry_anchor, self.entry_hash = a[self.heads], h[self.heads]
         self.cuts = np.searchsorted(self.entry_bucket, np.arange(buckets + 1))
+        self.buckets = np.flatnonzero(np.diff(self.cuts)).tolist()
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -165,7 +168,7 @@ def unpack(blob: bytes, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in raw]
 
 
-def store(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
+def store(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """Packs (doc_id, text) into chunk files; returns the materialised list (chunk, path, bytes)."""
     folder = shared_path(docs.sparkSession, "suffix-chunks")
 
@@ -223,11 +226,11 @@ def _sent(buckets: int):  # noqa: ANN202
             for number, path in zip(batch.column("chunk").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 c = _load(path)
                 c.index(buckets)
-                for b in range(buckets):
-                    lo, hi = c.cuts[b], c.cuts[b + 1]
-                    if lo < hi:
-                        blob = pack(np.diff(c.entry_anchor[lo:hi], prepend=np.uint64(0)), c.entry_hash[lo:hi], c.entry_id[lo:hi])
-                        yield from _blobs([number], [b], 0, [blob]).to_batches()
+                for at in range(0, len(c.buckets), 1024):
+                    to, blobs = c.buckets[at : at + 1024], []
+                    for lo, hi in zip(c.cuts[to], c.cuts[[b + 1 for b in to]], strict=True):
+                        blobs.append(pack(np.diff(c.entry_anchor[lo:hi], prepend=np.uint64(0)), c.entry_hash[lo:hi], c.entry_id[lo:hi]))
+                    yield from _blobs([number] * len(to), to, 0, blobs).to_batches()
 
     return run
 
@@ -280,7 +283,7 @@ def _asked(buckets: int):  # noqa: ANN202
         c, number = _load(files["path"][0].as_py()), files["chunk"][0].as_py()
         c.index(buckets)
         wanted, to, blobs = _flags(c, answers)[:, 1], [], []
-        for b in range(buckets):
+        for b in c.buckets:
             e = np.flatnonzero(wanted[c.cuts[b] : c.cuts[b + 1]]) + c.cuts[b]
             if len(e):
                 at = c.order[c.heads[e]]
@@ -395,12 +398,17 @@ def _cut(buckets: int, keep_text: bool):  # noqa: ANN202
     return run
 
 
-def dedup(docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET_BYTES, keep_text: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_bytes, removed (byte spans), kept (bytes; null unless keep_text), kept_sha256."""
+def dedup(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int | None = None, keep_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_bytes, removed (byte spans), kept (bytes; null unless keep_text), kept_sha256.
+
+    A document's windows are held by one task at a time, some 12 bytes for each byte of its chunk.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk_bytes = chunk_bytes or min(max(total // CHUNK_PARTS, CHUNK[0]), CHUNK[1])
+    bucket_bytes = bucket_bytes or min(max(total // BUCKET_PARTS, BUCKET[0]), BUCKET[1])
+    buckets = max(16, -(-total // bucket_bytes))
     files = store(docs, chunk_bytes)
-    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).first()
-    buckets = max(16, -(-(row.b or 0) // bucket_bytes))
-    spread = files.repartitionByRange(min(max(1, row.n), 100_000), "chunk")
+    spread = files.repartitionByRange(min(max(1, files.count()), 100_000), "chunk")
     entries = spread.select("chunk", "path").mapInArrow(_sent(buckets), _BLOB_SQL)
     answers = materialize(entries.groupBy("bucket").applyInArrow(_answered, _BLOB_SQL), "suffix-answers")
     by_chunk = lambda df: files.select("chunk", "path").groupBy("chunk").cogroup(df.groupBy("chunk"))
