@@ -110,6 +110,13 @@ ORACLES: dict[str, str] = {
     "asof_nearest": f"WITH {_NEAR} SELECT seq, secondary_seq, time_diff FROM m WHERE k = 1",
     "asof_nearest_keyed": f"WITH {_PAIRS.format(tol=100 * TOLERANCE_NS, key=' AND s.sensor_id = p.sensor_id')} SELECT p.sensor_id, p.seq, secondary_seq, time_diff FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) AS b USING (seq)",
     "asof_unmatched": f"WITH {_NEAR} SELECT seq FROM p WHERE seq NOT IN (SELECT seq FROM m)",
+    "asof_arrival": f"""WITH RECURSIVE {_R}, e AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY seq) AS n FROM r WHERE event_type IN ('purchase', 'view')),
+        f AS (SELECT sensor_id, seq, n, event_type, CASE WHEN event_type = 'view' THEN [{{'t': timestamp_ns, 's': seq}}] ELSE [] END AS ring, NULL::BIGINT AS d, NULL::BIGINT AS s FROM e WHERE n = 1
+              UNION ALL SELECT sensor_id, seq, n, event_type, CASE WHEN event_type = 'view' THEN list_append(ring, {{'t': t, 's': seq}})[-4:] WHEN hit IS NULL THEN ring ELSE list_filter(ring, lambda x: x.t >= t - {500 * TOLERANCE_NS}) END, hit.d, hit.s
+              FROM (SELECT e.sensor_id, e.seq, e.n, e.event_type, e.timestamp_ns AS t, p.ring, CASE WHEN e.event_type = 'purchase' THEN
+                    list_sort(list_transform(list_filter(p.ring, lambda x: abs(x.t - e.timestamp_ns) <= {500 * TOLERANCE_NS}), lambda x, i: {{'d': abs(x.t - e.timestamp_ns), 'i': i, 's': x.s}}))[1] END AS hit
+                    FROM f AS p JOIN e ON e.sensor_id = p.sensor_id AND e.n = p.n + 1))
+        SELECT sensor_id, seq, s AS secondary_seq, d AS time_diff FROM f WHERE event_type = 'purchase'""",
     "weighted_fusion": f"WITH {_NEAR} SELECT seq, value * 0.75::DOUBLE + other * 0.25::DOUBLE AS fused, value * 0.5::DOUBLE + other * 0.5::DOUBLE AS mean FROM m WHERE k = 1",
     "sample_every_4": f"WITH {_R} SELECT seq, value FROM (SELECT seq, value, row_number() OVER (ORDER BY seq) AS n FROM r) WHERE (n - 1) % 4 = 0",
     "drop_newest": f"WITH {_N} SELECT sensor_id, seq FROM n WHERE n <= 15",
