@@ -9,7 +9,7 @@ prediction, and its part of the letters the score. All of it runs on arrays of c
 
 Fitting takes a documented sample: of the labelled rows, those whose seeded hash is below
 `sample` / (number of labelled rows), so about `sample` documents whatever the input's size.
-Counting runs on the executors; the table has at most BUCKETS rows a language.
+Counting runs on the executors; the table has at most BUCKETS rows for each of LANGUAGES languages.
 
 Null texts and texts without letters are `und` with score 0. Without labelled rows every
 text is. Ties go to the language first in code point order. Repeated rows count each.
@@ -31,6 +31,8 @@ from gaugeworks.llm._common import clear_of, text_slices
 
 BUCKETS = 1 << 16
 SAMPLE = 8000
+#: Languages that a model can tell apart: the most frequent ones.
+LANGUAGES = 256
 SWITCH = 6.0
 UNKNOWN = "und"
 #: Code points that are scored at a time, characters that words are taken from, bytes of text that are labelled together.
@@ -215,7 +217,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the rows of (text, lang) whose text and lang aren't null."""
     rows = labelled.filter("lang is not null and text is not null")
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    rows = rows.filter(F.col("lang").isin([*per]))
     languages, total = sorted(per), sum(per.values())
     number = {x: i for i, x in enumerate(languages)}
     if total > sample:
