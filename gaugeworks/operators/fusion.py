@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.folds import Fold, folded
 from gaugeworks.operators.ordered import Stream
 
-#: Tolerances that a time cell spans.
-CELL_SPANS = 1024
+#: Tolerances that a time cell spans: at most 2 / CELL_SPANS of the secondaries are copied, and an
+#: unkeyed stream is as many tasks as it has cells.
+CELL_SPANS = 16
 
 
 def asof_nearest(
@@ -23,6 +24,7 @@ def asof_nearest(
     time: str = "timestamp_ns",
     seq: str = "seq",
     how: str = "inner",
+    cell_spans: int | None = None,
 ) -> DataFrame:
     """Pairs each primary with the nearest secondary at most `tolerance` away, ties to the lower seq.
 
@@ -33,7 +35,7 @@ def asof_nearest(
     backward, so the work is linear however dense the streams are and no key or lack of keys
     puts a whole stream into one task.
     """
-    width = max(1, tolerance) * CELL_SPANS
+    width = max(1, tolerance) * (cell_spans or CELL_SPANS)
     cell = lambda at: F.floor(at.cast("decimal(38,0)") / F.lit(width)).cast("long")
     left = primary.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(secondary.schema[seq].dataType).alias("_seq"), F.struct(*primary.columns).alias("_p"), F.lit(None).cast(secondary.schema).alias("_s"), cell(F.col(time)).alias("_cell"))
     reach = F.array_distinct(F.array(cell(F.col(time) - tolerance), cell(F.col(time) + tolerance)))
