@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.storage import materialize, shared_path  # noqa: F401
 
@@ -50,12 +51,22 @@ def count_words(text: str = "text") -> F.Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a 128-bit key of (doc_id, source if there, text): equal only for rows that agree in them."""
-    clear_of(docs, "_k1", "_k2", "_n")
-    parts = [c for c in ("doc_id", "source", "text") if c in docs.columns]
+    """docs with a 128-bit key (_k1, _k2) of the whole row, maps left out: equal only for repeated rows."""
+    clear_of(docs, "_k1", "_k2", "_c")
+    parts = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
     return docs.withColumns({"_k1": F.xxhash64(F.lit(1), *parts), "_k2": F.xxhash64(F.lit(2), *reversed(parts))})
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """A number `_n` for each row of a key, so that repeated rows meet their decisions one by one."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(*(order or ("_k1",)))))
+def attach(whole: DataFrame, decided: DataFrame) -> DataFrame:
+    """Keyed rows with what was decided on them; decided: (_k1, _k2, _c, ...), _c the number of rows of the key.
+
+    Keys of one row stream past a hash table of decisions, unsorted. Of repeated rows one is
+    kept, before they move, and stands for each of the key's decisions.
+    """
+    keys, names = ["_k1", "_k2"], [c for c in whole.columns if c not in ("_k1", "_k2")]
+    more = [c for c in decided.columns if c not in ("_k1", "_k2", "_c")]
+    once = whole.join(decided.filter("_c = 1").hint("shuffle_hash"), keys).select(*names, *more)
+    several = decided.filter("_c > 1")
+    rows = whole.join(several.select(*keys).distinct().hint("shuffle_hash"), keys, "left_semi")
+    rows = rows.groupBy(*keys).agg(F.any_value(F.struct(*names)).alias("_row"))
+    return once.unionByName(rows.join(several, keys).select("_row.*", *more))

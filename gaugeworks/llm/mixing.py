@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._common import clear_of, count_words, keyed, materialize, numbered
+from gaugeworks.llm._common import attach, clear_of, count_words, keyed, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, repeats and taken. Texts move once."""
     clear_of(docs, "size", "source_size", "target", "repeats", "taken")
-    whole = keyed(docs)
-    chosen = mix(whole, weights, share, max_epochs, ("_k1", "_k2")).select("_k1", "_k2", "size", "source_size", "target", "repeats", "taken")
-    out = numbered(whole).join(numbered(chosen, "repeats"), ["_k1", "_k2", "_n"]).filter("repeats > 0")
-    return out.select(*docs.columns, "size", "source_size", "target", "repeats", "taken")
+    whole, keys = keyed(docs), ("_k1", "_k2")
+    chosen = materialize(mix(whole, weights, share, max_epochs, keys).select(*keys, "size", "source_size", "target", "repeats", "taken"), "mix-chosen")
+    counts = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    return attach(whole, chosen.filter("repeats > 0").join(counts, [*keys]))

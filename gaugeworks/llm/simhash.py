@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm._common import as_bytes, clear_of, keyed, materialize, numbered, text_slices
+from gaugeworks.llm._common import as_bytes, attach, clear_of, keyed, materialize, text_slices
 from gaugeworks.llm.components import components
 
 SHINGLE = 3
@@ -158,7 +158,8 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Dat
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
     groups = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "simhash-groups")
     kept = _rooted(groups, bits).groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2")
-    return numbered(whole).filter("_n = 1").join(kept, ["_k1", "_k2"], "left_semi").select(*docs.columns)
+    counts = marked.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_c"))
+    return attach(whole, counts.join(kept, ["_k1", "_k2"], "left_semi")).select(*docs.columns)
 
 
 def hex_digits(fp: str = "fp") -> Column:
