@@ -36,7 +36,7 @@ LANGUAGES = 256
 SWITCH = 6.0
 UNKNOWN = "und"
 #: Code points that are scored at a time, characters that words are taken from, bytes of text that are labelled together.
-_BLOCK, _SLICE, _LABELLED = 1 << 17, 1 << 20, 8 << 20
+_BLOCK, _SLICE, _LABELLED = 1 << 17, 1 << 20, 4 << 20
 _CODE_POINTS = 0x110000
 #: Scripts by code point ranges (start, end exclusive).
 SCRIPTS = {
