@@ -17,6 +17,7 @@ text is. Ties go to the language first in code point order. Repeated rows count
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,7 @@ UNKNOWN = "und"
 #: Code points that are scored at a time, characters that words are taken from, bytes of text that are labelled together.
 _BLOCK, _SLICE, _LABELLED = 1 << 17, 1 << 20, 4 << 20
 _CODE_POINTS = 0x110000
+_SPACE = re.compile(r"\s")
 #: Scripts by code point ranges (start, end exclusive).
 SCRIPTS = {
     "latin": [(0x41, 0x250), (0x1E00, 0x1F00), (0x2C60, 0x2C80), (0xA720, 0xA800)],
@@ -162,15 +164,11 @@ class Model:
     def predict(self, texts: list[str | None], switch: float = SWITCH) -> tuple[list[str], list[float]]:
         if not self.languages or not texts:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        n, at, parts = len(self.languages), 0, []
-        while at < len(texts):  # features take much memory, and a step of all texts little
-            to, held = at, 0
-            while to < len(texts) and (to == at or held + len(texts[to] or "") <= _SLICE):
-                held += len(texts[to] or "")
-                to += 1
-            words = Words(texts[at:to])
-            parts.append((words.text + at, words.letters, self.scores(words)))
-            at = to
+        # Features take much memory and are built piece by piece, a step of all texts takes little.
+        n, parts = len(self.languages), []
+        for of, pieces in slices(texts):
+            words = Words(pieces)
+            parts.append((of[words.text], words.letters, self.scores(words)))
         text, letters, scores = (np.concatenate(c) for c in zip(*parts, strict=True))
         labels = viterbi(scores, np.searchsorted(text, np.arange(len(texts) + 1)), switch)
         mass = np.bincount(text * n + labels, weights=letters, minlength=len(texts) * n).reshape(-1, n)
@@ -179,6 +177,27 @@ class Model:
         return [self.languages[b] if t else UNKNOWN for b, t in zip(best, total, strict=True)], (top / np.maximum(total, 1)).tolist()
 
 
+def slices(texts: list[str | None], limit: int = _SLICE) -> Iterator[tuple[np.ndarray, list[str | None]]]:
+    """(number of its text, piece) lists of about `limit` characters; longer texts are cut at white space."""
+    of, pieces, held = [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while True:
+            cut = _SPACE.search(t, at + limit) if t and len(t) - at > limit else None
+            piece = t if t is None else t[at : cut.start() if cut else None]
+            if pieces and held + len(piece or "") > limit:
+                yield np.array(of), pieces
+                of, pieces, held = [], [], 0
+            of.append(i)
+            pieces.append(piece)
+            held += len(piece or "")
+            if cut is None:
+                break
+            at = cut.start()
+    if pieces:
+        yield np.array(of), pieces
+
+
 def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray:
     """Best label path of each text; all texts advance together, longest first, so a step is one slice of words."""
     n_words, n = scores.shape
@@ -228,9 +247,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((len(languages), BUCKETS + len(_SCRIPT_NAMES)), np.int64)
         for batch in batches:
-            for part in text_slices(batch, limit=_SLICE):
-                langs, words = np.array([number[x] for x in part.column("lang").to_pylist()]), Words(part.column("text").to_pylist())
-                lang = langs[words.text]
+            langs = np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+            for rows_of, pieces in slices(batch.column("text").to_pylist()):
+                words = Words(pieces)
+                lang = langs[rows_of[words.text]]
                 np.add.at(got, (lang, BUCKETS + words.script.astype(np.int64)), 1)
                 for words_of, place, grams, whole in words.blocks():
                     np.add.at(got, (lang[words_of], whole), 1)

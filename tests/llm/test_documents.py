@@ -183,6 +183,17 @@ def test_language_spans(spark):
     assert [x for _, _, x in language.spans(mixed, model)] == ["en", "de"]
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    texts = ["a b c d e f", None, "", "abcdefghij", "ab cdefghijk l", "x"]
+    got = list(language.slices(texts, 4))
+    joined = dict.fromkeys(range(len(texts)), "")
+    for of, pieces in got:
+        for i, piece in zip(of.tolist(), pieces, strict=True):
+            joined[i] += piece or ""
+    assert joined == {i: t or "" for i, t in enumerate(texts)}
+    assert max(len(p or "") for _, ps in got for p in ps) < 4 + len("cdefghijk") + 1
+
+
 def test_viterbi_against_paths():
     import itertools
 
