@@ -1,0 +1,258 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+Texts link if the sets of their five-word shingles (ASCII case and white space folded, shorter
+texts whole) have a Jaccard similarity of NEAR = 4 / 5 or more. No pair is lost: of two such
+sets of n and m, each shares 4 / 5 of the larger or more with the other, so under any one order
+of all shingles their first n - ceil(4 n / 5) + 1 and m - ceil(4 m / 5) + 1 share a shingle.
+These prefixes are dealt by shingle. Of the candidate pairs, those go whose profiles (parities
+of the numbers of shingles by hash part) alone differ too much; the rest is checked on the whole sets.
+
+The order is: shingles common in a sample of texts last, else by hash. The sample only
+moves boilerplate out of the prefixes; any order finds the same links.
+
+Large groups make no pairs: first each text of a shingle is checked against the smallest one.
+Shingles whose texts are then of one class are done; in the others, the profiles of all pairs
+across classes are compared where they are dealt. Texts of four fifths boilerplate that are
+still no copies of each other are the worst case: their comparisons grow with their square.
+
+Only distinct sets are compared (64-bit hashes of shingles and sets). Nulls and texts without
+words have the empty set and are of one class; null doc_ids never name one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gaugeworks.llm._common import as_bytes, attach, clear_of, keyed, materialize, text_slices
+from gaugeworks.llm.components import components
+
+SHINGLE = 5
+#: Least similarity, as a fraction.
+NEAR = (4, 5)
+#: About so many texts are sampled for common shingles, which occur in so many of them at least.
+SAMPLE, COMMON = 10_000, 8
+#: Most common shingles that are put last.
+LAST = 1 << 16
+#: Hash parts of a profile.
+PARTS = 1024
+_NONE = np.empty(0, dtype=np.uint64)
+_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of one UTF-8 text as sorted hashes."""
+    words = text.lower().split()
+    if not words:
+        return _NONE
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    k = min(shingle, len(words))
+    out = np.zeros(len(words) - k + 1, dtype=np.uint64)
+    for i in range(k):
+        out = out * _P1 + h[i : i + len(out)]
+        out ^= out >> np.uint64(29)
+    out *= _P2
+    return np.unique(out ^ (out >> np.uint64(32)))
+
+
+def prefix(found: np.ndarray, last: np.ndarray = _NONE) -> np.ndarray:
+    """The part of a set that it shares with every set near enough; `last`, sorted, ends the order."""
+    n = len(found)
+    size = n - -(-NEAR[0] * n // NEAR[1]) + 1 if n else 0
+    if not len(last):
+        return found[:size]
+    late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+    return np.concatenate([found[~late], found[late]])[:size]
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes are near duplicates."""
+    p, q = NEAR
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return q * both >= p * (len(a) + len(b) - both)
+
+
+def profile(found: np.ndarray) -> bytes:
+    """The size of a set and the parities of its numbers of hashes by their low bits."""
+    parts = np.bincount((found & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+    return np.int64(len(found)).tobytes() + np.packbits(parts & 1).tobytes()
+
+
+def _profiles(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and parities, in words of 64 parts."""
+    rows = np.frombuffer(b"".join(values), dtype=np.uint64).reshape(-1, 1 + PARTS // 64)
+    return rows[:, 0].astype(np.int64), rows[:, 1:]
+
+
+def may_be_near(n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False only where sets can't be near: each part of other parity has a hash that is in one set only."""
+    p, q = NEAR
+    return (q + p) * np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= (q - p) * (n + m)
+
+
+def _sig(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes())
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
+def _common(whole: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of at least COMMON sampled texts, sorted."""
+    every = max(1, whole.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                for text in as_bytes(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles(text, shingle).view(np.int64))], ["h"])
+
+    seen = whole.filter(F.pmod("_k1", F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
+    rows = seen.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(LAST).select("h").collect()
+    return np.sort(np.array([r.h for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def _marked(whole: DataFrame, last: np.ndarray, shingle: int) -> DataFrame:
+    """Keyed rows without text, with sig, profile and prefix; of equal sets that a task meets, one has the prefix."""
+    names = ["doc_id", "_k1", "_k2"]
+    schema = T.StructType([whole.schema[c] for c in names] + [T.StructField("sig", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("profile", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in text_slices(batch):
+                sigs, heads, profiles = [], [], []
+                for text in as_bytes(part):
+                    found = shingles(text, shingle)
+                    sigs.append(sig := _sig(found))
+                    heads.append(_NONE if sig in seen else prefix(found, last))
+                    profiles.append(profile(found))
+                    seen.add(sig)
+                if len(seen) > 1 << 17:
+                    seen.clear()
+                ends = np.cumsum([0] + [len(x) for x in heads]).astype(np.int32)
+                flat = np.concatenate([*heads, _NONE]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), _longs(sigs), lists, pa.array(profiles, pa.binary())], [*names, "sig", "prefix", "profile"])
+
+    return whole.select(*names, "text").mapInArrow(run, schema)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, a, sig) of rows (h, sig) in order: a is the first sig of h, sig each other one."""
+    held_h = held_a = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, sig = (batch.column(i).to_numpy() for i in range(2))
+        fresh = np.concatenate([[held_h is None or h[0] != held_h], h[1:] != h[:-1]])
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), -1))
+        a = np.where(first >= 0, sig[np.maximum(first, 0)], 0 if held_a is None else held_a)
+        more = np.concatenate([[True], (sig[1:] != sig[:-1]) | fresh[1:]]) & (sig != a)
+        held_h, held_a = h[-1], a[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (h, a, sig)], ["h", "a", "sig"])
+
+
+def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose profiles may be near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = may_be_near(*_profiles(batch.column(2).to_pylist()), *_profiles(batch.column(3).to_pylist()))
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    left = known.select(F.col("sig").alias("a"), F.col("profile").alias("x"))
+    right = known.select(F.col("sig").alias("b"), F.col("profile").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _across(group: pa.Table) -> pa.Table:
+    """The pairs (a, b) of one shingle's rows (sig, root, profile) across classes whose profiles may be near."""
+    sig, root = group.column("sig").to_numpy(), group.column("root").to_numpy()
+    n, parts = _profiles(group.column("profile").to_pylist())
+    order = np.argsort(n, kind="stable")
+    sig, root, n, parts = sig[order], root[order], n[order], parts[order]
+    ends, out = np.searchsorted(n, n * NEAR[1] // NEAR[0], "right"), []
+    for i, end in enumerate(ends.tolist()):
+        j = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+        if len(j):
+            j = j[may_be_near(n[i], parts[i], n[j], parts[j])]
+            out.append(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])], axis=1))
+    pairs = np.concatenate([*out, np.empty((0, 2), dtype=np.int64)])
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _sets(whole: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(sig, hashes) of the rows with the keys of wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                found = [shingles(t, shingle) for t in as_bytes(part)]
+                yield pa.RecordBatch.from_arrays([_longs([_sig(x) for x in found]), pa.array([x.tobytes() for x in found], pa.binary())], ["sig", "hashes"])
+
+    texts = whole.select("_k1", "_k2", "text").join(wanted, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return texts.select("text").mapInArrow(run, "sig long, hashes binary")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x, y = ([np.frombuffer(v, dtype=np.uint64) for v in part.column(i).to_pylist()] for i in (2, 3))
+                ok = pa.array([near(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
+                yield part.select(["a", "b"]).filter(ok)
+
+    left = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _links(whole: DataFrame, groups: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) that are near, by their whole sets."""
+    met = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    sets = materialize(_sets(whole, groups.join(met, "sig").select("first._k1", "first._k2"), shingle), "overlap-sets")
+    return materialize(_checked(pairs, sets), "overlap-links")
+
+
+def _roots(whole: DataFrame, marked: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
+    """(node, root) of the sets that link."""
+    heads = marked.select(F.explode("prefix").alias("h"), "sig").repartition("h").sortWithinPartitions("h", "sig")
+    member = materialize(heads.mapInArrow(_stars, "h long, a long, sig long"), "overlap-members")
+    star = materialize(_likely(member.select("a", F.col("sig").alias("b")).distinct(), groups), "overlap-stars")
+    links = _links(whole, groups, star, shingle)
+    found = materialize(components(links), "overlap-roots")
+    # Shingles whose texts are of several classes yet: the other pairs across classes.
+    rows = member.select("h", "sig").union(member.select("h", F.col("a").alias("sig")).distinct())
+    rows = rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rows = materialize(rows, "overlap-rows")
+    mixed = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("sig").alias("a")).filter("lo < hi and n > 2")
+    rest = rows.join(mixed.select("h", "a"), "h").filter("sig <> a").select("h", "sig", "root").join(groups.select("sig", "profile"), "sig")
+    across = materialize(rest.groupBy("h").applyInArrow(_across, "a long, b long").distinct(), "overlap-across")
+    more = _links(whole, groups, across, shingle)
+    return found if more.isEmpty() else components(links.union(more))
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each class, unchanged: the one with the smallest doc_id (null last), one row of repeated ones."""
+    clear_of(docs, "sig", "prefix", "profile")
+    whole = keyed(docs)
+    marked = materialize(_marked(whole, _common(whole, shingle), shingle), "overlap-marked")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
+    groups = materialize(marked.groupBy("sig").agg(F.min(first).alias("first"), F.any_value("profile").alias("profile")), "overlap-groups")
+    roots = _roots(whole, marked, groups, shingle).withColumnRenamed("node", "sig")
+    rooted = groups.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2")
+    counts = marked.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_c"))
+    return attach(whole, counts.join(kept, ["_k1", "_k2"], "left_semi")).select(*docs.columns)

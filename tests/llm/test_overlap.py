@@ -1,0 +1,59 @@
+"""The near-dedup stage of the pipeline against all pairs."""
+
+import random
+import re
+
+import corpus_pipeline
+from gaugeworks.llm import overlap
+
+SF = "/root/testdata/sf0.01"
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def all_pairs(texts):
+    """(the first id of each class, the number of links of different sets) by comparing all pairs."""
+    sets, root, links = {i: five_words(t) for i, t in texts.items()}, {i: i for i in texts}, 0
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                links += sets[i] != sets[j]
+                a, b = sorted((root[i], root[j]))
+                root = {n: a if r == b else r for n, r in root.items()}
+    return {*root.values()}, links
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+
+
+def test_given_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want, links = all_pairs(texts)
+    assert links >= 12
+    assert kept(spark, texts) == want
+
+
+def test_edited_copies_and_common_passages(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COMMON", 40)
+    rnd, texts = random.Random(5), {}
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    for _ in range(8):
+        base = [word() for _ in range(rnd.randrange(5, 200))]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rnd.randrange(5)):
+                copy[rnd.randrange(len(copy))] = word()
+            texts[len(texts)] = " ".join(copy)
+    for _ in range(60):
+        texts[len(texts)] = " ".join(passage + [word() for _ in range(rnd.randrange(10, 60))])
+    texts |= {1000: None, 1001: "", 1002: "a b", 1003: "A  b", 1004: "a b c"}
+    want, links = all_pairs(texts)
+    assert links > 20 and kept(spark, texts) == want
