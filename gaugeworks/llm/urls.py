@@ -7,7 +7,9 @@ Tree, per host: digits within a segment become {n} and long slugs {slug}. Then l
 level, below the generalised path so far, children become the wildcard * if they are a
 variable segment (over VARIABLE children, this one below 5 % of the node) or statistically
 similar: labelled, of about the same depth below, and with a share of blocked labels within
-two standard errors of the node's. A template is rejected if its smoothed purity
+two standard errors of the node's. Levels run to the end of the longest path. A path that has
+ended counts as an empty segment. After LEVELS levels, shapes leave together once none of their
+template is longer, and a shape that shares its template with no other keeps its own rest. A template is rejected if its smoothed purity
 (blocked + SMOOTH / 2) / (labelled + SMOOTH) reaches PURITY; unlabelled ones stay at one half.
 
 Distinct (host, template) pairs are counted before any level runs, so a hot host is a few
@@ -18,12 +20,14 @@ rows each get their verdict. DataFrame operations only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm._common import clear_of, materialize
 
+#: Levels that every shape takes part in.
 LEVELS = 3
 VARIABLE = 20
 SMOOTH = 4
@@ -93,18 +97,35 @@ def judged_templates(parsed: DataFrame) -> DataFrame:
     tree = tree.withColumn("segments", F.split("shape", "/", -1)).withColumn("template", F.lit(""))
     tree = materialize(tree, "url-shapes")
     for level in range(1, LEVELS + 1):
-        here = tree.withColumn("child", F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit(""))).withColumn("below", F.greatest(F.size("segments") - level, F.lit(0)) * F.col("n"))
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad", "below")]
-        child = here.groupBy("host", "template", "child").agg(*sums)
-        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad", "below")))
-        d = lambda c: F.col(c).cast("double")
-        variable = (F.col("children") > VARIABLE) & (d("n") * 20 < d("all_n"))
-        apart = d("bad") * d("all_labelled") - d("all_bad") * d("labelled")
-        deep = F.abs(d("below") * d("all_n") - d("all_below") * d("n")) * 2 <= d("n") * d("all_n")
-        similar = (F.col("labelled") > 0) & deep & (apart * apart <= 4 * d("all_bad") * (d("all_labelled") - d("all_bad")) * d("labelled"))
-        named = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(variable | similar, F.lit("*")).otherwise(F.col("child")).alias("token"))
-        tree = here.join(named, ["host", "template", "child"]).withColumn("template", F.concat_ws("/", "template", "token")).drop("child", "below", "token")
-    rest = F.array_join(F.slice("segments", LEVELS + 1, F.greatest(F.size("segments") - LEVELS, F.lit(0))), "/")
+        tree = _grown(tree, level)
+    tree, ended = materialize(tree, "url-level"), []
+    while True:
+        level += 1
+        longer = tree.groupBy("host", "template").agg(F.count(F.lit(1)).alias("shapes"), F.max(F.size("segments")).alias("most")).filter((F.col("shapes") > 1) & (F.col("most") >= level))
+        open_ = tree.join(longer.select("host", "template"), ["host", "template"], "left_semi")
+        open_ = materialize(_grown(open_, level), "url-level")
+        if open_.isEmpty():
+            break
+        ended.append(tree.join(open_.select("host", "shape"), ["host", "shape"], "left_anti").withColumn("level", F.lit(level)))
+        tree = open_
+    ended.append(tree.withColumn("level", F.lit(level)))
+    tree = reduce(DataFrame.unionByName, ended)
+    rest = F.array_join(F.slice("segments", F.col("level"), F.greatest(F.size("segments") - F.col("level") + 1, F.lit(0))), "/")
     tree = materialize(tree.withColumn("template", F.concat_ws("/", "template", rest)).select("host", "shape", "template", "labelled", "bad"), "url-templates")
     purity = tree.groupBy("host", "template").agg(((F.sum("bad") + SMOOTH / 2) / (F.sum("labelled") + SMOOTH)).alias("purity"))
     return tree.select("host", "shape", "template").join(purity, ["host", "template"]).withColumn("reject", F.col("purity") >= PURITY)
+
+
+def _grown(tree: DataFrame, level: int) -> DataFrame:
+    """Shapes with the templates that one more level gives."""
+    here = tree.withColumn("child", F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit(""))).withColumn("below", F.greatest(F.size("segments") - level, F.lit(0)) * F.col("n"))
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad", "below")]
+    child = here.groupBy("host", "template", "child").agg(*sums)
+    node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad", "below")))
+    d = lambda c: F.col(c).cast("double")
+    variable = (F.col("children") > VARIABLE) & (d("n") * 20 < d("all_n"))
+    apart = d("bad") * d("all_labelled") - d("all_bad") * d("labelled")
+    deep = F.abs(d("below") * d("all_n") - d("all_below") * d("n")) * 2 <= d("n") * d("all_n")
+    similar = (F.col("labelled") > 0) & deep & (apart * apart <= 4 * d("all_bad") * (d("all_labelled") - d("all_bad")) * d("labelled"))
+    named = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(variable | similar, F.lit("*")).otherwise(F.col("child")).alias("token"))
+    return here.join(named, ["host", "template", "child"]).withColumn("template", F.concat_ws("/", "template", "token")).drop("child", "below", "token")
