@@ -9,14 +9,11 @@ from gaugeworks.llm import decontaminate, language, mixing, overlap, secrets
 from gaugeworks.llm._common import shared_path, table
 from gaugeworks.storage import mark, release
 
-#: A document goes if the language of most of its letters holds less than this part of them.
-LEAST_SCORE = 0.5
-
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no letters or no leading language."""
+    """Rejects what has no letters; texts that mix languages stay, whatever the share of the leading one."""
     model = language.fit(docs.select("text", "lang"))
-    return language.predict(docs, model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return language.predict(docs, model).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
