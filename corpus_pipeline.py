@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, language, mixing, overlap, secrets
+from gaugeworks.llm import decontaminate, language, mixing, secrets, simhash_near
 from gaugeworks.llm._common import shared_path, table
 from gaugeworks.storage import mark, release
 
@@ -18,7 +18,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near-duplicates: Jaccard 0.8 or more on five words."""
-    return overlap.keep_first(docs)
+    return simhash_near.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
