@@ -1,24 +1,26 @@
-"""Removal of repeated byte strings by longest previous factors, over partitioned suffixes.
+"""Removal of repeated byte strings by longest-previous-factor arrays, over partitioned suffixes.
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a
 smaller doc_id: the suffix that starts there has a longest previous factor (over the
-documents before its own) of at least LENGTH. Suffixes are compared where it can matter:
+documents before its own) of at least LENGTH. Suffix order is built where a match is possible:
 
 1. Documents are packed into chunks, files in the shared folder.
 2. The anchor of a suffix is the least hash of the K-byte strings within its first LENGTH
    bytes, so suffixes with equal LENGTH bytes have equal anchors. Neighbouring suffixes with
-   one anchor form a window (its bytes are the suffixes' first LENGTH ones). Each chunk sends
-   its distinct windows as hashes, dealt by anchor, with the smallest doc_id: copies within a
-   chunk never leave it, so a passage in a third of all documents is one entry a chunk.
-3. A window that occurs whole before is removed whole. Of windows that share an anchor with
-   different ones, the first copy of each is asked for by its bytes.
-4. Those bytes' suffixes are put in suffix order (to LENGTH bytes, radix passes of 8 bytes
-   over what is still tied). A suffix's previous smaller document at a common prefix of at
-   least LENGTH stands in its own run of ties, as its first; that is its earlier match.
+   one anchor form a window (its bytes are the suffixes' first LENGTH ones). Copies of a window
+   within a chunk, compared as bytes, are one entry: the one with the smallest doc_id.
+3. Each chunk sends its anchors, dealt by their hash, without documents or bytes. An anchor of
+   one document only has no match; the others' entries are asked for.
+4. Entries are dealt by anchor with their bytes. Entries of an anchor with over `hot` of them
+   are dealt suffix by suffix, by the hash of its LENGTH bytes and once from each chunk, so no
+   anchor is one task's.
+   Each bucket puts its suffixes in suffix order with their common prefixes, and the previous
+   and next smaller documents in that order give the longest previous factors.
 5. Each chunk takes the answers and cuts its documents.
 
 Texts are UTF-8 bytes, whole; null is empty. Documents with a null doc_id are neither cut nor
 a reason to cut. Rows that repeat a doc_id don't cut one another. Spans are byte offsets.
+Hashes only deal the work: what is removed has been compared as bytes.
 """
 
 from __future__ import annotations
@@ -39,10 +41,16 @@ from gaugeworks.llm._common import as_bytes, materialize, shared_path
 LENGTH = 50
 K = 25
 STEP = 1 << 20
+#: Suffixes that a bucket sorts at a time, by whole anchors.
+SORTED = 1 << 21
+#: Entries of an anchor that are dealt together at most.
+HOT = 1 << 14
 #: Bytes of text of a chunk and of the windows that a bucket gathers, (least, most): both grow
 #: with the corpus, so that a chunk still has several windows for each bucket.
 CHUNK, CHUNK_PARTS = (4 << 20, 64 << 20), 20_000
-BUCKET, BUCKET_PARTS = (20 << 20, 256 << 20), 50_000
+BUCKET, BUCKET_PARTS = (20 << 20, 128 << 20), 50_000
+#: Tasks of a shuffle at most.
+TASKS = 50_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _TOP = np.uint64(16)
 
@@ -118,8 +126,13 @@ class Windows:
         return mix(least[first] * _A + _C) >> _TOP, whole >> _TOP, first + lo, last - first + 1, doc
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position on as big-endian numbers; 7 bytes of data make none."""
+    return np.ndarray(max(len(data) - 7, 0), ">u8", data, strides=(1,))
+
+
 class Chunk:
-    """Texts and ids of one file, and its distinct windows in the order of (bucket, anchor, hash)."""
+    """Texts and ids of one file, and its entries, distinct windows in the order of (bucket, anchor, hash)."""
 
     def __init__(self, blob: bytes) -> None:
         n = int.from_bytes(blob[:8], "little")
@@ -137,20 +150,42 @@ class Chunk:
     def index(self, buckets: int) -> None:
         w = Windows(self.data, self.starts)
         keep = self.has_id[w.doc]
-        w.anchor, w.hash, w.first, w.count, w.doc = (c[keep] for c in (w.anchor, w.hash, w.first, w.count, w.doc))
-        ids, bucket = self.ids[w.doc], bucket_of(w.anchor, buckets)
-        order = np.lexsort((ids, w.hash, w.anchor, bucket))
-        self.w, self.order = w, order
-        a, h = w.anchor[order], w.hash[order]
+        anchor, code, first, count, ids = (c[keep] for c in (w.anchor, w.hash, w.first, w.count, self.ids[w.doc]))
+        bucket = bucket_of(anchor, buckets)
+        order = np.lexsort((ids, count, code, anchor, bucket))
+        self.first, self.count, self.ids_of, anchor, code = first[order], count[order], ids[order], anchor[order], code[order]
         fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
+        fresh[1:] = (anchor[1:] != anchor[:-1]) | (code[1:] != code[:-1]) | (self.count[1:] != self.count[:-1])
+        fresh |= self._differ(fresh)
+        #: The first window of each entry, for each window its entry, and each entry's anchor by number.
         self.heads = np.flatnonzero(fresh)
-        #: For each window in order, its entry; for each entry, its bucket and smallest id.
         self.entry = np.cumsum(fresh) - 1
-        self.entry_bucket, self.entry_id = bucket[order][self.heads], ids[order][self.heads]
-        self.entry_anchor, self.entry_hash = a[self.heads], h[self.heads]
-        self.cuts = np.searchsorted(self.entry_bucket, np.arange(buckets + 1))
+        new = np.ones(len(self.heads), dtype=bool)
+        new[1:] = anchor[self.heads[1:]] != anchor[self.heads[:-1]]
+        self.of_anchor, heads = np.cumsum(new) - 1, self.heads[new]
+        self.anchors, anchor_bucket = anchor[heads], bucket[order][heads]
+        self.cuts = np.searchsorted(anchor_bucket, np.arange(buckets + 1))
         self.buckets = np.flatnonzero(np.diff(self.cuts)).tolist()
+        #: Of each anchor: its entries, and whether these are of several documents.
+        self.entries = np.diff(np.append(np.flatnonzero(new), len(new)))
+        self.several = np.minimum.reduceat(self.ids_of, heads) < np.maximum.reduceat(self.ids_of, heads) if len(heads) else np.zeros(0, bool)
+
+    def _differ(self, fresh: np.ndarray) -> np.ndarray:
+        """Windows whose group of equal hashes is none of equal bytes: each of those is an entry of its own."""
+        out = np.zeros(len(fresh), dtype=bool)
+        of = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+        copies, words = np.flatnonzero(~fresh), words_at(self.data)
+        for at in range(0, len(copies), STEP):
+            i = copies[at : at + STEP]
+            a, b, last = self.first[i], self.first[of[i]], self.count[i] + LENGTH - 1 - 8
+            for offset in range(0, 2 * LENGTH - K, 8):
+                o = np.minimum(offset, last)
+                out[i] |= words[a + o] != words[b + o]
+        group = np.cumsum(fresh) - 1
+        return np.isin(group, np.unique(group[out])) if out.any() else out
+
+    def bytes_of(self, first: np.ndarray, sizes: np.ndarray) -> bytes:
+        return self.data[_ranges(first, sizes)].tobytes()
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -210,89 +245,123 @@ def _load(path: str) -> Chunk:
         return Chunk(f.read())
 
 
+#: Kinds: 0 anchors of a chunk, 1 which of them are asked for, 2 entries by anchor and 3 suffixes of hot anchors, and the answers to those.
 _BLOB = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _BLOB_SQL = "chunk long, bucket int, kind int, blob binary"
 
 
-def _blobs(chunks: list[int], buckets: list[int], kind: int, blobs: list[bytes]) -> pa.Table:
-    return pa.table([pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], schema=_BLOB)
+def _blobs(chunks: list[int], buckets: list[int], kinds: list[int], blobs: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], schema=_BLOB)
 
 
 def _sent(buckets: int):  # noqa: ANN202
-    """Step 2: a chunk's entries by bucket."""
+    """Step 3: a chunk's anchors by bucket, with the number of entries, doubled, plus one for several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, path in zip(batch.column("chunk").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 c = _load(path)
                 c.index(buckets)
+                told = (2 * c.entries + c.several).astype(np.uint64)
                 for at in range(0, len(c.buckets), 1024):
-                    to, blobs = c.buckets[at : at + 1024], []
-                    for lo, hi in zip(c.cuts[to], c.cuts[[b + 1 for b in to]], strict=True):
-                        blobs.append(pack(np.diff(c.entry_anchor[lo:hi], prepend=np.uint64(0)), c.entry_hash[lo:hi], c.entry_id[lo:hi]))
-                    yield from _blobs([number] * len(to), to, 0, blobs).to_batches()
+                    to = c.buckets[at : at + 1024]
+                    blobs = [pack(np.diff(c.anchors[lo:hi], prepend=np.uint64(0)), told[lo:hi]) for lo, hi in zip(c.cuts[to], c.cuts[[b + 1 for b in to]], strict=True)]
+                    yield from _blobs([number] * len(to), to, [0] * len(to), blobs).to_batches()
 
     return run
 
 
-def _answered(group: pa.Table) -> pa.Table:
-    """Step 3, for one bucket: two bits for each entry, removed whole and bytes asked for."""
-    chunks, parts = group["chunk"].to_pylist(), [unpack(b, 3) for b in group["blob"].to_pylist()]
-    sizes = np.array([len(p[0]) for p in parts])
-    anchor = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    code, ids = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).view(np.int64)
-    del parts
-    order = np.lexsort((ids, code, anchor))
-    a, c, i = anchor[order], code[order], ids[order]
-    new_anchor = np.ones(len(a), dtype=bool)
-    new_anchor[1:] = a[1:] != a[:-1]
-    new_class = new_anchor.copy()
-    new_class[1:] |= c[1:] != c[:-1]
-    of_class = np.cumsum(new_class) - 1
-    least = i[np.flatnonzero(new_class)]
-    whole = least[of_class] < i
-    # Anchors with different windows whose first copies aren't all in one document.
-    class_anchor = (np.cumsum(new_anchor) - 1)[np.flatnonzero(new_class)]
-    starts = np.flatnonzero(np.append(True, class_anchor[1:] != class_anchor[:-1])) if len(class_anchor) else np.zeros(0, np.int64)
-    split = np.minimum.reduceat(least, starts) < np.maximum.reduceat(least, starts) if len(starts) else np.zeros(0, bool)
-    asked = split[class_anchor[of_class]] & ~whole
-    bits = np.zeros(len(a), np.uint8)
-    bits[order] = whole | (asked << 1)
-    blobs = [zstandard.compress(np.packbits(np.unpackbits(p[:, None], axis=1, bitorder="little")[:, :2].ravel()).tobytes(), 1) for p in np.split(bits, np.cumsum(sizes)[:-1])]
-    return _blobs(chunks, [group["bucket"][0].as_py()] * len(blobs), 1, blobs)
-
-
-def _bits(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.decompress(blob), np.uint8), count=2 * n).reshape(n, 2).astype(bool)
-
-
-def _flags(c: Chunk, answers: pa.Table) -> np.ndarray:
-    out = np.zeros((len(c.heads), 2), dtype=bool)
+def _answered(hot: int):  # noqa: ANN202
+    """Step 3, a bucket's side: two bits for each anchor of a chunk, asked for and hot."""
+
+    def run(group: pa.Table) -> pa.Table:
+        chunks, parts = group["chunk"].to_pylist(), [unpack(b, 2) for b in group["blob"].to_pylist()]
+        sizes = np.array([len(p[0]) for p in parts])
+        anchor = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        told = np.concatenate([p[1] for p in parts]).view(np.int64)
+        del parts
+        order = np.argsort(anchor, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(anchor[order]) != 0))
+        met, entries = np.diff(np.append(heads, len(order))), np.add.reduceat(told[order] >> 1, heads)
+        asked = (met > 1) | np.bitwise_or.reduceat(told[order] & 1, heads).astype(bool)
+        bits = np.empty((len(order), 2), dtype=bool)
+        bits[order] = np.repeat(np.stack([asked, asked & (entries > hot)], axis=1), met, axis=0)
+        blobs = [zstandard.compress(np.packbits(b).tobytes(), 1) for b in np.split(bits, np.cumsum(sizes)[:-1])]
+        return _blobs(chunks, [group["bucket"][0].as_py()] * len(blobs), [1] * len(blobs), blobs)
+
+    return run
+
+
+def _asked_of(c: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """By entry: asked for together with its anchor, and suffix by suffix."""
+    bits = np.zeros((len(c.anchors), 2), dtype=bool)
     for b, kind, blob in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["blob"].to_pylist(), strict=True):
         if kind == 1:
-            out[c.cuts[b] : c.cuts[b + 1]] = _bits(blob, c.cuts[b + 1] - c.cuts[b])
-    return out
+            n = c.cuts[b + 1] - c.cuts[b]
+            bits[c.cuts[b] : c.cuts[b + 1]] = np.unpackbits(np.frombuffer(zstandard.decompress(blob), np.uint8), count=2 * n).reshape(n, 2)
+    asked, hot = bits[c.of_anchor].T if len(c.heads) else (np.zeros(0, bool), np.zeros(0, bool))
+    return asked & ~hot, hot
+
+
+class HotSuffixes:
+    """The hot anchors' suffixes by bucket and key, a hash of their bytes; copies stand for the first, with the smallest doc_id."""
+
+    def __init__(self, c: Chunk, hot: np.ndarray, buckets: int) -> None:
+        e = np.flatnonzero(hot)
+        at, entry = _ranges(c.first[c.heads[e]], c.count[c.heads[e]]), np.repeat(e, c.count[c.heads[e]])
+        key, words, offsets = np.zeros(len(at), np.uint64), words_at(c.data), (*range(0, LENGTH - 8, 8), LENGTH - 8)
+        with np.errstate(over="ignore"):
+            for offset in offsets:
+                key = mix(key * _A + words[at + offset].astype(np.uint64))
+        ids, bucket = c.ids_of[c.heads[entry]], bucket_of(key, buckets)
+        order = np.lexsort((ids, key, bucket))
+        self.at, self.entry, self.ids, key, bucket = at[order], entry[order], ids[order], key[order], bucket[order]
+        fresh = np.append(True, np.diff(key) != 0) if len(key) else np.zeros(0, bool)
+        of, differ = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0)), np.zeros(len(key), dtype=bool)
+        for offset in offsets:
+            differ |= words[self.at + offset] != words[self.at[of] + offset]
+        group = np.cumsum(fresh) - 1
+        fresh |= np.isin(group, np.unique(group[differ]))
+        #: Places of the first ones, for each suffix the number of its first one, and (bucket, from, to) of the first ones.
+        self.heads, self.head = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        self.key, bucket = key[self.heads], bucket[self.heads]
+        cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
+        self.parts = [(int(bucket[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True)]
+
+
+def _bundle(anchor: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: bytes) -> bytes:
+    head = pack(np.diff(anchor, prepend=np.uint64(0)), ids, sizes)
+    return len(head).to_bytes(8, "little") + head + zstandard.compress(text, 3)
 
 
 def _asked(buckets: int):  # noqa: ANN202
-    """Step 4, a chunk's side: the bytes of the windows that were asked for."""
+    """Step 4, a chunk's side: the bytes that were asked for."""
 
     def run(files: pa.Table, answers: pa.Table) -> pa.Table:
+        to: list[int] = []
+        kinds: list[int] = []
+        blobs: list[bytes] = []
         if not files.num_rows or not answers.num_rows:
-            return _blobs([], [], 2, [])
+            return _blobs([], to, kinds, blobs)
         c, number = _load(files["path"][0].as_py()), files["chunk"][0].as_py()
         c.index(buckets)
-        wanted, to, blobs = _flags(c, answers)[:, 1], [], []
+        together, hot = _asked_of(c, answers)
+        entry_cuts = np.searchsorted(c.of_anchor, c.cuts)
         for b in c.buckets:
-            e = np.flatnonzero(wanted[c.cuts[b] : c.cuts[b + 1]]) + c.cuts[b]
+            e = np.flatnonzero(together[entry_cuts[b] : entry_cuts[b + 1]]) + entry_cuts[b]
             if len(e):
-                at = c.order[c.heads[e]]
-                sizes = c.w.count[at] + LENGTH - 1
-                text = c.data[_ranges(c.w.first[at], sizes)].tobytes()
-                head = pack(np.diff(c.entry_anchor[e], prepend=np.uint64(0)), c.entry_id[e], sizes)
+                at = c.heads[e]
+                sizes = c.count[at] + LENGTH - 1
                 to.append(b)
-                blobs.append(len(head).to_bytes(8, "little") + head + zstandard.compress(text, 3))
-        return _blobs([number] * len(to), to, 2, blobs)
+                kinds.append(2)
+                blobs.append(_bundle(c.anchors[c.of_anchor[e]], c.ids_of[at], sizes, c.bytes_of(c.first[at], sizes)))
+        x = HotSuffixes(c, hot, buckets)
+        for b, lo, hi in x.parts:
+            at, sizes = x.heads[lo:hi], np.full(hi - lo, LENGTH)
+            to.append(b)
+            kinds.append(3)
+            blobs.append(_bundle(x.key[lo:hi], x.ids[at], sizes, c.bytes_of(x.at[at], sizes)))
+        return _blobs([number] * len(to), to, kinds, blobs)
 
     return run
 
@@ -303,33 +372,62 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def suffix_runs(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of the positions, by group and then their first `length` bytes: (order, run); equal ones share a run.
+def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the positions, by group and then their first `length` bytes: (order, common).
 
-    Data must have `length` + 8 bytes from every position on. Runs are refined by 8 bytes a pass, and only where ties remain.
+    common[i] is the length of the prefix that the suffix has in common with the one before it in the
+    order, `length` at most, 0 where a group begins. Equal ones stay in the order of their positions.
+    Data must have `length` + 8 bytes from every position on. Ties are refined by 8 bytes a pass.
     """
-    order = np.argsort(group, kind="stable")
-    run = np.cumsum(np.append(True, np.diff(group[order]) != 0)) - 1 if len(order) else order
-    live = np.arange(len(order))
+    order, words = np.argsort(group, kind="stable"), words_at(data)
+    n = len(order)
+    common = np.full(n, length, np.int64)
+    edge = np.append(True, np.diff(group[order]) != 0) if n else np.zeros(0, bool)
+    common[edge] = 0
+    run = np.maximum.accumulate(np.where(edge, np.arange(n), 0))
+    live = np.arange(n)
     for depth in range(0, length, 8):
-        size = np.bincount(run[live])
+        size = np.bincount(run[live], minlength=n)
         live = live[size[run[live]] > 1]
         if not len(live):
             break
         take = min(8, length - depth)
-        word = np.zeros(len(live), np.uint64)
-        for b in range(take):
-            word = (word << np.uint64(8)) | data[at[order[live]] + depth + b]
+        word = words[at[order[live]] + depth].astype(np.uint64) >> np.uint64(64 - 8 * take)
         inner = np.lexsort((word, run[live]))
         order[live], word, old = order[live[inner]], word[inner], run[live]
         step = np.append(True, (old[1:] != old[:-1]) | (word[1:] != word[:-1]))
-        # New runs keep the number of their first place, which is above all runs before it.
-        run[live] = live[np.maximum.accumulate(np.where(step, np.arange(len(live)), 0))] + len(order)
-    return order, run
+        # Where a tie breaks, the words tell how many of their bytes are common.
+        broken = np.flatnonzero(step & np.append(False, old[1:] == old[:-1]))
+        apart = word[broken] ^ word[broken - 1]
+        common[live[broken]] = depth + sum((apart < np.uint64(1 << (8 * (take - b)))).astype(np.int64) for b in range(1, take))
+        run[live] = live[np.maximum.accumulate(np.where(step, np.arange(len(live)), 0))]
+    return order, common
+
+
+def longest_previous(common: np.ndarray, doc: np.ndarray, least: int = 1) -> np.ndarray:
+    """The longest-previous-factor array in suffix order: how long a prefix of each suffix starts in a smaller document too.
+
+    The nearest smaller documents before and after it in the order have the longest common
+    prefixes; chains of smaller neighbours lead there. Prefixes shorter than `least` count as 0.
+    """
+    after = np.append(common[1:], 0)
+    return np.maximum(_smaller(common, doc, least), _smaller(after[::-1], doc[::-1], least)[::-1])
+
+
+def _smaller(common: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """Common prefix with the previous smaller document of each place."""
+    n = len(doc)
+    before, prefix = np.arange(n) - 1, common.copy()
+    live = np.arange(n)
+    while len(live := live[(before[live] >= 0) & (prefix[live] >= least)]):
+        live = live[doc[before[live]] >= doc[live]]
+        q = before[live]
+        prefix[live], before[live] = np.minimum(prefix[live], prefix[q]), before[q]
+    return np.where((before >= 0) & (prefix >= least), prefix, 0)
 
 
 def _matched(group: pa.Table) -> pa.Table:
-    """Step 4, for one bucket: for each window that was asked for, a bit for each suffix with an earlier match."""
+    """Step 4, for one bucket: for each entry, a bit for each suffix with an earlier match."""
     anchors, ids, sizes, texts, counts = [], [], [], [], []
     for blob in group["blob"].to_pylist():
         n = int.from_bytes(blob[:8], "little")
@@ -340,23 +438,45 @@ def _matched(group: pa.Table) -> pa.Table:
         texts.append(zstandard.decompress(blob[8 + n :]))
         counts.append(len(a))
     anchor, doc, size = np.concatenate(anchors), np.concatenate(ids), np.concatenate(sizes)
+    kind = np.repeat(group["kind"].to_numpy(), counts)
     data = np.frombuffer(b"".join(texts) + bytes(LENGTH + 8), np.uint8)
     del texts
-    n_suffixes = size - LENGTH + 1
-    at = _ranges(np.cumsum(size) - size, n_suffixes)
-    window = np.repeat(np.arange(len(size)), n_suffixes)
-    _, number = np.unique(anchor, return_inverse=True)
-    order, run = suffix_runs(data, at, number[window])
-    ids_of = doc[window[order]]
-    head = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
-    # Equal suffixes stand together: the previous smaller document of any of them is the run's least, if that is smaller.
-    least = np.minimum.reduceat(ids_of, head) if len(head) else ids_of
-    earlier = np.zeros(len(at), dtype=bool)
-    earlier[order] = np.repeat(least, np.diff(np.append(head, len(run)))) < ids_of
-    offset = at - np.repeat(np.cumsum(size) - size, n_suffixes)
-    mask = np.zeros(len(size), np.uint64)
-    np.bitwise_or.at(mask, window[earlier], np.uint64(1) << offset[earlier].astype(np.uint64))
-    return _blobs(group["chunk"].to_pylist(), [group["bucket"][0].as_py()] * len(counts), 2, [pack(m) for m in np.split(mask, np.cumsum(counts)[:-1])])
+    place, n_suffixes, mask = np.cumsum(size) - size, size - LENGTH + 1, np.zeros(len(size), np.uint64)
+    # Entries by anchor, then document: equal suffixes stand in the order of their documents.
+    by = np.lexsort((doc, anchor, kind))
+    new = np.append(True, (np.diff(anchor[by]) != 0) | (np.diff(kind[by]) != 0))
+    ends = np.append(np.flatnonzero(new)[1:], len(by))
+    number, total = np.cumsum(new) - 1, np.cumsum(n_suffixes[by])
+    lo = 0
+    while lo < len(by):
+        most = (total[lo - 1] if lo else 0) + SORTED
+        k = max(int(np.searchsorted(total[ends - 1], most, "right")) - 1, int(np.searchsorted(ends, lo, "right")))
+        hi = int(ends[k])
+        e = by[lo:hi]
+        at, of = _ranges(place[e], n_suffixes[e]), np.repeat(np.arange(lo, hi), n_suffixes[e])
+        order, common = suffix_order(data, at, number[of])
+        entry = by[of[order]]
+        hit = longest_previous(common, doc[entry], LENGTH) >= LENGTH
+        entry, at = entry[hit], at[order[hit]]
+        np.bitwise_or.at(mask, entry, np.uint64(1) << (at - place[entry]).astype(np.uint64))
+        lo = hi
+    return _blobs(group["chunk"].to_pylist(), [group["bucket"][0].as_py()] * len(counts), group["kind"].to_pylist(), [pack(m) for m in np.split(mask, np.cumsum(counts)[:-1])])
+
+
+def _masks(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
+    """By entry, a bit for each suffix that has an earlier match."""
+    together, hot = _asked_of(c, answers)
+    masks, entry_cuts = np.zeros(len(c.heads), np.uint64), np.searchsorted(c.of_anchor, c.cuts)
+    found = {b: blob for b, kind, blob in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["blob"].to_pylist(), strict=True) if kind == 3}
+    for b, kind, blob in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["blob"].to_pylist(), strict=True):
+        if kind == 2:
+            e = np.flatnonzero(together[entry_cuts[b] : entry_cuts[b + 1]]) + entry_cuts[b]
+            masks[e] = unpack(blob, 1)[0]
+    x = HotSuffixes(c, hot, buckets)
+    earlier = np.concatenate([np.zeros(0, np.uint64), *(unpack(found[b], 1)[0] for b, _, _ in x.parts)])[x.head]
+    earlier |= (x.ids > x.ids[x.heads[x.head]]).astype(np.uint64)
+    np.bitwise_or.at(masks, x.entry, earlier << (x.at - c.first[c.heads[x.entry]]).astype(np.uint64))
+    return masks
 
 
 def _cut(buckets: int, keep_text: bool):  # noqa: ANN202
@@ -366,16 +486,11 @@ def _cut(buckets: int, keep_text: bool):  # noqa: ANN202
     def run(files: pa.Table, answers: pa.Table) -> pa.Table:
         c = _load(files["path"][0].as_py())
         c.index(buckets)
-        flags = _flags(c, answers)
-        masks = np.where(flags[:, 0], np.uint64((1 << (LENGTH - K + 1)) - 1), np.uint64(0))
-        for b, kind, blob in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["blob"].to_pylist(), strict=True):
-            if kind == 2:
-                e = np.flatnonzero(flags[c.cuts[b] : c.cuts[b + 1], 1]) + c.cuts[b]
-                masks[e] |= unpack(blob, 1)[0]
-        later = c.ids[c.w.doc[c.order]] > c.entry_id[c.entry]
-        mask = np.where(later, np.uint64((1 << (LENGTH - K + 1)) - 1), masks[c.entry])
+        # A copy of an entry of a smaller document has an earlier match whatever the answer.
+        later = c.ids_of > c.ids_of[c.heads[c.entry]]
+        mask = np.where(later, np.uint64((1 << (LENGTH - K + 1)) - 1), _masks(c, answers, buckets)[c.entry])
         hit = np.flatnonzero(mask)
-        first, count, mask = c.w.first[c.order[hit]], c.w.count[c.order[hit]], mask[hit]
+        first, count, mask = c.first[hit], c.count[hit], mask[hit]
         edge = np.zeros(len(c.data) + 1, np.int32)
         for o in range(LENGTH - K + 1):
             p = first[(o < count) & (mask >> np.uint64(o) & np.uint64(1)).astype(bool)] + o
@@ -398,7 +513,7 @@ def _cut(buckets: int, keep_text: bool):  # noqa: ANN202
     return run
 
 
-def dedup(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int | None = None, keep_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int | None = None, keep_text: bool = True, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, removed (byte spans), kept (bytes; null unless keep_text), kept_sha256.
 
     A document's windows are held by one task at a time, some 12 bytes for each byte of its chunk.
@@ -408,12 +523,14 @@ def dedup(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int | N
     bucket_bytes = bucket_bytes or min(max(total // BUCKET_PARTS, BUCKET[0]), BUCKET[1])
     buckets = max(16, -(-total // bucket_bytes))
     files = store(docs, chunk_bytes)
-    spread = files.repartitionByRange(min(max(1, files.count()), 100_000), "chunk")
-    entries = spread.select("chunk", "path").mapInArrow(_sent(buckets), _BLOB_SQL)
-    answers = materialize(entries.groupBy("bucket").applyInArrow(_answered, _BLOB_SQL), "suffix-answers")
-    by_chunk = lambda df: files.select("chunk", "path").groupBy("chunk").cogroup(df.groupBy("chunk"))
-    windows = by_chunk(answers).applyInArrow(_asked(buckets), _BLOB_SQL)
-    matches = materialize(windows.groupBy("bucket").applyInArrow(_matched, _BLOB_SQL), "suffix-matches")
+    chunks = min(max(1, files.count()), TASKS)
+    spread = files.repartitionByRange(chunks, "chunk")
+    by_bucket = lambda df: df.repartition(min(buckets, TASKS), "bucket").groupBy("bucket")
+    by_chunk = lambda df: files.select("chunk", "path").repartition(chunks, "chunk").groupBy("chunk").cogroup(df.repartition(chunks, "chunk").groupBy("chunk"))
+    sent = spread.select("chunk", "path").mapInArrow(_sent(buckets), _BLOB_SQL)
+    answers = materialize(by_bucket(sent).applyInArrow(_answered(hot), _BLOB_SQL), "suffix-answers")
+    entries = by_chunk(answers).applyInArrow(_asked(buckets), _BLOB_SQL)
+    matches = materialize(by_bucket(entries).applyInArrow(_matched, _BLOB_SQL), "suffix-matches")
     return by_chunk(answers.union(matches)).applyInArrow(_cut(buckets, keep_text), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
 
 
