@@ -325,8 +325,8 @@ class HotSuffixes:
         #: Places of the first ones, for each suffix the number of its first one, and (bucket, from, to) of the first ones.
         self.heads, self.head = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         self.key, bucket = key[self.heads], bucket[self.heads]
-        cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
-        self.parts = [(int(bucket[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True)]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+        self.parts = [(int(bucket[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _bundle(anchor: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: bytes) -> bytes:
