@@ -42,13 +42,13 @@ LENGTH = 50
 K = 25
 STEP = 1 << 20
 #: Suffixes that a bucket sorts at a time, by whole anchors.
-SORTED = 1 << 21
+SORTED = 1 << 20
 #: Entries of an anchor that are dealt together at most.
 HOT = 1 << 14
 #: Bytes of text of a chunk and of the windows that a bucket gathers, (least, most): both grow
-#: with the corpus, so that a chunk still has several windows for each bucket.
+#: with the corpus, so that a chunk has the windows of some 2700 bytes for each bucket.
 CHUNK, CHUNK_PARTS = (4 << 20, 64 << 20), 20_000
-BUCKET, BUCKET_PARTS = (20 << 20, 128 << 20), 50_000
+BUCKET, SHARE = (4 << 20, 128 << 20), 2700
 #: Tasks of a shuffle at most.
 TASKS = 50_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -131,6 +131,23 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray(max(len(data) - 7, 0), ">u8", data, strides=(1,))
 
 
+def differing(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Members of groups that aren't copies of one string: those are to stand alone. A fresh string begins a group; all have LENGTH bytes."""
+    out = np.zeros(len(fresh), dtype=bool)
+    of = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+    copies, words = np.flatnonzero(~fresh), words_at(data)
+    for at in range(0, len(copies), STEP):
+        i = copies[at : at + STEP]
+        a, b, last = first[i], first[of[i]], sizes[i] - 8
+        differ = sizes[i] != sizes[of[i]]
+        for offset in range(0, 2 * LENGTH - K, 8):
+            o = np.minimum(offset, last)
+            differ |= words[a + o] != words[np.minimum(b + o, len(words) - 1)]
+        out[i] = differ
+    group = np.cumsum(fresh) - 1
+    return np.isin(group, group[out]) if out.any() else out
+
+
 class Chunk:
     """Texts and ids of one file, and its entries, distinct windows in the order of (bucket, anchor, hash)."""
 
@@ -143,7 +160,8 @@ class Chunk:
 
     @staticmethod
     def packed(ids: list[int | None], texts: list[bytes]) -> bytes:
-        n = len(ids)
+        n, order = len(ids), sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k]))
+        ids, texts = [ids[k] for k in order], [texts[k] for k in order]
         head = np.array([i or 0 for i in ids], np.int64).tobytes() + np.array([i is not None for i in ids], np.uint8).tobytes()
         return n.to_bytes(8, "little") + head + np.array([len(t) for t in texts], np.int64).tobytes() + zstandard.compress(b"".join(texts), 3)
 
@@ -151,45 +169,33 @@ class Chunk:
         w = Windows(self.data, self.starts)
         keep = self.has_id[w.doc]
         anchor, code, first, count, ids = (c[keep] for c in (w.anchor, w.hash, w.first, w.count, self.ids[w.doc]))
-        bucket = bucket_of(anchor, buckets)
-        order = np.lexsort((ids, count, code, anchor, bucket))
-        self.first, self.count, self.ids_of, anchor, code = first[order], count[order], ids[order], anchor[order], code[order]
+        # Texts stand in the order of their ids, so a stable sort puts each entry's first document first.
+        key = anchor << _TOP | code >> np.uint64(32)
+        order = np.argsort(key, kind="stable")
+        self.first, self.count, self.ids_of, anchor, key = first[order], count[order], ids[order], anchor[order], key[order]
         fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (anchor[1:] != anchor[:-1]) | (code[1:] != code[:-1]) | (self.count[1:] != self.count[:-1])
-        fresh |= self._differ(fresh)
+        fresh[1:] = key[1:] != key[:-1]
+        fresh |= differing(self.data, self.first, self.count + LENGTH - 1, fresh)
         #: The first window of each entry, for each window its entry, and each entry's anchor by number.
         self.heads = np.flatnonzero(fresh)
         self.entry = np.cumsum(fresh) - 1
         new = np.ones(len(self.heads), dtype=bool)
         new[1:] = anchor[self.heads[1:]] != anchor[self.heads[:-1]]
         self.of_anchor, heads = np.cumsum(new) - 1, self.heads[new]
-        self.anchors, anchor_bucket = anchor[heads], bucket[order][heads]
-        self.cuts = np.searchsorted(anchor_bucket, np.arange(buckets + 1))
+        self.anchors = anchor[heads]
+        self.cuts = np.searchsorted(bucket_of(self.anchors, buckets), np.arange(buckets + 1))
         self.buckets = np.flatnonzero(np.diff(self.cuts)).tolist()
         #: Of each anchor: its entries, and whether these are of several documents.
         self.entries = np.diff(np.append(np.flatnonzero(new), len(new)))
         self.several = np.minimum.reduceat(self.ids_of, heads) < np.maximum.reduceat(self.ids_of, heads) if len(heads) else np.zeros(0, bool)
 
-    def _differ(self, fresh: np.ndarray) -> np.ndarray:
-        """Windows whose group of equal hashes is none of equal bytes: each of those is an entry of its own."""
-        out = np.zeros(len(fresh), dtype=bool)
-        of = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
-        copies, words = np.flatnonzero(~fresh), words_at(self.data)
-        for at in range(0, len(copies), STEP):
-            i = copies[at : at + STEP]
-            a, b, last = self.first[i], self.first[of[i]], self.count[i] + LENGTH - 1 - 8
-            for offset in range(0, 2 * LENGTH - K, 8):
-                o = np.minimum(offset, last)
-                out[i] |= words[a + o] != words[b + o]
-        group = np.cumsum(fresh) - 1
-        return np.isin(group, np.unique(group[out])) if out.any() else out
-
     def bytes_of(self, first: np.ndarray, sizes: np.ndarray) -> bytes:
         return self.data[_ranges(first, sizes)].tobytes()
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(anchor) % np.uint64(buckets)).astype(np.int64)
+    """Buckets in the order of their anchors, hashes of 48 bits."""
+    return ((anchor >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -313,18 +319,14 @@ class HotSuffixes:
         with np.errstate(over="ignore"):
             for offset in offsets:
                 key = mix(key * _A + words[at + offset].astype(np.uint64))
-        ids, bucket = c.ids_of[c.heads[entry]], bucket_of(key, buckets)
-        order = np.lexsort((ids, key, bucket))
-        self.at, self.entry, self.ids, key, bucket = at[order], entry[order], ids[order], key[order], bucket[order]
+        ids, key = c.ids_of[c.heads[entry]], key >> _TOP
+        order = np.lexsort((ids, key))
+        self.at, self.entry, self.ids, key = at[order], entry[order], ids[order], key[order]
         fresh = np.append(True, np.diff(key) != 0) if len(key) else np.zeros(0, bool)
-        of, differ = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0)), np.zeros(len(key), dtype=bool)
-        for offset in offsets:
-            differ |= words[self.at + offset] != words[self.at[of] + offset]
-        group = np.cumsum(fresh) - 1
-        fresh |= np.isin(group, np.unique(group[differ]))
+        fresh |= differing(c.data, self.at, np.full(len(key), LENGTH), fresh)
         #: Places of the first ones, for each suffix the number of its first one, and (bucket, from, to) of the first ones.
         self.heads, self.head = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-        self.key, bucket = key[self.heads], bucket[self.heads]
+        self.key, bucket = key[self.heads], bucket_of(key[self.heads], buckets)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
         self.parts = [(int(bucket[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -441,25 +443,38 @@ def _matched(group: pa.Table) -> pa.Table:
     kind = np.repeat(group["kind"].to_numpy(), counts)
     data = np.frombuffer(b"".join(texts) + bytes(LENGTH + 8), np.uint8)
     del texts
-    place, n_suffixes, mask = np.cumsum(size) - size, size - LENGTH + 1, np.zeros(len(size), np.uint64)
-    # Entries by anchor, then document: equal suffixes stand in the order of their documents.
-    by = np.lexsort((doc, anchor, kind))
-    new = np.append(True, (np.diff(anchor[by]) != 0) | (np.diff(kind[by]) != 0))
-    ends = np.append(np.flatnonzero(new)[1:], len(by))
-    number, total = np.cumsum(new) - 1, np.cumsum(n_suffixes[by])
+    place, mask = np.cumsum(size) - size, np.zeros(len(size), np.uint64)
+    # Copies of one entry, next to each other by a hash of their bytes, stand for the one of the smallest document.
+    key, words = anchor * _A + kind.astype(np.uint64), words_at(data)
+    for offset in range(0, 2 * LENGTH - K, 8):
+        key = mix(key * _B + words[place + np.minimum(offset, size - 8)].astype(np.uint64))
+    by = np.lexsort((doc, key, anchor, kind))
+    fresh = np.ones(len(by), dtype=bool)
+    fresh[1:] = (key[by[1:]] != key[by[:-1]]) | (anchor[by[1:]] != anchor[by[:-1]]) | (kind[by[1:]] != kind[by[:-1]])
+    fresh |= differing(data, place[by], size[by], fresh)
+    e = by[fresh]
+    e = e[np.lexsort((doc[e], anchor[e], kind[e]))]
+    # Entries by anchor, then document: equal suffixes stand in the order of their documents. An anchor of one entry has no match.
+    new = np.append(True, (np.diff(anchor[e]) != 0) | (np.diff(kind[e]) != 0))
+    number = np.cumsum(new) - 1
+    several = (np.bincount(number) > 1)[number]
+    e, number = e[several], number[several]
+    ends, total = np.flatnonzero(np.diff(number, append=-1)) + 1, np.cumsum(size[e] - LENGTH + 1)
     lo = 0
-    while lo < len(by):
+    while lo < len(e):
         most = (total[lo - 1] if lo else 0) + SORTED
-        k = max(int(np.searchsorted(total[ends - 1], most, "right")) - 1, int(np.searchsorted(ends, lo, "right")))
-        hi = int(ends[k])
-        e = by[lo:hi]
-        at, of = _ranges(place[e], n_suffixes[e]), np.repeat(np.arange(lo, hi), n_suffixes[e])
-        order, common = suffix_order(data, at, number[of])
-        entry = by[of[order]]
-        hit = longest_previous(common, doc[entry], LENGTH) >= LENGTH
-        entry, at = entry[hit], at[order[hit]]
-        np.bitwise_or.at(mask, entry, np.uint64(1) << (at - place[entry]).astype(np.uint64))
+        hi = int(ends[max(int(np.searchsorted(total[ends - 1], most, "right")) - 1, int(np.searchsorted(ends, lo, "right")))])
+        part = e[lo:hi]
+        n = size[part] - LENGTH + 1
+        at, of = _ranges(place[part], n), np.repeat(part, n)
+        order, common = suffix_order(data, at, np.repeat(number[lo:hi], n))
+        at, of = at[order], of[order]
+        hit = longest_previous(common, doc[of], LENGTH) >= LENGTH
+        at, of = at[hit], of[hit]
+        np.bitwise_or.at(mask, of, np.uint64(1) << (at - place[of]).astype(np.uint64))
         lo = hi
+    head = by[np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))]
+    mask[by] = np.where(doc[by] > doc[head], np.uint64((1 << (LENGTH - K + 1)) - 1), mask[head])
     return _blobs(group["chunk"].to_pylist(), [group["bucket"][0].as_py()] * len(counts), group["kind"].to_pylist(), [pack(m) for m in np.split(mask, np.cumsum(counts)[:-1])])
 
 
@@ -473,7 +488,7 @@ def _masks(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
             e = np.flatnonzero(together[entry_cuts[b] : entry_cuts[b + 1]]) + entry_cuts[b]
             masks[e] = unpack(blob, 1)[0]
     x = HotSuffixes(c, hot, buckets)
-    earlier = np.concatenate([np.zeros(0, np.uint64), *(unpack(found[b], 1)[0] for b, _, _ in x.parts)])[x.head]
+    earlier = np.concatenate([np.zeros(0, np.uint64), *(unpack(found[b], 1)[0] & np.uint64(1) for b, _, _ in x.parts)])[x.head]
     earlier |= (x.ids > x.ids[x.heads[x.head]]).astype(np.uint64)
     np.bitwise_or.at(masks, x.entry, earlier << (x.at - c.first[c.heads[x.entry]]).astype(np.uint64))
     return masks
@@ -491,11 +506,11 @@ def _cut(buckets: int, keep_text: bool):  # noqa: ANN202
         mask = np.where(later, np.uint64((1 << (LENGTH - K + 1)) - 1), _masks(c, answers, buckets)[c.entry])
         hit = np.flatnonzero(mask)
         first, count, mask = c.first[hit], c.count[hit], mask[hit]
-        edge = np.zeros(len(c.data) + 1, np.int32)
+        edge = np.zeros(len(c.data) + 1, np.int32)  # a position is the start of one suffix only
         for o in range(LENGTH - K + 1):
             p = first[(o < count) & (mask >> np.uint64(o) & np.uint64(1)).astype(bool)] + o
-            np.add.at(edge, p, 1)
-            np.add.at(edge, p + LENGTH, -1)
+            edge[p] += 1
+            edge[p + LENGTH] -= 1
         gone = np.cumsum(edge[:-1]) > 0
         ids, sizes, spans, kept, digests = [], [], [], [], []
         for d in range(len(c.ids)):
@@ -520,7 +535,7 @@ def dedup(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int | N
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk_bytes = chunk_bytes or min(max(total // CHUNK_PARTS, CHUNK[0]), CHUNK[1])
-    bucket_bytes = bucket_bytes or min(max(total // BUCKET_PARTS, BUCKET[0]), BUCKET[1])
+    bucket_bytes = bucket_bytes or min(max(SHARE * total // chunk_bytes, BUCKET[0]), BUCKET[1])
     buckets = max(16, -(-total // bucket_bytes))
     files = store(docs, chunk_bytes)
     chunks = min(max(1, files.count()), TASKS)
