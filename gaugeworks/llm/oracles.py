@@ -114,7 +114,26 @@ SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_remove
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
+def _secrets_base() -> str:
+    lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    kinds = (("assign", lower, r"(?:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([a-z0-9+/_.=-]+)", 1, 8), ("access", "text", "AKIA[A-Z0-9]+", 0, 16), ("hex", "text", "[0-9a-f]+", 0, 32))
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {k} AS ord, {least} AS least, regexp_extract_all({of}, '{pattern}') AS hits, regexp_extract_all({of}, '{pattern}', {group}) AS parts, regexp_split_to_array({of}, '{pattern}') AS rest FROM documents WHERE text IS NOT NULL"
+        for k, (kind, of, pattern, group, least) in enumerate(kinds)
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}')::BIGINT AS n_{kind}" for kind, *_ in kinds)
+    return f"""
+WITH found AS ({found}),
+each AS (SELECT doc_id, kind, ord, least, unnest(hits) AS hit, unnest(parts) AS part, unnest(rest[1:len(hits)]) AS before, unnest(generate_series(1, len(hits))) AS i FROM found WHERE len(hits) > 0),
+placed AS (SELECT *, sum(length(before) + length(hit)) OVER (PARTITION BY doc_id, ord ORDER BY i) AS stop FROM each),
+good AS (SELECT doc_id, kind, ord, (stop - length(hit))::BIGINT AS start, stop::BIGINT AS stop FROM placed WHERE length(part) >= least),
+sums AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM good GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM documents AS d LEFT JOIN sums USING (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "secrets_base": _secrets_base(),
     "op1_decontamination": OP1,
     "op2_mixing": OP2,
     "op4_urls": _op4(),

@@ -63,11 +63,16 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can express."""
+    return op9_secrets(spark, sf_dir).drop("spans")
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_mixing, op3_simhash, op4_urls, op5_chat, op6_embeddings, op7_language, op8_warc, op9_secrets, op10_suffixes)
+    for f in (op1_decontamination, op2_mixing, op3_simhash, op4_urls, op5_chat, op6_embeddings, op7_language, op8_warc, op9_secrets, op10_suffixes, secrets_base)
 }

@@ -2,9 +2,10 @@
 
 Base spans (leftmost, non-overlapping, per kind): assign, access and hex, as patterns below.
 Linking adds weak candidates that mean nothing alone: a login name (`login`), an endpoint
-(`endpoint`: scheme://host...) and a bare token (`bare`: 20 or more characters with a
-digit, a lower and an upper case letter). Within a scope, a paragraph (text between blank
-lines), parts are interval-joined: two parts pair if at most `reach` bytes lie between them.
+(`endpoint`: scheme://host...) and a bare token (`bare`: 20 or more characters with letters of
+both cases and a digit, or letters and digits alone with LEAST_DIGITS of them). A scope is a
+paragraph, text between blank lines. Parts and scopes are intervals, and the join pairs the
+parts that begin in one scope with at most `reach` code points between them (None: no bound).
 A bare token is reported if it pairs with an identifier (access or login) or an endpoint; a
 login or an endpoint if it pairs with a secret (assign, hex, or a reported bare token).
 Candidates that overlap a base span are left out.
@@ -17,8 +18,9 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,10 @@ from pyspark.sql import types as T
 from gaugeworks.llm._common import as_bytes, clear_of
 
 KINDS = ("assign", "access", "hex", "login", "bare", "endpoint")
+#: Code points between linked parts: a few lines of a settings file, not a page of prose.
 REACH = 200
+#: Digits of a bare token of letters of one case.
+LEAST_DIGITS = 4
 MASK = "[SECRET]"
 # Keywords are sought in text with A-Z lower-cased; non-ASCII bytes are in none of the classes.
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([a-z0-9+/_.=-]+)")
@@ -55,53 +60,87 @@ def base_spans(text: bytes) -> list[Span]:
     return out
 
 
-def linked_spans(text: bytes, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Byte spans of weak candidates whose complement stands near in the same scope."""
+def linked_spans(text: bytes, base: list[Span], reach: int | None = REACH) -> list[Span]:
+    """Byte spans of weak candidates whose complement stands in the same scope."""
     lower = text.lower()
     logins = [(m.start(1), m.end(1)) for m in _LOGIN.finditer(lower)] if any(k in lower for k in _LOGIN_WORDS) else []
     ends = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)] if b"://" in text else []
     access = [(a, b) for a, b, k in base if k == "access"]
     if not (logins or ends or access):
         return []
-    strong = sorted((a, b) for a, b, _ in base)
-    free = lambda spans: [s for s in spans if not _overlaps(s, strong)]
-    logins, ends = free(logins), free(ends)
-    taken = sorted(ends + logins)
-    bare = [(m.start(), m.end()) for m in _TOKEN.finditer(text) if _mixed(m[0]) and not _overlaps(m.span(), taken)]
-    bare = free(bare)
-    breaks = [m.start() for m in _BREAK.finditer(text)] if bare or logins or ends else []
-    bare = _paired(bare, sorted(access + logins + ends), breaks, reach)
-    known = sorted([(a, b) for a, b, k in base if k != "access"] + bare)
+    strong = _merged([(a, b) for a, b, _ in base])
+    logins, ends = ([s for s in spans if not _overlaps(s, strong)] for spans in (logins, ends))
+    taken = _merged([*strong, *ends, *logins])
+    bare = [m.span() for m in _TOKEN.finditer(text) if _random(m[0]) and not _overlaps(m.span(), taken)]
+    if not (logins or ends or bare):
+        return []
+    breaks = [m.start() for m in _BREAK.finditer(text)]
+    between = _distance(text) if reach is not None else None
+    bare = _paired(bare, access + logins + ends, breaks, reach, between)
+    known = [(a, b) for a, b, k in base if k != "access"] + bare
     return [
-        *((a, b, "login") for a, b in _paired(logins, known, breaks, reach)),
+        *((a, b, "login") for a, b in _paired(logins, known, breaks, reach, between)),
         *((a, b, "bare") for a, b in bare),
-        *((a, b, "endpoint") for a, b in _paired(ends, known, breaks, reach)),
+        *((a, b, "endpoint") for a, b in _paired(ends, known, breaks, reach, between)),
     ]
 
 
-def _mixed(token: bytes) -> bool:
-    return any(48 <= c <= 57 for c in token) and token.upper() != token and token.lower() != token
+def _random(token: bytes) -> bool:
+    """Whether a token looks drawn, not written."""
+    digits = sum(48 <= c <= 57 for c in token)
+    both = token.upper() != token and token.lower() != token
+    return digits > 0 and (both or (digits >= LEAST_DIGITS and digits < len(token) and token.isalnum()))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same bytes as sorted spans that don't meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _overlaps(span: tuple[int, int], merged: list[tuple[int, int]]) -> bool:
+    """Whether a span meets one of merged ones: only the last that begins before its end can."""
+    i = bisect.bisect_left(merged, (span[1], 0))
+    return i > 0 and merged[i - 1][1] > span[0]
+
 
+def _distance(text: bytes) -> Callable[[int, int], int]:
+    """Code points between two byte offsets."""
+    if text.isascii():
+        return lambda a, b: b - a
+    starts = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    points = np.concatenate([[0], np.cumsum(starts)])
+    return lambda a, b: int(points[b] - points[a])
 
-def _overlaps(span: tuple[int, int], spans: list[tuple[int, int]]) -> bool:
-    """Whether a span meets one of a sorted list of spans."""
-    i = bisect.bisect_left(spans, (span[1], 0))
-    return any(b > span[0] for _, b in spans[max(0, i - 3) : i])
 
+def _paired(spans: list[tuple[int, int]], others: list[tuple[int, int]], breaks: list[int], reach: int | None, between: Callable[[int, int], int] | None) -> list[tuple[int, int]]:
+    """Interval join: the spans that begin in a scope with one of the others, within reach if there is one.
 
-def _paired(spans: list[tuple[int, int]], others: list[tuple[int, int]], breaks: list[int], reach: int) -> list[tuple[int, int]]:
-    """Interval join: the spans that have one of the others within reach and no scope's end between."""
-    out = []
-    starts, longest = [a for a, _ in others], max((b - a for a, b in others), default=0)
+    Of a scope's others, in order, the last one that begins before the span's end and the furthest
+    end of those up to it tell the distance before it; the next one tells that behind.
+    """
+    out, others, reached = [], sorted(others), []
+    starts, scopes = [a for a, _ in others], [bisect.bisect_right(breaks, a) for a, _ in others]
+    for i, (_, y) in enumerate(others):
+        reached.append(max(y, reached[-1]) if i and scopes[i] == scopes[i - 1] else y)
     for a, b in spans:
-        lo, hi = bisect.bisect_left(starts, a - reach - longest), bisect.bisect_right(starts, b + reach)
         scope = bisect.bisect_right(breaks, a)
-        if any(y >= a - reach and bisect.bisect_right(breaks, x) == scope for x, y in others[lo:hi]):
+        i = bisect.bisect_left(starts, b)
+        before, behind = i > 0 and scopes[i - 1] == scope, i < len(others) and scopes[i] == scope
+        if reach is not None:
+            before = before and (reached[i - 1] >= a or between(reached[i - 1], a) <= reach)
+            behind = behind and between(b, starts[i]) <= reach
+        if before or behind:
             out.append((a, b))
     return out
 
 
-def find(text: bytes, reach: int = REACH) -> tuple[list[Span], list[Span]]:
+def find(text: bytes, reach: int | None = REACH) -> tuple[list[Span], list[Span]]:
     """(base, all) spans in code points, by start, then kind as listed."""
     base = base_spans(text)
     both = base + linked_spans(text, base, reach)
@@ -117,7 +156,7 @@ def find(text: bytes, reach: int = REACH) -> tuple[list[Span], list[Span]]:
     return sorted(base, key=order), sorted(both, key=order)
 
 
-def scan(docs: DataFrame, reach: int = REACH, keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, reach: int | None = REACH, keep_text: bool = True) -> DataFrame:
     """docs with `base_spans` and `secret_spans`, arrays of (kind, start, end); without `text` unless keep_text."""
     clear_of(docs, "base_spans", "secret_spans")
     names = [c for c in docs.columns if keep_text or c != "text"]
@@ -143,7 +182,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
 
 
-def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """All documents; every span in `text` is replaced by a mask, and `n_chars`, if there, follows."""
     columns = docs.columns
 
@@ -156,7 +195,7 @@ def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
-def mask(text: str, reach: int = REACH) -> str:
+def mask(text: str, reach: int | None = REACH) -> str:
     spans, out, last = find(text.encode(), reach)[1], [], 0
     for a, b, _ in spans:
         if b > last:

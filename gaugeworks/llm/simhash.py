@@ -8,9 +8,10 @@ in at most `bits` bits, some ring position starts chains of every length l whose
 stay within floor(l * bits / m). Chains of length 2 then have none, so equal pairs of
 neighbouring segments are the join key; the longer chains prune before the full check.
 
-Keys with over `hot` distinct fingerprints are not paired at all. Their fingerprints instead
-meet on each other's one-bit neighbourhoods (bits = 2: two fingerprints share such a value
-exactly if they differ in at most 2 bits), which takes 65 rows each whatever the group's size.
+Keys with over `hot` distinct fingerprints are made longer before anything is paired: the longest
+chain whose budget is one bit (4 segments for bits = 2) is the join key, each fingerprint under
+every form of it with one further bit blanked out. Chains that differ in at most one bit share
+such a form, and few bits are left free within it, so a group's size doesn't grow with the data.
 
 Only distinct fingerprints are compared. Nulls and texts without words have fingerprint 0 and
 link like any other; repeated rows share a class; null doc_ids never name one.
@@ -18,7 +19,6 @@ link like any other; repeated rows share a class; null doc_ids never name one.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,35 +100,34 @@ def links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), k.alias("key")) for i, k in enumerate(keys)))).alias("c")).select("fp", "c.i", "c.key")
     shared = materialize(keyed.groupBy("i", "key").count().filter("count > 1"), "simhash-keys")
     member = materialize(keyed.join(shared, ["i", "key"]), "simhash-members")
-    few = member.filter(F.col("count") <= hot)
+    small = member.filter(F.col("count") <= hot).select("fp", "i", "key", F.lit(-1).alias("blank"))
+    few = small.union(_longer(member.filter(F.col("count") > hot), bits))
     diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     chain = F.lit(False)
     for i in range(m):
         chain = chain | ((F.col("x.i") == i) & _within_chains(diff, i, bits))
     pairs = (
         few.alias("x")
-        .join(few.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & chain & (F.bit_count(diff) <= bits))
+        .join(few.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.blank") == F.col("y.blank")) & (F.col("x.fp") < F.col("y.fp")) & chain & (F.bit_count(diff) <= bits))
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     )
-    many = member.filter(F.col("count") > hot).select("fp").distinct()
-    return pairs.union(_neighbourhood_links(many, bits))
+    return pairs.distinct()
 
 
-def _neighbourhood_links(fps: DataFrame, bits: int) -> DataFrame:
-    """Links of fingerprints that share a value at most bits / 2 flips away from each, in rows linear in their number.
-
-    An odd number of bits takes one flip more on the side of values whose parity is odd.
-    """
-    flips = [0]
-    for _ in range(math.ceil(bits / 2)):
-        flips = sorted({f ^ (1 << i) for f in flips for i in range(64)} | set(flips))
-    if bits % 2 or len(flips) > 3000:
-        raise ValueError("the exact way for hot keys takes an even number of bits, up to 4")
-    near = F.array(*(F.lit(f - (1 << 64) if f >= 1 << 63 else f) for f in flips))
-    out = fps.select("fp", F.explode(near).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("v"))
-    # A value's fingerprints all differ pairwise in at most `bits` bits: they form a star around the smallest.
-    least = out.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("v", "a")
-    return out.join(least, "v").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+def _longer(member: DataFrame, bits: int) -> DataFrame:
+    """Rows (fp, i, key) under longer keys: the longest chain from i that may have one bit, without the bit `blank`."""
+    ring = segments(bits)
+    m = len(ring)
+    length = max(n for n in range(2, m + 1) if n * bits // m <= 1)
+    out = F.array().cast("array<struct<key:bigint,blank:int>>")
+    for i in range(m):
+        chain = [ring[(i + j) % m] for j in range(length)]
+        mask = sum(((1 << w) - 1) << a for a, w in chain)
+        free = [bit for a, w in chain[2:] for bit in range(a, a + w)]
+        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+        forms = F.array(*(F.struct(F.col("fp").bitwiseAND(F.lit(signed(mask & ~(1 << bit)))).alias("key"), F.lit(bit).alias("blank")) for bit in free))
+        out = F.when(F.col("i") == i, forms).otherwise(out)
+    return member.select("fp", "i", F.explode(out).alias("c")).select("fp", "i", "c.key", "c.blank")
 
 
 def _rooted(groups: DataFrame, bits: int) -> DataFrame:

@@ -29,7 +29,7 @@ def docs_of(spark, sf=SF):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op2_mixing", "op10_suffixes"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_mixing", "op10_suffixes", "secrets_base"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -75,21 +75,21 @@ def test_simhash(spark):
     assert {i: r.component_id for i, r in got.items()} == brute_classes(fps)
 
 
-@pytest.mark.parametrize("hot", [1, 5, 10_000])
-def test_simhash_links_cold_and_hot(spark, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(1, 2), (5, 2), (10_000, 2), (1, 1), (10_000, 1), (1, 3), (10_000, 3)])
+def test_simhash_links_cold_and_hot(spark, hot, bits):
     import random
 
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(8)]
     fps = {b ^ (1 << rnd.randrange(64)) ^ (rnd.randrange(2) << rnd.randrange(64)) for b in base for _ in range(25)} | {rnd.getrandbits(64) for _ in range(50)}
     frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    got = {frozenset((r.a, r.b)) for r in simhash.links(frame, hot=hot).collect()}
+    got = {frozenset((r.a, r.b)) for r in simhash.links(frame, bits, hot).collect()}
     signed = {x: (x - (1 << 64) if x >> 63 else x) for x in fps}
-    near = {frozenset((signed[x], signed[y])) for x in fps for y in fps if x != y and bin(x ^ y).count("1") <= 2}
-    assert got <= near
+    near = {frozenset((signed[x], signed[y])) for x in fps for y in fps if x != y and bin(x ^ y).count("1") <= bits}
+    assert got == near
     from gaugeworks.llm.components import components
 
-    found = {r.node: r.root for r in components(simhash.links(frame, hot=hot)).collect()}
+    found = {r.node: r.root for r in components(simhash.links(frame, bits, hot)).collect()}
     want = brute_components(near)
     assert found == want
 
