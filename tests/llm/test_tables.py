@@ -144,6 +144,43 @@ def test_embeddings_odd_and_hot(spark, monkeypatch):
     assert got == brute_vectors([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
 
 
+def test_doubles_stay_doubles(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.95, (1 - 0.95**2) ** 0.5 + 1e-9]), (3, [1e300, 1e299]), (4, [1e-300, 1e-301]), (5, [1.0 + 1e-12, 0.0])]
+    got = sorted(map(tuple, embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    links = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) >= 0.95
+    scaled = [np.array(v) / max(np.abs(v)) for _, v in rows]
+    assert [r[1] for r in got] == [sum(links(a, b) for j, b in enumerate(scaled) if i != j) for i, a in enumerate(scaled)]
+
+
+@pytest.mark.parametrize("flat", [True, False])
+def test_more_lists_than_probes(spark, monkeypatch, flat):
+    """Pairs near the threshold among 6000 vectors in 256 lists, of which 16 are probed."""
+    if not flat:
+        monkeypatch.setattr(embeddings, "FLAT", 16)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 64))
+    x = centres[rng.integers(0, 150, 3000)] + 0.9 * rng.normal(size=(3000, 64))
+    noise = rng.normal(size=x.shape)
+    noise -= x * ((noise * x).sum(1) / (x * x).sum(1))[:, None]
+    tangent = np.tan(np.arccos(rng.uniform(0.94, 0.97, 3000)))
+    y = x + noise * (np.linalg.norm(x, axis=1) / np.linalg.norm(noise, axis=1) * tangent)[:, None]
+    v = np.concatenate([x, y])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(rows, lists=256).collect()}
+    n = np.array([got[i].n_links for i in range(len(v))])
+    recall = n.sum() / near.sum()
+    print(f"recall {recall:.4f} of {near.sum()} links, {'one level' if flat else 'two levels'}")
+    assert near.sum() > 3000 and recall >= 0.99
+    assert (n <= near.sum(axis=1)).all() and n.sum() % 2 == 0
+    # A pair counts for both ends, so vectors with one partner only agree with it.
+    alone = [(int(i), int(np.flatnonzero(near[i])[0])) for i in np.flatnonzero(near.sum(axis=1) == 1)]
+    assert all(n[i] == n[j] for i, j in alone if near[j].sum() == 1)
+    assert all((got[i].component_id == got[j].component_id) == (n[i] == 1) for i, j in alone if near[j].sum() == 1)
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert [tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame([(None, None)], "vec_id long, embedding array<float>")).collect()] == [(None, 0, None, True)]
