@@ -143,7 +143,7 @@ def valid(column: str = "embedding") -> F.Column:
 
 def _drawn(reps: DataFrame, total: int, want: int) -> DataFrame:
     """About `want` rows, by hash."""
-    return reps if total <= want else reps.filter(F.shiftright(F.xxhash64("embedding"), 1).between(-(1 << 61), -(1 << 61) + int(want / total * (1 << 62))))
+    return reps if total <= want else reps.filter(F.shiftright(F.xxhash64("embedding"), 1) < int(want / total * (1 << 63)) - (1 << 62))
 
 
 def fit(reps: DataFrame, dim: int, total: int, lists: int) -> Index | None:

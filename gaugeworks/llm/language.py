@@ -7,9 +7,11 @@ ends) and of the whole word, in a hashed table of fixed size. Viterbi over the w
 penalty for each switch, labels spans; the language with most letters under its label is the
 prediction, and its part of the letters the score. All of it runs on arrays of code points.
 
-Fitting takes a documented sample: of the labelled rows, those whose seeded hash is below
-`sample` / (number of labelled rows), so about `sample` documents whatever the input's size.
-Counting runs on the executors; the table has at most BUCKETS rows for each of LANGUAGES languages.
+Fitting takes a documented sample of texts: about SAMPLE of all labelled rows, and of each
+language LEAST at least if there are so many, drawn by a seeded hash; a text that repeats is one.
+Counting runs on the executors. There is no bound on languages: the model has BUCKETS numbers
+for each, and what is held while texts are scored is bounded by words times languages. Texts
+too long for that are labelled in pieces, which hand on the Viterbi scores.
 
 Null texts and texts without letters are `und` with score 0. Without labelled rows every
 text is. Ties go to the language first in code point order. Repeated rows count each.
@@ -31,13 +33,16 @@ from pyspark.sql import types as T
 from gaugeworks.llm._common import clear_of, text_slices
 
 BUCKETS = 1 << 16
-SAMPLE = 8000
-#: Languages that a model can tell apart: the most frequent ones.
-LANGUAGES = 256
+#: Texts that a model is fitted on, and those of a language at least.
+SAMPLE, LEAST = 8000, 50
 SWITCH = 6.0
 UNKNOWN = "und"
-#: Code points that are scored at a time, characters that words are taken from, bytes of text that are labelled together.
-_BLOCK, _SLICE, _LABELLED = 1 << 17, 1 << 20, 4 << 20
+#: Scores computed at a time, characters that words are taken from, characters times languages that are labelled together.
+_SCORED, _SLICE, _LABELLED = 1 << 20, 1 << 20, 1 << 24
+#: Characters of a piece of a long text, whatever the number of languages.
+_LEAST_PIECE = 1 << 17
+#: Languages whose counts a task holds at a time.
+_HELD = 64
 _CODE_POINTS = 0x110000
 _SPACE = re.compile(r"\s")
 #: Scripts by code point ranges (start, end exclusive).
@@ -98,11 +103,11 @@ class Words:
         #: Words of text i are from starts[i] to starts[i + 1].
         self.starts = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
-    def blocks(self) -> Iterator[tuple[slice, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
-        """(words, place of each word's first n-gram, [(bucket, valid) of the n-grams from every place], bucket of each whole word), some words at a time."""
+    def blocks(self, most: int = 1 << 17) -> Iterator[tuple[slice, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+        """(words, place of each word's first n-gram, [(bucket, valid) of the n-grams from every place], bucket of each whole word), words of about `most` characters at a time."""
         at = 0
         while at < len(self.first):
-            to = max(at + 1, int(np.searchsorted(self.end, self.first[at] + _BLOCK, "right")))
+            to = max(at + 1, int(np.searchsorted(self.end, self.first[at] + most, "right")))
             lo, hi = int(self.first[at]) - 1, int(self.end[to - 1])
             x, ok = self.points[lo : hi + 4], self.inside[lo : hi + 4]
             n = hi - lo
@@ -133,10 +138,8 @@ def _bucket(x: np.ndarray) -> np.ndarray:
 class Model:
     """Log probabilities by bucket and language, and the scripts that each language uses."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray) -> None:
-        self.languages = languages
-        total = counts.sum(axis=0, keepdims=True)
-        self.log = np.log((counts + 0.5) / (total + 0.5 * BUCKETS)).astype(np.float32)
+    def __init__(self, languages: list[str], log: np.ndarray, scripts: np.ndarray) -> None:
+        self.languages, self.log = languages, log
         share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
         self.allowed = share >= 0.01
         self.allowed[~self.allowed.any(axis=1)] = True
@@ -144,7 +147,7 @@ class Model:
     def scores(self, words: Words) -> np.ndarray:
         """By word and language: mean log probability times the word's length up to 8, best language 0; other scripts' languages are out."""
         out = np.zeros((len(words.first), len(self.languages)), np.float32)
-        for part, place, grams, whole in words.blocks():
+        for part, place, grams, whole in words.blocks(max(256, _SCORED // max(len(self.languages), 1))):
             total = self.log[grams[0][0]]
             number = np.ones(len(total), np.float32)
             for bucket, valid in grams[1:]:
@@ -164,17 +167,56 @@ class Model:
     def predict(self, texts: list[str | None], switch: float = SWITCH) -> tuple[list[str], list[float]]:
         if not self.languages or not texts:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        # Features take much memory and are built piece by piece, a step of all texts takes little.
+        # Texts are labelled together while their scores are few; a text of too many is labelled piece by piece.
+        n, most = len(self.languages), max(_LEAST_PIECE, _LABELLED // len(self.languages))
+        best, part, at = np.zeros(len(texts), np.int64), np.zeros(len(texts)), 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (held + len(texts[to] or "") <= most or to == at):
+                held += len(texts[to] or "")
+                to += 1
+            mass = self._mass(texts[at:to], switch) if held <= most else self._mass_of_long(texts[at], switch, most)
+            total = mass.sum(axis=1)
+            best[at:to] = np.where(total > 0, mass.argmax(axis=1), n)
+            part[at:to] = mass.max(axis=1) / np.maximum(total, 1)
+            at = to
+        return [[*self.languages, UNKNOWN][b] for b in best], part.tolist()
+
+    def _mass(self, texts: list[str | None], switch: float) -> np.ndarray:
+        """By text and language, the letters under its label."""
         n, parts = len(self.languages), []
         for of, pieces in slices(texts):
             words = Words(pieces)
             parts.append((of[words.text], words.letters, self.scores(words)))
         text, letters, scores = (np.concatenate(c) for c in zip(*parts, strict=True))
         labels = viterbi(scores, np.searchsorted(text, np.arange(len(texts) + 1)), switch)
-        mass = np.bincount(text * n + labels, weights=letters, minlength=len(texts) * n).reshape(-1, n)
-        best, total = mass.argmax(axis=1), mass.sum(axis=1)
-        top = mass[np.arange(len(texts)), best]
-        return [self.languages[b] if t else UNKNOWN for b, t in zip(best, total, strict=True)], (top / np.maximum(total, 1)).tolist()
+        return np.bincount(text * n + labels, weights=letters, minlength=len(texts) * n).reshape(-1, n)
+
+    def _mass_of_long(self, text: str, switch: float, most: int) -> np.ndarray:
+        """The same of one text: forward over its pieces for the scores at each one's start, then back over them for the labels."""
+        n, fronts = len(self.languages), [np.zeros(len(self.languages), np.float32)]
+        pieces = [p for _, ps in slices([text], most) for p in ps]
+        for piece in pieces:
+            fronts.append(advanced(self.scores(Words([piece])), fronts[-1], switch)[0])
+        mass, state = np.zeros(n), int(fronts[-1].argmax())
+        for piece, front in zip(reversed(pieces), reversed(fronts[:-1]), strict=True):
+            words = Words([piece])
+            came, labels = advanced(self.scores(words), front, switch)[1], np.empty(len(words.first), np.int64)
+            for t in range(len(labels) - 1, -1, -1):
+                labels[t], state = state, int(came[t, state])
+            mass += np.bincount(labels, weights=words.letters, minlength=n)
+        return mass[None]
+
+
+def advanced(scores: np.ndarray, front: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """Viterbi over some words of one text from the scores before them: (scores after them, by word and label the label before)."""
+    came, own = np.empty(scores.shape, np.int32), np.arange(scores.shape[1], dtype=np.int32)
+    for t in range(len(scores)):
+        best = int(front.argmax())
+        top = front[best] - np.float32(switch)
+        came[t] = np.where(front >= top, own, best)
+        front = np.maximum(front, top) + scores[t]
+    return front, came
 
 
 def slices(texts: list[str | None], limit: int = _SLICE) -> Iterator[tuple[np.ndarray, list[str | None]]]:
@@ -213,8 +255,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray
     place = offset[np.arange(n_words) - starts[text]] + rank[text]
     stepped = np.empty_like(scores)
     stepped[place] = scores
-    came = np.empty((n_words, n), dtype=np.int16)
-    own, v, state = np.arange(n, dtype=np.int16), np.zeros((len(lengths), n), np.float32), np.zeros(len(lengths), dtype=np.int64)
+    came = np.empty((n_words, n), dtype=np.int32)
+    own, v, state = np.arange(n, dtype=np.int32), np.zeros((len(lengths), n), np.float32), np.zeros(len(lengths), dtype=np.int64)
     sizes, offsets = [*active.tolist(), 0], offset.tolist()
     for t in range(len(sizes) - 1):
         k, o = sizes[t], offsets[t]
@@ -233,40 +275,53 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray
     return labels[place]
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
     """A model from the rows of (text, lang) whose text and lang aren't null."""
-    rows = labelled.filter("lang is not null and text is not null")
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    rows = rows.filter(F.col("lang").isin([*per]))
+    rows = labelled.filter("lang is not null and text is not null").select("text", "lang")
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages, total = sorted(per), sum(per.values())
     number = {x: i for i, x in enumerate(languages)}
-    if total > sample:
-        limit = int(sample / total * (1 << 62))
-        rows = rows.filter(F.shiftright(F.xxhash64(F.lit("language"), F.xxhash64("text"), "lang"), 1).between(-(1 << 61), -(1 << 61) + limit))
+    if total:
+        limits = [(x, min(int(max(sample / total, least / n) * (1 << 63)), 1 << 63) - (1 << 62) - 1) for x, n in per.items()]
+        limit = labelled.sparkSession.createDataFrame(limits, "lang string, _limit long")
+        drawn = rows.withColumn("_hash", F.xxhash64(F.lit("language"), F.xxhash64("text"), "lang")).join(limit, "lang")
+        drawn = drawn.filter(F.shiftright("_hash", 1) <= F.col("_limit"))
+        rows = drawn.dropDuplicates(["_hash", "lang"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros((len(languages), BUCKETS + len(_SCRIPT_NAMES)), np.int64)
+        got: dict[int, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, x in got.items():
+                f = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), k), pa.int32()), pa.array(f, pa.int32()), pa.array(x[f], pa.int64())], ["k", "f", "n"])
+
         for batch in batches:
-            langs = np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+            langs = batch.column("lang").to_pylist()
             for rows_of, pieces in slices(batch.column("text").to_pylist()):
-                words = Words(pieces)
-                lang = langs[rows_of[words.text]]
-                np.add.at(got, (lang, BUCKETS + words.script.astype(np.int64)), 1)
-                for words_of, place, grams, whole in words.blocks():
-                    np.add.at(got, (lang[words_of], whole), 1)
-                    of = np.repeat(lang[words_of], np.diff(np.append(place, len(grams[0][0]))))
-                    for bucket, valid in grams:
-                        use = slice(None) if valid is None else valid
-                        got += np.bincount((of[use] * got.shape[1] + bucket[use]), minlength=got.size).reshape(got.shape)
-        k, f = np.nonzero(got)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(f, pa.int32()), pa.array(got[k, f], pa.int64())], ["k", "f", "n"])
-
-    counts, scripts = np.zeros((BUCKETS, len(languages))), np.zeros((len(_SCRIPT_NAMES), len(languages)))
-    summed = rows.select("text", "lang").mapInArrow(count, "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n"))
-    got = summed.toArrow().to_pydict()
-    for k, f, n in zip(got["k"], got["f"], got["n"], strict=True):
-        (scripts if f >= BUCKETS else counts)[f % BUCKETS, k] += n
-    return Model(languages, counts, scripts)
+                for i, piece in zip(rows_of.tolist(), pieces, strict=True):
+                    words, x = Words([piece]), got.setdefault(number[langs[i]], np.zeros(BUCKETS + len(_SCRIPT_NAMES), np.int64))
+                    x[BUCKETS:] += np.bincount(words.script, minlength=len(_SCRIPT_NAMES))
+                    for _, _, grams, whole in words.blocks():
+                        for bucket in (whole, *(b if valid is None else b[valid] for b, valid in grams)):
+                            np.add.at(x, bucket, 1)
+                    if len(got) > _HELD:
+                        yield from told()
+                        got.clear()
+        yield from told()
+
+    def scaled(group: pa.Table) -> pa.Table:
+        x = np.zeros(BUCKETS + len(_SCRIPT_NAMES))
+        x[group["f"].to_numpy()] = group["n"].to_numpy()
+        log = np.log((x[:BUCKETS] + 0.5) / (x[:BUCKETS].sum() + 0.5 * BUCKETS)).astype("<f4")
+        return pa.table({"k": pa.array([group["k"][0].as_py()], pa.int32()), "log": pa.array([log.tobytes()], pa.binary()), "scripts": pa.array([x[BUCKETS:].tolist()], pa.list_(pa.float64()))})
+
+    summed = rows.mapInArrow(count, "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n"))
+    got = summed.groupBy("k").applyInArrow(scaled, "k int, log binary, scripts array<double>").toArrow()
+    log, scripts = np.full((BUCKETS, len(languages)), -np.log(BUCKETS), np.float32), np.zeros((len(_SCRIPT_NAMES), len(languages)))
+    for k, x, y in zip(got["k"].to_pylist(), got["log"], got["scripts"].to_pylist(), strict=True):
+        log[:, k], scripts[:, k] = np.frombuffer(x.as_buffer(), "<f4"), y
+    return Model(languages, log, scripts)
 
 
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH, keep_text: bool = True) -> DataFrame:
@@ -279,7 +334,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, keep_text: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Model = shared.value
         for batch in batches:
-            for part in text_slices(batch, limit=_LABELLED):
+            for part in text_slices(batch):
                 langs, scores = held.predict(part.column("text").to_pylist(), switch)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
