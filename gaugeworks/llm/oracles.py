@@ -37,23 +37,29 @@ FROM r
 """
 
 
-def _op4() -> str:
+def _op4(rules: tuple[tuple[str, str], ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))) -> str:
     rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
-    fits = {r: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for r, h, p in (("net/", "net", "/"), ("example.net/en/", "example.net", "/en/"), ("example.com/de/", "example.com", "/de/"), ("org/fr/", "org", "/fr/"))}
+    cases = []
+    for verdict, r in sorted(rules, key=lambda x: -len(x[1])):
+        h, _, p = r.partition("/")
+        cases.append((verdict, r, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}'))"))
+    rule = "CASE " + " ".join(f"WHEN {fits} THEN '{r}'" for _, r, fits in cases) + " END"
+    blocks = ", ".join(f"'{r}'" for verdict, r, _ in cases if verdict == "block")
     out = f"""
 WITH raw AS (SELECT page_id, coalesce({rest}, '') AS rest FROM pages),
 cut AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM raw),
-u AS (SELECT *, CASE WHEN {fits["example.com/de/"]} THEN 'example.com/de/' WHEN {fits["example.net/en/"]} THEN 'example.net/en/' WHEN {fits["org/fr/"]} THEN 'org/fr/' WHEN {fits["net/"]} THEN 'net/' END AS rule,
+u AS (SELECT *, {rule} AS rule,
       list_transform(string_split(substr(path, 2), '/'), lambda s: CASE WHEN length(s) > 24 THEN '{{slug}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS segments FROM cut),
-g AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS given, array_to_string(segments, '/') AS shape FROM u),
+g AS (SELECT *, CASE WHEN rule IN ({blocks}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS given, array_to_string(segments, '/') AS shape FROM u),
 t0 AS (SELECT host, shape, any_value(segments) AS segments, '' AS template, count(*)::DOUBLE AS n, count(given)::DOUBLE AS labelled, count(*) FILTER (given = 'block')::DOUBLE AS bad FROM g GROUP BY host, shape)"""
     for k in (1, 2, 3):
         out += f""",
-h{k} AS (SELECT *, coalesce(segments[{k}], '') AS child, greatest(len(segments) - {k}, 0) * n AS below FROM t{k - 1}),
-c{k} AS (SELECT host, template, child, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad, sum(below) AS below FROM h{k} GROUP BY ALL),
-n{k} AS (SELECT host, template, count(*) AS children, sum(n) AS an, sum(labelled) AS al, sum(bad) AS ab, sum(below) AS aw FROM c{k} GROUP BY ALL),
+h{k} AS (SELECT *, coalesce(segments[{k}], '') AS child, coalesce(segments[{k} + 1], '') AS nxt, greatest(len(segments) - {k}, 0) * n AS below FROM t{k - 1}),
+c{k} AS (SELECT host, template, child, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad, sum(below) AS below, count(DISTINCT nxt) AS fan FROM h{k} GROUP BY ALL),
+n{k} AS (SELECT host, template, count(*) AS children, sum(n) AS an, sum(labelled) AS al, sum(bad) AS ab, sum(below) AS aw, sum(fan) AS af FROM c{k} GROUP BY ALL),
 d{k} AS (SELECT host, template, child, CASE WHEN (children > 20 AND n * 20 < an) OR (labelled > 0 AND abs(below * an - aw * n) * 2 <= n * an
-         AND (bad * al - ab * labelled) * (bad * al - ab * labelled) <= 4 * ab * (al - ab) * labelled) THEN '*' ELSE child END AS token FROM c{k} JOIN n{k} USING (host, template)),
+         AND (bad * al - ab * labelled) * (bad * al - ab * labelled) <= 4 * ab * (al - ab) * labelled)
+         OR (labelled = 0 AND 2 * al >= an AND abs(below * an - aw * n) * 2 <= n * an AND fan * children * 2 >= af AND fan * children <= 2 * af) THEN '*' ELSE child END AS token FROM c{k} JOIN n{k} USING (host, template)),
 t{k} AS (SELECT host, shape, segments, template || '/' || token AS template, n, labelled, bad FROM h{k} JOIN d{k} USING (host, template, child))"""
     return out + """,
 f AS (SELECT host, shape, template || '/' || array_to_string(segments[4:], '/') AS template, labelled, bad FROM t3),
@@ -137,6 +143,7 @@ ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_mixing": OP2,
     "op4_urls": _op4(),
+    "urls_by_template": _op4((*(("block", f"{host}/en/{d}") for host in ("com", "net") for d in range(1, 8)), *(("allow", f"org/en/{d}") for d in range(1, 6)), ("block", "org/de/"))),
     "op5_chat": _op5(),
     "op6_embeddings": OP6,
     "op8_warc": OP8,

@@ -32,6 +32,16 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Rules that label a part of a template's urls, so that the tree decides on the others.
+PARTIAL_RULES = (*(("block", f"{host}/en/{d}") for host in ("com", "net") for d in range(1, 8)), *(("allow", f"org/en/{d}") for d in range(1, 6)), ("block", "org/de/"))
+
+
+def urls_by_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 under other rules, under which most verdicts are the tree's."""
+    rules = tuple(urls.Rule(*r) for r in PARTIAL_RULES)
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 #: A conversation that says control strings, in another layout than the table's.
 CONTROL = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
 
@@ -74,5 +84,5 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_mixing, op3_simhash, op4_urls, op5_chat, op6_embeddings, op7_language, op8_warc, op9_secrets, op10_suffixes, secrets_base)
+    for f in (op1_decontamination, op2_mixing, op3_simhash, op4_urls, op5_chat, op6_embeddings, op7_language, op8_warc, op9_secrets, op10_suffixes, secrets_base, urls_by_template)
 }

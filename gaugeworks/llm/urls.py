@@ -7,7 +7,9 @@ Tree, per host: digits within a segment become {n} and long slugs {slug}. Then l
 level, below the generalised path so far, children become the wildcard * if they are a
 variable segment (over VARIABLE children, this one below 5 % of the node) or statistically
 similar: labelled, of about the same depth below, and with a share of blocked labels within
-two standard errors of the node's. Levels run to the end of the longest path. A path that has
+two standard errors of the node's. A child without labels is similar if its depth below and
+its number of different children are about those of the node, at least half of which is
+labelled; so a few labels never speak for a host's other branches. Levels run to the end of the longest path. A path that has
 ended counts as an empty segment. After LEVELS levels, shapes leave together once none of their
 template is longer, and a shape that shares its template with no other keeps its own rest. A template is rejected if its smoothed purity
 (blocked + SMOOTH / 2) / (labelled + SMOOTH) reaches PURITY; unlabelled ones stay at one half.
@@ -118,14 +120,17 @@ def judged_templates(parsed: DataFrame) -> DataFrame:
 
 def _grown(tree: DataFrame, level: int) -> DataFrame:
     """Shapes with the templates that one more level gives."""
-    here = tree.withColumn("child", F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit(""))).withColumn("below", F.greatest(F.size("segments") - level, F.lit(0)) * F.col("n"))
+    at = lambda k: F.coalesce(F.try_element_at("segments", F.lit(k)), F.lit(""))
+    here = tree.withColumns({"child": at(level), "next": at(level + 1)}).withColumn("below", F.greatest(F.size("segments") - level, F.lit(0)) * F.col("n"))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad", "below")]
-    child = here.groupBy("host", "template", "child").agg(*sums)
-    node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad", "below")))
+    child = here.groupBy("host", "template", "child").agg(*sums, F.count_distinct("next").alias("fan"))
+    node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad", "below", "fan")))
     d = lambda c: F.col(c).cast("double")
     variable = (F.col("children") > VARIABLE) & (d("n") * 20 < d("all_n"))
     apart = d("bad") * d("all_labelled") - d("all_bad") * d("labelled")
     deep = F.abs(d("below") * d("all_n") - d("all_below") * d("n")) * 2 <= d("n") * d("all_n")
     similar = (F.col("labelled") > 0) & deep & (apart * apart <= 4 * d("all_bad") * (d("all_labelled") - d("all_bad")) * d("labelled"))
+    wide = (d("fan") * d("children") * 2 >= d("all_fan")) & (d("fan") * d("children") <= 2 * d("all_fan"))
+    similar = similar | ((F.col("labelled") == 0) & (2 * d("all_labelled") >= d("all_n")) & deep & wide)
     named = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(variable | similar, F.lit("*")).otherwise(F.col("child")).alias("token"))
-    return here.join(named, ["host", "template", "child"]).withColumn("template", F.concat_ws("/", "template", "token")).drop("child", "below", "token")
+    return here.join(named, ["host", "template", "child"]).withColumn("template", F.concat_ws("/", "template", "token")).drop("child", "next", "below", "token")

@@ -15,7 +15,7 @@ from gaugeworks.llm.oracles import ORACLES
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("name", ["op4_urls", "op5_chat", "op6_embeddings", "op8_warc"])
+@pytest.mark.parametrize("name", ["op4_urls", "urls_by_template", "op5_chat", "op6_embeddings", "op8_warc"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("pages", "conversations", "embeddings"):
@@ -57,6 +57,16 @@ def test_templates_reject_what_looks_blocked(spark):
     assert unruled == {("ads", "block"), ("item", "allow")}
 
 
+def test_unlabelled_branches_join_similar_ones(spark):
+    rules = (urls.Rule("block", "a.example/x"), urls.Rule("block", "b.example/x"))
+    rows = [f"http://a.example/{b}/{i}/p" for b in ("x1", "x2", "x3", "yy", "zz") for i in range(5)]
+    rows += [f"http://a.example/about/us/team/{i}/long/way" for i in range(3)]
+    rows += [f"http://b.example/{b}/{i}" for b in ("x1", "yy", "zz") for i in range(8)]
+    got = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).filter("rule is null").collect()
+    verdicts = {(r.host, r.path.split("/")[1], r.verdict) for r in got}
+    assert verdicts == {("a.example", "yy", "block"), ("a.example", "zz", "block"), ("a.example", "about", "allow"), ("b.example", "yy", "allow"), ("b.example", "zz", "allow")}
+
+
 def test_variable_segments_become_wildcards(spark):
     rows = [(i, f"http://h.example/u{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xyz'[i // 26]}/page") for i in range(60)]
     parsed = spark.createDataFrame(rows, "page_id long, url string")
