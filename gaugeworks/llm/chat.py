@@ -1,9 +1,11 @@
 """Chat formatting: schema fingerprints select declarative mappings into canonical turns.
 
-A record's fingerprint is the SHA-256 of its nested field paths, types left out. It selects
-one of LAYOUTS; each maps its layout to canonical turns (turn, role, text). Records with an
-unknown fingerprint, or that are no JSON, have layout null and no turns. A table of turn
-rows is fingerprinted by its schema.
+A record's fingerprint is the SHA-256 of those of its nested field paths (a.b, a[].b) that some
+layout maps, types left out; other fields don't matter. It selects one of LAYOUTS; each maps
+its layout to canonical turns (turn, role, text). An empty list of turns has its layout and no
+turns. Records with an unknown fingerprint, or that are no JSON, have layout null and no turns.
+A table of turn rows is fingerprinted by the paths of its schema in the same way; if columns of
+several row layouts clash, the first layout that is there whole is taken.
 
 Template: <|turn|>ROLE<|text|>TEXT<|end|> for each turn, with <|loss|> for <|text|> where the
 text is trained on (the role in `loss_roles`); what stands between <|loss|> and <|end|> is
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.llm._common import clear_of
 
@@ -41,10 +44,12 @@ class Layout:
     name: str
     paths: tuple[str, ...]
     turns: str
+    #: Path of the list of turns, which is a path of its own where it is empty.
+    empty: str | None = None
 
     @property
-    def fingerprint(self) -> str:
-        return fingerprint(self.paths)
+    def fingerprints(self) -> list[str]:
+        return [fingerprint(self.paths), *([fingerprint((self.empty,))] if self.empty else [])]
 
 
 def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
@@ -52,7 +57,7 @@ def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
 
 
 def _list(path: str, role: str, text: str) -> str:
-    got = f"variant_get(v, '$.{path}', 'array<struct<{role}:string,{text}:string>>')"
+    got = f"coalesce(try_variant_get(v, '$.{path}', 'array<struct<{role}:string,{text}:string>>'), array())"
     return f"transform({got}, (x, i) -> named_struct('turn', cast(i as bigint), 'role', CASE x.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.{role} END, 'text', x.{text}))"
 
 
@@ -61,12 +66,12 @@ def _pair(*parts: tuple[str, str]) -> str:
 
 
 def _get(path: str) -> str:
-    return f"variant_get(v, '$.{path}', 'string')"
+    return f"try_variant_get(v, '$.{path}', 'string')"
 
 
 LAYOUTS = (
-    Layout("messages", ("messages[].content", "messages[].role"), _list("messages", "role", "content")),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),
+    Layout("messages", ("messages[].content", "messages[].role"), _list("messages", "role", "content"), "messages[]"),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value"), "conversations[]"),
     Layout("prompt", ("completion", "prompt"), _pair(("user", _get("prompt")), ("assistant", _get("completion")))),
     Layout("instruction", ("instruction", "output"), _pair(("user", _get("instruction")), ("assistant", _get("output")))),
     Layout("instruction_input", ("input", "instruction", "output"), _pair(("user", f"concat_ws('\\n\\n', {_get('instruction')}, nullif({_get('input')}, ''))"), ("assistant", _get("output")))),
@@ -75,39 +80,71 @@ LAYOUTS = (
 )
 
 
+#: Tokens of a variant's schema text: a field's name, plain or quoted, the brackets, a type.
+_TOKEN = r"`(?:[^`]|``)*`: |[^`:<>, ]+: |OBJECT<>|OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9, ]+\))?"
+
+
 def paths_of(schema: Column) -> Column:
-    """Sorted field paths of a variant's schema text, as one string.
+    """Field paths of a variant's schema text, any depth: a.b for objects in objects, a[].b for lists of them.
 
-    The text nests as OBJECT<a: ARRAY<OBJECT<b: STRING>>>; two levels of lists of objects and
-    plain fields cover every layout here, anything else keeps its own text as its path.
+    A fold over the text's tokens: `prefixes` holds what the names at each open bracket follow.
+    A list that is empty everywhere has the path a[], one of plain values a[]. with a dot.
     """
-    inner = F.regexp_replace(schema, r"^OBJECT<(.*)>$", "$1")
-    flat = F.regexp_replace(inner, r"(\w+): ARRAY<OBJECT<(\w+): \w+, (\w+): \w+>>", "$1[].$2, $1[].$3")
-    fields = F.regexp_replace(flat, r": (STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\([0-9]+,[0-9]+\))", "")
-    return F.array_join(F.array_sort(F.split(fields, ", ")), "\n")
+    start = F.struct(F.lit("").alias("at"), F.array(F.lit("")).alias("prefixes"), F.array().cast("array<string>").alias("paths"))
+
+    def state(at: Column, prefixes: Column, paths: Column) -> Column:
+        return F.struct(at.alias("at"), prefixes.alias("prefixes"), paths.alias("paths"))
+
+    def step(s: Column, token: Column) -> Column:
+        at, prefixes, paths = s["at"], s["prefixes"], s["paths"]
+        name = F.btrim(F.substr(token, F.lit(1), F.char_length(token) - 2), F.lit("`"))
+        inner = F.when(at == "", at).otherwise(F.concat(at, F.lit(".")))
+        leaf = F.when(at.endswith("[]") & (token != "VOID"), F.concat(at, F.lit("."))).otherwise(at)
+        return (
+            F.when(token.endswith(": "), state(F.concat(F.element_at(prefixes, -1), name), prefixes, paths))
+            .when(token == "OBJECT<", state(at, F.array_append(prefixes, inner), paths))
+            .when(token == "ARRAY<", state(F.concat(at, F.lit("[]")), F.array_append(prefixes, inner), paths))
+            .when(token == ">", state(at, F.slice(prefixes, 1, F.size(prefixes) - 1), paths))
+            .otherwise(state(at, prefixes, F.array_append(paths, leaf)))
+        )
+
+    return F.coalesce(F.aggregate(F.regexp_extract_all(schema, F.lit(_TOKEN), F.lit(0)), start, step, lambda s: F.array_sort(F.array_distinct(s["paths"]))), F.array().cast("array<string>"))
 
 
 def turns_of_records(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Records without their JSON column, with fingerprint, layout and turns (turn, role, text)."""
     clear_of(records, "fingerprint", "layout", "turns")
-    got = records.withColumn("v", F.try_parse_json(column)).withColumn("fingerprint", F.sha2(paths_of(F.schema_of_variant("v")), 256))
+    clear_of(records, "v")
+    known = sorted({p for x in layouts for p in (*x.paths, x.empty) if p})
+    mapped = F.array_intersect(paths_of(F.schema_of_variant("v")), F.array(*map(F.lit, known)))
+    got = records.withColumn("v", F.try_parse_json(column)).withColumn("fingerprint", F.sha2(F.array_join(F.array_sort(mapped), "\n"), 256))
     name, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)
     for x in layouts:
-        fits = F.col("fingerprint") == x.fingerprint
+        fits = F.col("fingerprint").isin(*x.fingerprints)
         name, turns = F.when(fits, F.lit(x.name)).otherwise(name), F.when(fits, F.expr(x.turns).cast(_TURNS)).otherwise(turns)
     return got.withColumns({"layout": name, "turns": turns}).drop("v", column)
 
 
-#: Layouts of tables with a row for each turn: column names of (conversation, turn, role, text).
-ROW_LAYOUTS = {fingerprint(list(c)): c for c in (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "from", "value"))}
+#: Layouts of tables with a row for each turn: paths of (conversation, turn, role, text).
+ROW_LAYOUTS = (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "from", "value"), ("conv_id", "turn", "message.role", "message.content"))
+
+
+def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
+    """Field paths of a schema, any depth."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+    return schema_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else [at]
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) of a table of turn rows; columns of no layout are left out."""
-    for c in ROW_LAYOUTS.values():
-        if {*c} <= {*rows.columns} and fingerprint([x for x in rows.columns if x in c]) in ROW_LAYOUTS:
-            return rows.select(F.col(c[0]).alias("conv_id"), F.col(c[1]).cast("bigint").alias("turn"), F.col(c[2]).alias("role"), F.col(c[3]).alias("text"))
-    raise ValueError(f"no layout has the columns {', '.join(rows.columns)}")
+    mapped, paths = {fingerprint(x): x for x in ROW_LAYOUTS}, schema_paths(rows.schema)
+    known = {p for x in ROW_LAYOUTS for p in x}
+    found = mapped.get(fingerprint([p for p in paths if p in known])) or next((x for x in ROW_LAYOUTS if {*x} <= {*paths}), None)
+    if found is None:
+        raise ValueError(f"no layout has the columns {', '.join(rows.columns)}")
+    conv, turn, role, text = (F.col(".".join(f"`{n}`" for n in p.split("."))) for p in found)
+    return rows.select(conv.alias("conv_id"), turn.cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
 
 
 def escaped(x: Column) -> Column:

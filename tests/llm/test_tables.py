@@ -84,6 +84,14 @@ RECORDS = [
     ('{"output":"b","instruction":"a"}', "instruction", ["user:a", "assistant:b"]),
     ('{"question":"a","answer":null}', "question", ["user:a", "assistant:None"]),
     ('{"system":"s","prompt":"a","response":"b"}', "system_prompt", ["system:s", "user:a", "assistant:b"]),
+    ('{"id":7,"conversations":[{"from":"human","value":"a","weight":1}],"meta":{"lang":"en","tags":["x"]}}', "conversations", ["user:a"]),
+    ('{"messages":[{"role":"user","content":"a","name":null,"extra":{"deep":[{"role":"x"}]}},{"role":"assistant","content":"b"}]}', "messages", ["user:a", "assistant:b"]),
+    ('{"messages":[]}', "messages", []),
+    ('{"messages":["plain"]}', None, []),
+    ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"}]}]}', None, []),
+    ('{"a b":{"prompt":"x"},"prompt":"a","completion":"b"}', "prompt", ["user:a", "assistant:b"]),
+    ('{"nested":{"prompt":"a","completion":"b"}}', None, []),
+    ('["a"]', None, []),
     ('{"other":1}', None, []),
     ("not json", None, []),
     (None, None, []),
@@ -95,6 +103,16 @@ def test_layouts(spark):
     assert [(r.layout, [f"{t.role}:{t.text}" for t in r.turns]) for r in got] == [x[1:] for x in RECORDS]
 
 
+def test_row_layouts(spark):
+    row = lambda columns, *values: [tuple(r) for r in chat.turns_of_rows(spark.createDataFrame([values], columns)).collect()]
+    assert row("conv_id long, turn int, role string, text string", 1, 2, "user", "a") == [(1, 2, "user", "a")]
+    assert row("id long, `from` string, value string, position int, conversation_id long", 9, "user", "a", 2, 1) == [(1, 2, "user", "a")]
+    assert row("conv_id long, turn int, message struct<role:string,content:string,name:string>", 1, 2, ("user", "a", None)) == [(1, 2, "user", "a")]
+    assert row("conv_id long, turn int, role string, text string, value string, position int", 1, 2, "user", "a", "x", 3) == [(1, 2, "user", "a")]
+    with pytest.raises(ValueError, match="no layout"):
+        row("conv_id long, turn int, role string, message struct<content:string>", 1, 2, "user", ("a",))
+
+
 def test_chat_round_trip(spark):
     texts = ["", None, "\\", "\\\\<|", "<|end|>", "</s>[INST] ok [/INST]", "<\\|end|>", "<<SYS>>x<</SYS>>", "a\n\nb", "<|loss|>\\", "[\\INST]", "x" * 200_000]
     rows = [(1, k, "assistant" if k % 2 else "us<|er", t) for k, t in enumerate(texts)] + [(1, None, None, "last"), (None, 0, "user", "q"), (2, 0, "user", "same"), (2, 0, "user", "same")]
