@@ -1,4 +1,9 @@
-"""A corpus pipeline of five training-data operators, each stage written and read again."""
+"""A corpus pipeline of five training-data operators, each stage written and read again.
+
+Columns that the stages don't know pass through. A column with the name of one that a stage
+adds (`lang_pred`, `hit_spans`, `taken`, ...) is refused with a ValueError. An empty table gives
+an empty one.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +16,37 @@ from gaugeworks.storage import mark, release
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no letters; texts that mix languages stay, whatever the share of the leading one."""
+    """Rejects what has no letters, null texts too; texts that mix languages stay, whatever the share of the leading one.
+
+    Needs the columns text and lang; lang only fits the model. Repeated rows are judged alike.
+    """
     model = language.fit(docs.select("text", "lang"))
     return language.predict(docs, model).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of near-duplicates: Jaccard 0.8 or more on five words."""
+    """Keeps the document with the smallest doc_id of each class of near-duplicates: Jaccard 0.8 or more on five words.
+
+    Texts without words are one class. Null doc_ids come last; of rows that tie or repeat one stays.
+    """
     return simhash_near.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of the benchmark."""
+    """Drops documents that hold a window of the benchmark; null and empty texts hold none and stay."""
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; every document stays."""
+    """Masks secrets in the texts; every row stays, nulls and repeated ones too."""
     return secrets.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their number of repetitions."""
+    """The documents that the mix takes, with their number of repetitions; texts without words take nothing and go.
+
+    A null source is a source. Repeated rows are documents of their own.
+    """
     return mixing.mix_documents(docs)
 
 
