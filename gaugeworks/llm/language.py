@@ -283,8 +283,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
     number = {x: i for i, x in enumerate(languages)}
     if total:
         limits = [(x, min(int(max(sample / total, least / n) * (1 << 63)), 1 << 63) - (1 << 62) - 1) for x, n in per.items()]
+        # A row for each language, of which the model holds far more.
         limit = labelled.sparkSession.createDataFrame(limits, "lang string, _limit long")
-        drawn = rows.withColumn("_hash", F.xxhash64(F.lit("language"), F.xxhash64("text"), "lang")).join(limit, "lang")
+        drawn = rows.withColumn("_hash", F.xxhash64(F.lit("language"), F.xxhash64("text"), "lang")).join(F.broadcast(limit), "lang")
         drawn = drawn.filter(F.shiftright("_hash", 1) <= F.col("_limit"))
         rows = drawn.dropDuplicates(["_hash", "lang"]).select("text", "lang")
 

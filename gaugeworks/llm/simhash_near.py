@@ -229,25 +229,26 @@ def _verified(whole: DataFrame, groups: DataFrame, pairs: DataFrame, shingle: in
     texts = sieve(whole.select("_k1", "_k2", "text"), wanted).filter("_maybe").join(wanted, ["_k1", "_k2"]).dropDuplicates(["sig"]).select("sig", "text")
     texts = materialize(texts, "near-texts")
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(COPIES)).cast("int").alias("_copies"))
-    left = texts.select(F.col("sig").alias("a"), F.col("text").alias("x")).join(copies, "a")
-    left = left.select("a", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "x")
+    # Each copy of a text stands before the texts it meets, so a task holds one set and streams the others past it.
+    left = texts.select(F.col("sig").alias("a"), "text").join(copies, "a")
+    left = left.select("a", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), F.lit(None).cast("long").alias("b"), "text")
     right = pairs.select("a", "b").join(copies, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_copies")).cast("int").alias("_copy"), "b")
-    right = right.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("y")), "b")
+    right = right.join(texts.select(F.col("sig").alias("b"), "text"), "b").select("a", "_copy", "b", "text")
+    rows = left.union(right).repartition("a", "_copy").sortWithinPartitions("a", "_copy", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = None, _NONE
+        of = _NONE
         for batch in batches:
-            for part in text_slices(batch, "y"):
-                ok, a = [], part.column("a").to_pylist()
-                x, y = part.column("x"), as_bytes(part, "y")
-                for i, sig in enumerate(a):
-                    if sig != held:
-                        held, of = sig, shingles((x[i].as_py() or "").encode(), shingle)
-                    ok.append(near(of, shingles(y[i], shingle)))
+            for part in text_slices(batch):
+                ok = []
+                for b, text in zip(part.column("b").to_pylist(), as_bytes(part), strict=True):
+                    found = shingles(text, shingle)
+                    if b is None:
+                        of = found
+                    ok.append(b is not None and near(of, found))
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = left.join(right, ["a", "_copy"]).select("a", "b", "x", "y")
-    return materialize(joined.mapInArrow(run, "a long, b long"), "near-links")
+    return materialize(rows.select("a", "b", "text").mapInArrow(run, "a long, b long"), "near-links")
 
 
 def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
