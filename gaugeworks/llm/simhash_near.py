@@ -16,9 +16,13 @@ average (standard deviation 4); BUDGET = 48 bits leave 5 deviations and more.
 
 Large groups make no pairs: first each text of a shingle meets the smallest one, and of those
 candidates each text is checked against the closest. Shingles whose texts are then of one class
-are done; in the others the fingerprints of all pairs across classes are compared in blocks, and
-only candidates leave a block. Texts of four fifths boilerplate that are still no copies of each
-other are the worst case: their comparisons grow with their square.
+are done. In the others, texts that follow each other when their fingerprints are sorted, from
+each of four places of the ring, are checked too, which joins most of what is left of a large
+class in linear work. After that the texts outside the largest class are compared in blocks, with each
+other and with that class. What leaves a block has passed the ring and a bound that is exact:
+each shingle flips one of PARITIES bits, so sets differ in as many shingles as bits at least,
+and near ones in few. Texts of four fifths boilerplate that are still no copies of each other
+are the worst case: their comparisons in blocks, not what leaves them, grow with their square.
 
 Only distinct sets are compared (64-bit hashes of shingles and sets). Nulls and texts without
 words have the empty set and are of one class; repeated rows are one; null doc_ids never name
@@ -45,15 +49,19 @@ SHINGLE = 5
 NEAR = (4, 5)
 #: Segments of 16 bits of the ring, differing bits that a pair may have, longest chain before the full check.
 SEGMENTS, BUDGET, CHAIN = 8, 48, 3
+#: Bits of a set's parities.
+PARITIES = 512
 #: About so many texts are sampled for common shingles, which occur in so many of them at least.
 SAMPLE, COMMON = 10_000, 8
 #: Most common shingles that are put last.
 LAST = 1 << 16
+#: Texts of a shingle that are sorted by their fingerprints, at least.
+FEW = 8
 #: Fingerprints of a side of a block, and texts that meet one copy of a text.
 BLOCK, COPIES = 1024, 256
 _NONE = np.empty(0, dtype=np.uint64)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_FP = [T.StructField("n", T.LongType()), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType())]
+_FP = [T.StructField("n", T.LongType()), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("parity", T.BinaryType())]
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -84,6 +92,12 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Bit i is set if an odd number of the set's hashes falls on it."""
+    falls = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((falls & 1).astype(np.uint8)).tobytes()
+
+
 def prefix(found: np.ndarray, last: np.ndarray = _NONE) -> np.ndarray:
     """The part of a set that it shares with every set near enough; `last`, sorted, ends the order."""
     n = len(found)
@@ -152,7 +166,7 @@ def _marked(whole: DataFrame, last: np.ndarray, shingle: int) -> DataFrame:
     schema = T.StructType([whole.schema[c] for c in names] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
+        seen: dict[int, tuple[int, int, bytes]] = {}
         for batch in batches:
             for part in text_slices(batch):
                 sigs, sizes, heads, fps = [], [], [], []
@@ -162,13 +176,13 @@ def _marked(whole: DataFrame, last: np.ndarray, shingle: int) -> DataFrame:
                     sizes.append(len(found))
                     heads.append(_NONE if sig in seen else prefix(found, last))
                     if sig not in seen:
-                        seen[sig] = fingerprint(found)
+                        seen[sig] = (*fingerprint(found), parity(found))
                     fps.append(seen[sig])
                 if len(seen) > 1 << 17:
                     seen.clear()
                 ends = np.cumsum([0] + [len(x) for x in heads]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*heads, _NONE]).view(np.int64)))
-                cols = [*(part.column(c) for c in names), _longs(sigs), pa.array(sizes, pa.int64()), *(_longs([f[i] for f in fps]) for i in (0, 1)), lists]
+                cols = [*(part.column(c) for c in names), _longs(sigs), pa.array(sizes, pa.int64()), *(_longs([f[i] for f in fps]) for i in (0, 1)), pa.array([f[2] for f in fps], pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     return whole.select(*names, "text").mapInArrow(run, schema)
@@ -189,36 +203,69 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (h, a, sig)], ["h", "a", "sig"])
 
 
+def _following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (h, sig) in order: neighbours within an h."""
+    held = np.empty((0, 2), dtype=np.int64)
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1)])
+        held = rows[-1:]
+        same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] != rows[:-1, 1])
+        a, b = rows[:-1, 1][same], rows[1:, 1][same]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _neighbours(rows: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) across classes whose fingerprints are next to each other under some shingle; rows: (h, sig, root)."""
+    sizes = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n")).filter(F.col("lo") < F.col("hi")).filter(F.col("_n") >= FEW)
+    held = materialize(rows.join(sizes.select("h"), "h").join(groups.select("sig", "f0", "f1"), "sig").select("h", "sig", "f0", "f1"), "near-sorted")
+    keys = [F.col("f0"), F.expr("shiftleft(f0, 32) | shiftrightunsigned(f0, 32)"), F.col("f1"), F.expr("shiftleft(f1, 32) | shiftrightunsigned(f1, 32)")]
+    orders = [held.select("h", "sig", k.alias("_key")).repartitionByRange("h", "_key", "sig").sortWithinPartitions("h", "_key", "sig") for k in keys]
+    pairs = reduce(DataFrame.union, [o.select("h", "sig").mapInArrow(_following, "a long, b long") for o in orders]).distinct()
+    pairs = _with_roots(pairs, roots).select("a", "b")
+    return materialize(_pruned(pairs.join(_side(groups, "a", "x"), "a").join(_side(groups, "b", "y"), "b")).select("a", "b"), "near-neighbours")
+
+
 def _side(groups: DataFrame, name: str, of: str) -> DataFrame:
     return groups.select(F.col("sig").alias(name), *(F.col(c).alias(f"{of}_{c}") for c in ("n", "f0", "f1")))
 
 
 def _across(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The pairs (a, b, dist) of a block (sig, root, n, f0, f1) across classes that the ring lets through."""
+    """The pairs (a, b, dist) of a block (sig, root, n, f0, f1, parity) across classes that the ring and the parities let through."""
     p, q = NEAR
     out = [np.empty((0, 3), dtype=np.int64)]
     if left.num_rows and right.num_rows:
         (s, r, n), (t, u, m) = ([x.column(c).to_numpy() for c in ("sig", "root", "n")] for x in (left, right))
         f, g = (np.stack([x.column(c).to_numpy() for c in ("f0", "f1")], axis=1) for x in (left, right))
+        odd, even = (np.frombuffer(b"".join(x.column("parity").to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for x in (left, right))
         for i in range(len(s)):
             j = np.flatnonzero((u != r[i]) & (np.minimum(n[i], m) * q >= np.maximum(n[i], m) * p))
             diff = f[i] ^ g[j]
             ok = within_ring(diff)
-            a, b = np.full(int(ok.sum()), s[i]), t[j[ok]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.bitwise_count(diff[ok].view(np.uint64)).sum(axis=1).astype(np.int64)], axis=1))
+            j, diff = j[ok], diff[ok]
+            # Sets of n and m that are near differ in (q - p) / (q + p) of n + m shingles at most.
+            ok = np.bitwise_count(odd[i] ^ even[j]).sum(axis=1).astype(np.int64) * (q + p) <= (q - p) * (n[i] + m[j])
+            j, diff = j[ok], diff[ok]
+            a, b = np.full(len(j), s[i]), t[j]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.bitwise_count(diff.view(np.uint64)).sum(axis=1).astype(np.int64)], axis=1))
     return pa.table(dict(zip(("a", "b", "dist"), np.concatenate(out).T, strict=True)))
 
 
 def _in_blocks(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Candidate pairs across the classes of shingles; rows: (h, sig, root). A shingle of many texts is many blocks."""
-    sizes = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n")).filter("lo < hi and _n > 2")
-    parts = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int")
-    mixed = rows.join(sizes.select("h", parts.alias("_parts")), "h").join(groups.select("sig", "n", "f0", "f1"), "sig")
-    mixed = materialize(mixed.withColumn("_own", F.pmod(F.xxhash64("sig"), F.col("_parts")).cast("int")), "near-mixed")
-    names = ["h", "sig", "root", "n", "f0", "f1"]
-    # Each unordered pair of parts is one block: a text is a left row of its part and later ones, a right row of its part and earlier ones.
-    left = mixed.select(*names, F.col("_own").alias("i"), F.explode(F.sequence(F.col("_own"), F.col("_parts") - 1)).alias("j"))
-    right = mixed.select(*names, F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("i"), F.col("_own").alias("j"))
+    """Candidate pairs across the classes of shingles; rows: (h, sig, root). A shingle of many texts is many blocks.
+
+    A shingle's largest class is compared with the other texts only, so it is dealt once for each block of those.
+    """
+    per = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = per.groupBy("h").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.max("_n").alias("_in"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_classes")).filter("_classes > 1 and _n > 2")
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select("h", "_main", parts(F.col("_n") - F.col("_in")).alias("_others"), parts(F.col("_in")).alias("_mains"))
+    mixed = rows.join(sizes, "h").join(groups.select("sig", "n", "f0", "f1", "parity"), "sig").withColumn("_own", F.xxhash64("sig"))
+    main = F.col("root") == F.col("_main")
+    mixed = materialize(mixed.withColumn("_own", F.when(main, F.col("_others") + F.pmod("_own", "_mains")).otherwise(F.pmod("_own", "_others")).cast("int")), "near-mixed")
+    names = ["h", "sig", "root", "n", "f0", "f1", "parity"]
+    # Parts of other texts come first. Each of them meets itself, those behind it and the parts of the largest class.
+    left = mixed.filter("_own < _others").select(*names, F.col("_own").alias("i"), F.explode(F.sequence(F.col("_own"), F.col("_others") + F.col("_mains") - 1)).alias("j"))
+    right = mixed.select(*names, F.explode(F.sequence(F.lit(0), F.least("_own", F.col("_others") - 1))).alias("i"), F.col("_own").alias("j"))
     return left.groupBy("h", "i", "j").cogroup(right.groupBy("h", "i", "j")).applyInArrow(_across, "a long, b long, dist long").distinct()
 
 
@@ -270,9 +317,14 @@ def _roots(whole: DataFrame, marked: DataFrame, groups: DataFrame, shingle: int)
     found = materialize(components(links), "near-roots")
     # Shingles whose texts are of several classes yet: the other pairs across classes, the closest of each class first.
     rows = member.select("h", "sig").union(member.select("h", F.col("a").alias("sig")).distinct())
-    rows = rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rooted = lambda x, found: x.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = materialize(_in_blocks(materialize(rows, "near-rows"), groups).join(tried, ["a", "b"], "left_anti"), "near-across")
+    rows = materialize(rows, "near-rows")
+    beside = _neighbours(rooted(rows, found), groups, found).join(tried, ["a", "b"], "left_anti")
+    links = links.union(_verified(whole, groups, beside, shingle))
+    tried = tried.union(beside).distinct()
+    found = materialize(components(links), "near-roots")
+    left = materialize(_in_blocks(materialize(rooted(rows, found), "near-rooted"), groups).join(tried, ["a", "b"], "left_anti"), "near-across")
     for first in (True, False):
         now = _with_roots(left, found)
         if first:
@@ -292,7 +344,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     whole = keyed(docs)
     marked = materialize(_marked(whole, _common(whole, shingle), shingle), "near-marked")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
-    groups = materialize(marked.groupBy("sig").agg(F.min(first).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "f0", "f1"))), "near-groups")
+    groups = materialize(marked.groupBy("sig").agg(F.min(first).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "f0", "f1", "parity"))), "near-groups")
     roots = _roots(whole, marked, groups, shingle).withColumnRenamed("node", "sig")
     rooted = groups.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2", F.lit(True).alias("_kept"))
