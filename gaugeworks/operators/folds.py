@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,15 @@ class Affine(Fold):
         """(a, b) of the readings from a position (their number before) on; a first reading has a = 0."""
         raise NotImplementedError
 
+    @property
+    def initial(self) -> float | None:
+        """The output before the first reading."""
+        return None
+
+    def others(self, position: int, count: int) -> list[np.ndarray]:
+        """Further outputs after each of `count` readings from a position on; they depend on the number of readings only."""
+        return []
+
 
 @dataclass(frozen=True)
 class Ema(Affine):
@@ -143,24 +153,52 @@ class Kalman(Affine):
         """The gain that a covariance would give without process noise."""
         return covariance / (covariance + self.r)
 
+    @property
+    def initial(self) -> float | None:
+        return self.x0
+
+    def covariances(self, position: int, count: int) -> np.ndarray:
+        """The covariance before each of `count` readings from a position on, and after the last."""
+        return _covariances(self.p0, self.q, self.r).at(position, count + 1)
+
     def coefficients(self, position, values, previous):  # noqa: ANN001, ANN201
-        gains, p = [], self.p0
-        for k in range(position + len(values)):
-            g = (p + self.q) / (p + self.q + self.r)
-            new = (1 - g) * (p + self.q)
-            if k >= position:
-                gains.append(g)
-            elif new == p:
-                # The covariance has settled: all later gains are this one.
-                gains = [g] * len(values)
-                break
-            p = new
-        g = np.array(gains)
+        p = self.covariances(position, len(values))[:-1] + self.q
+        g = p / (p + self.r)
         a, b = 1 - g, g * values
         if position == 0 and len(values):
             a[0], b[0] = 0.0, (1 - g[0]) * self.x0 + g[0] * values[0]
         return a, b
 
+    def others(self, position, count):  # noqa: ANN001, ANN201
+        # Before the first reading stands the initial covariance, without a gain.
+        if position + count == 0:
+            return [np.array([self.p0]), np.array([np.nan])]
+        p = self.covariances(position, count)
+        return [p[1:], (p[:-1] + self.q) / (p[:-1] + self.q + self.r)]
+
+
+class Covariances:
+    """Covariances of a Kalman filter by number of readings: computed once, up to where they settle."""
+
+    def __init__(self, p0: float, q: float, r: float) -> None:
+        self.q, self.r, self.known, self.settled = q, r, [p0], False
+
+    def at(self, position: int, count: int) -> np.ndarray:
+        if self.q == 0 and self.r > 0 and self.known[0] > 0:
+            # Without process noise they never settle, but have a closed form.
+            return 1 / (1 / self.known[0] + np.arange(position, position + count) / self.r)
+        while len(self.known) < position + count and not self.settled:
+            p = self.known[-1] + self.q
+            new = (1 - p / (p + self.r)) * p if p + self.r else 0.0
+            self.settled = new in self.known[-2:]
+            self.known.append(new)
+        return np.array(self.known[position : position + count] + [self.known[-1]] * (count - max(0, min(len(self.known) - position, count))))
+
+
+@lru_cache(maxsize=16)
+def _covariances(p0: float, q: float, r: float) -> Covariances:
+    return Covariances(p0, q, r)
+
 
 def folded(df: DataFrame, stream: Stream, fold: Fold) -> DataFrame:
     """df with the fold's outputs."""
@@ -223,9 +261,11 @@ def _spread(df: DataFrame, stream: Stream, fold: Affine) -> DataFrame:
     starts = starts.sortWithinPartitions(*keys, "_block").mapInArrow(_compose(keys), T.StructType([*key_schema, T.StructField("_start", T.DoubleType())]))
     begun = _same_keys(placed, starts, [*keys, "_block"], "left").select(*placed.columns, "_start")
     ordered = begun.repartition("_block", *keys).sortWithinPartitions("_block", *keys, *stream.order)
-    name = next(iter(fold.outputs))
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-    return ordered.mapInArrow(_from_starts(fold, (*keys, "_block"), df.columns, name), schema)
+    names = list(fold.outputs)
+    if len(names) > 1 + len(fold.others(0, 0)):
+        raise ValueError(f"a spread stream has no outputs beyond {names[: 1 + len(fold.others(0, 0))]}")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    return ordered.mapInArrow(_from_starts(fold, (*keys, "_block"), df.columns, names), schema)
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -280,11 +320,12 @@ def _compose(keys: tuple[str, ...]):  # noqa: ANN202
     return run
 
 
-def _from_starts(fold: Affine, keys: tuple[str, ...], columns: list[str], name: str):  # noqa: ANN202
+def _from_starts(fold: Affine, keys: tuple[str, ...], columns: list[str], names: list[str]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, y, position, previous = None, 0.0, 0, None
         for batch in batches:
             out: list[float | None] = []
+            more: list[list[float | None]] = [[] for _ in names[1:]]
             for key, lo, hi in groups(batch, keys):
                 if key != current:
                     current, y = key, batch.column("_start")[lo].as_py() or 0.0
@@ -292,14 +333,21 @@ def _from_starts(fold: Affine, keys: tuple[str, ...], columns: list[str], name:
                 values = batch.column(fold.inputs[0])[lo:hi].to_pylist()
                 x = np.array([v for v in values if v is not None], dtype=float)
                 steps = iter(zip(*(c.tolist() for c in fold.coefficients(position, x, previous)), strict=True)) if len(x) else iter(())
+                if more:
+                    # By row, the number of readings so far in this part: null readings give the last values again.
+                    seen = np.cumsum([v is not None for v in values])
+                    for have, new, old in zip(more, fold.others(position, len(x)) if len(x) else fold.others(position, 0), fold.others(position - 1, 1) if position else fold.others(0, 0), strict=False):
+                        told = np.concatenate([old[-1:], new])[seen] if len(x) else np.repeat(old[-1:], len(values))
+                        have += [None if np.isnan(t) else t for t in told.tolist()]
                 for v in values:
                     if v is not None:
                         a, b = next(steps)
                         y = a * y + b
                         position += 1
-                    out.append(y if position else None)
+                    out.append(y if position else fold.initial)
                 if len(x):
                     previous = float(x[-1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.float64())], [*columns, name])
+            added = [pa.array(o, pa.float64()) for o in (out, *more)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], [*columns, *names])
 
     return run

@@ -34,8 +34,15 @@ class Stream:
         return self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def _clear_of(df: DataFrame, *names: str) -> None:
+    """Raise if the input already has a column that an operator adds."""
+    if clash := sorted({c.lower() for c in df.columns} & {n.lower() for n in names}):
+        raise ValueError(f"input already has the columns {', '.join(clash)}")
+
+
 def running(df: DataFrame, stream: Stream, **values: tuple[str, Column]) -> DataFrame:
     """Adds running values: name=(kind, column), kind one of count, sum, max, min. Sums of integers are exact."""
+    _clear_of(df, *values, *(["_block", "_at", *(f"_{name}" for name in values)] if stream.spread else []))
     kinds = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
     if not stream.spread:
         return df.withColumns({name: kinds[kind](col).over(stream.running) for name, (kind, col) in values.items()})
@@ -71,14 +78,15 @@ def numbered(df: DataFrame, stream: Stream, name: str = "n") -> DataFrame:
 
 def framed(df: DataFrame, stream: Stream, size: int, **values: Column | None) -> DataFrame:
     """Adds values that are aggregates over the last `size` rows, this one included."""
+    _clear_of(df, *values, *(["_n", "_cell", "_own"] if stream.spread else []))
     frame = lambda w: w.rowsBetween(-(size - 1), Window.currentRow)
     if not stream.spread:
         return df.withColumns({name: v.over(frame(stream.window())) for name, v in values.items()})
     rows = numbered(df, stream, "_n")
     cell = F.floor(F.col("_n") / F.lit(CELL))
-    # The last rows of a cell are copied to the next one, to be seen and then left out.
-    next_too = F.when((F.col("_n") % CELL) >= CELL - size + 1, F.array(cell, cell + 1)).otherwise(F.array(cell))
-    rows = rows.withColumn("_cell", F.explode(next_too)).withColumn("_own", F.col("_cell") == cell)
+    # A row is copied to every later cell that a frame reaches back from, to be seen there and then left out.
+    reached = F.sequence(cell, F.floor((F.col("_n") + F.lit(size - 1)) / F.lit(CELL)))
+    rows = rows.withColumn("_cell", F.explode(reached)).withColumn("_own", F.col("_cell") == cell)
     over = frame(Window.partitionBy(*stream.keys, "_cell").orderBy("_n"))
     return rows.withColumns({name: v.over(over) for name, v in values.items()}).filter("_own").select(*df.columns, *values)
 
@@ -122,6 +130,7 @@ def running_status(df: DataFrame, stream: Stream, column: str = "value", scale:
     HIGH is above 1.5 times the mean, LOW below half of it.
     """
     units = F.round(F.col(column) * scale).cast("long")
+    _clear_of(df, "mean", "status")
     got = running(df, stream, count=("count", F.lit(1)), _sum=("sum", units))
     mean = F.col("_sum") / F.lit(float(scale)) / F.col("count")
     status = F.when(F.col(column) > 1.5 * F.col("mean"), "HIGH").when(F.col(column) < 0.5 * F.col("mean"), "LOW").otherwise("NORMAL")

@@ -17,9 +17,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a session without it, as in tests, gets a folder of its own."""
+    """spark.checkpoint.dir; only a local session without it, as in tests, gets a folder of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gaugeworks-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
