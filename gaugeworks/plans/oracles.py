@@ -73,6 +73,15 @@ def _count(o: str, name: str) -> str:
     return f"count(*) FILTER (outcome = '{o}') AS {name}_count"
 
 
+def _product() -> str:
+    """Rotation about x, then about z, one after the other."""
+    cz, sz, cx, sx = (_d(f(a)) for a in (EULER[0], EULER[2]) for f in (math.cos, math.sin))
+    turned = f"SELECT seq, ax, ay, az, ax AS x1, {cx} * ay - {sx} * az AS y1, {sx} * ay + {cx} * az AS z1 FROM i"
+    there = [("x", f"{cz} * x1 - {sz} * y1"), ("y", f"{sz} * x1 + {cz} * y1"), ("z", "z1")]
+    cols = [f"round({e}, 6) AS {name}_{c}" for name in ("there", "by_row") for c, e in there] + [f"round(a{c}, 6) AS back_{c}" for c in "xyz"]
+    return f"WITH {_I}, t AS ({turned}) SELECT seq, {', '.join(cols)} FROM t"
+
+
 ORACLES: dict[str, str] = {
     "flagship_status": f"WITH {_R} {_status('sensor_id')}",
     "flagship_status_global": f"WITH {_R} {_status('')}",
@@ -153,7 +162,17 @@ ORACLES: dict[str, str] = {
     "snapshot_summary": f"""WITH {_LAT}, c AS (SELECT count(*)::DOUBLE AS throughput, max(latency_ns) AS p99, min(latency_ns)::DOUBLE AS jit, count(*) AS i, count(*) FILTER (seq % 2 = 0) AS o FROM l GROUP BY event_type)
         SELECT count(*) AS snapshots, avg(throughput) AS avg_throughput, min(throughput) AS min_throughput, max(throughput) AS max_throughput, avg(p99) AS avg_p99_ns, max(p99)::DOUBLE AS max_p99_ns, avg(jit) AS avg_jitter_ns, max(jit) AS max_jitter_ns, sum(i)::BIGINT AS total_input, sum(o)::BIGINT AS total_output, 1 - sum(o)::DOUBLE / sum(i) AS overall_drop_rate FROM c""",
     "recorder": f"WITH {_R} SELECT sensor_id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY seq DESC) AS k FROM r) WHERE k <= 3",
-    "token_latency": f"WITH {_R} SELECT a.seq, a.timestamp_ns, CASE WHEN a.seq % 2 = 0 THEN a.seq END AS latency_ns FROM r AS a WHERE a.seq % 3 = 0",
+    "token_latency": f"WITH {_R} SELECT seq, timestamp_ns, CASE WHEN event_type <> 'view' THEN seq END AS latency_ns FROM r",
+    "stage_counts": f"WITH {_R}, c AS (SELECT count(*) AS a, count(*) FILTER (value > 0) AS b, count(*) FILTER (value > 0 AND value * 2 < 60) AS c FROM r) "
+    "SELECT 0 AS stage, 'filter' AS name, a AS input_count, b AS output_count, a - b AS filtered_count FROM c UNION ALL SELECT 1, 'map', b, b, 0 FROM c UNION ALL SELECT 2, 'filter', b, c, b - c FROM c",
+    "rotation_product": _product(),
+    "scan_geometry": f"SELECT vec_id AS seq, 0.0::DOUBLE AS angle_min, round({_d(2 * math.pi)}, 6) AS angle_max, round({_d(2 * math.pi / 64)}, 6) AS angle_increment, 0.05::DOUBLE AS range_min, 100.0::DOUBLE AS range_max FROM embeddings",
+    "scaled_unbiased": f"WITH {_R} SELECT seq, value * 2.5::DOUBLE AS value, value * 2.5::DOUBLE - 0.75::DOUBLE AS unbiased FROM r",
+    "imu_six_axes": f"WITH {_I} SELECT seq, ax AS accel_x, ay AS accel_y, az AS accel_z, gx AS gyro_x, gy AS gyro_y, gz AS gyro_z, 2::BIGINT AS parts, 0.0::DOUBLE AS zero FROM i",
+    "fused_pairs": f"WITH {_NEAR} SELECT m.seq, m.value - other AS fused, abs(time_diff) AS time_diff_ns, r.timestamp_ns FROM m JOIN r ON r.seq = m.seq WHERE k = 1",
+    "admission_strategies": f"WITH {_N}, c AS (SELECT *, count(*) OVER (PARTITION BY sensor_id) AS total FROM n), "
+    "k AS (SELECT 'block' AS strategy, * FROM c UNION ALL SELECT 'sample', * FROM c WHERE (n - 1) % 3 = 0 UNION ALL SELECT 'drop_newest', * FROM c WHERE n <= 5 UNION ALL SELECT 'drop_oldest', * FROM c WHERE n > total - 5) "
+    "SELECT sensor_id, count(*) AS kept, min(seq) AS first, max(seq) AS last, strategy FROM k GROUP BY sensor_id, strategy",
     "sequence_source": "SELECT i * 10000000 AS timestamp_ns, i AS seq, least(i + 1, 5)::INTEGER AS data, 'hold' AS mode FROM range(20) AS t(i) UNION ALL SELECT i * 10000000, i, (i % 3 + 1)::INTEGER, 'repeat' FROM range(20) AS t(i)",
     "sensor_generators": "SELECT 'demo' AS source, i AS seq, round(50 + 30 * sin(i * 0.1::DOUBLE), 6) AS value FROM range(1000) AS t(i) UNION ALL SELECT 'barometer', i, round(101325 + 100 * sin(i * 0.1::DOUBLE), 6) FROM range(1000) AS t(i)",
 }

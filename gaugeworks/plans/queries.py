@@ -397,8 +397,73 @@ def recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = in_range(spark, sf_dir).select("seq", "timestamp_ns")
-    return metrics.token_latency(rows.filter("seq % 3 = 0"), rows.filter("seq % 2 = 0").withColumn("timestamp_ns", F.col("timestamp_ns") + F.col("seq")))
+    """Every reading starts; views never end."""
+    rows = in_range(spark, sf_dir)
+    ends = rows.filter("event_type <> 'view'").select("seq", (F.col("timestamp_ns") + F.col("seq")).alias("timestamp_ns"))
+    return metrics.token_latency(rows.select("seq", "timestamp_ns"), ends)
+
+
+@query
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of each stage, observed while the rows pass."""
+    chain = core.Pipeline().filter(F.col("value") > 0).map(value=F.col("value") * 2).filter(F.col("value") < 60)
+    out, counts = chain.measured(in_range(spark, sf_dir))
+    out.write.format("noop").mode("overwrite").save()
+    rows = [(i, c["name"], c["input_count"], c["output_count"], c["filtered_count"]) for i, c in enumerate(counts())]
+    return spark.createDataFrame(rows, "stage long, name string, input_count long, output_count long, filtered_count long")
+
+
+@query
+def rotation_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product of rotations, its transpose, and the same matrix brought along by each row."""
+    both = vectors.Rotation.z(EULER[0]) @ vectors.Rotation.x(EULER[2])
+    there = both.apply(F.col("accel"))
+    back = both.transpose().apply(there)
+    by_row = vectors.rotate_by_array(F.array(*(F.array(*map(F.lit, r)) for r in both.rows)), F.col("accel"))
+    return schema.imu(spark, sf_dir).select("seq", *vector("there", there, exact=False), *vector("back", back, exact=False), *vector("by_row", by_row, exact=False))
+
+
+@query
+def scan_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    geometry = lidar.ScanGeometry.full_rotation(65, 100.0).columns()
+    return schema.scans(spark, sf_dir).select("seq", *(rounded(c).alias(k) for k, c in geometry.items()))
+
+
+@query
+def scaled_unbiased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = core.Pipeline().then(core.quantity_scaled("value", 2.5))(in_range(spark, sf_dir).select("seq", "value"))
+    return rows.select("seq", "value", vectors.correct_bias(F.col("value"), 0.75).alias("unbiased"))
+
+
+@query
+def imu_six_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of nine axes, from arrays, without the last three; and a zero reading."""
+    wide = schema.imu(spark, sf_dir).withColumn("mag", F.col("accel"))
+    as_array = lambda c: F.array(*(F.col(c)[x] for x in "xyz"))
+    six = vectors.to_6dof(F.struct(vectors.imu_from_arrays(as_array("accel"), as_array("gyro"))["accel"].alias("accel"), F.col("gyro"), F.col("mag")))
+    return wide.select("seq", *vector("accel", six["accel"]), *vector("gyro", six["gyro"]), F.size(F.map_keys(F.from_json(F.to_json(six), "map<string,string>"))).cast("long").alias("parts"), vectors.imu_zero()["gyro"]["z"].alias("zero"))
+
+
+@query
+def fused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synchronised pairs, fused by a stage of the user's."""
+    primary, secondary = _pairing(spark, sf_dir)
+    pairs = fusion.asof_nearest(primary, secondary, TOLERANCE_NS)
+    pairs = pairs.select("seq", fusion.pair(F.col("value"), F.col("secondary.value"), F.col("timestamp_ns"), F.col("secondary.timestamp_ns")).alias("pair"))
+    fused = core.Pipeline().map(fused=F.col("pair.primary") - F.col("pair.secondary"))(pairs)
+    return fused.select("seq", "fused", F.col("pair.time_diff_ns").alias("time_diff_ns"), F.col("pair.timestamp_ns").alias("timestamp_ns"))
+
+
+@query
+def admission_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each strategy admits, by sensor."""
+    rows, capacity = in_range(spark, sf_dir).select("sensor_id", "seq", "value"), 5
+    chosen = (admission.Strategy.BLOCK, admission.Strategy.SAMPLE, admission.Strategy.DROP_NEWEST, admission.Strategy.DROP_OLDEST)
+    kept = [s.apply(rows, BY_SENSOR, capacity=capacity, rate=3).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("first"), F.max("seq").alias("last")).withColumn("strategy", F.lit(s.value)) for s in chosen]
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return out
 
 
 @query
