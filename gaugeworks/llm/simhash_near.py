@@ -229,6 +229,12 @@ def _side(groups: DataFrame, name: str, of: str) -> DataFrame:
     return groups.select(F.col("sig").alias(name), *(F.col(c).alias(f"{of}_{c}") for c in ("n", "f0", "f1")))
 
 
+def _twos(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b, dist) of the shingles of two texts; rows: (h, sig). One of them may be closest to a third."""
+    two = rows.groupBy("h").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n = 2").select("a", "b").distinct()
+    return _pruned(two.join(_side(groups, "a", "x"), "a").join(_side(groups, "b", "y"), "b")).select("a", "b", "dist")
+
+
 def _across(left: pa.Table, right: pa.Table) -> pa.Table:
     """The pairs (a, b, dist) of a block (sig, root, n, f0, f1, parity) across classes that the ring and the parities let through."""
     p, q = NEAR
@@ -266,7 +272,7 @@ def _in_blocks(rows: DataFrame, groups: DataFrame) -> DataFrame:
     # Parts of other texts come first. Each of them meets itself, those behind it and the parts of the largest class.
     left = mixed.filter("_own < _others").select(*names, F.col("_own").alias("i"), F.explode(F.sequence(F.col("_own"), F.col("_others") + F.col("_mains") - 1)).alias("j"))
     right = mixed.select(*names, F.explode(F.sequence(F.lit(0), F.least("_own", F.col("_others") - 1))).alias("i"), F.col("_own").alias("j"))
-    return left.groupBy("h", "i", "j").cogroup(right.groupBy("h", "i", "j")).applyInArrow(_across, "a long, b long, dist long").distinct()
+    return left.groupBy("h", "i", "j").cogroup(right.groupBy("h", "i", "j")).applyInArrow(_across, "a long, b long, dist long")
 
 
 def _verified(whole: DataFrame, groups: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -324,7 +330,8 @@ def _roots(whole: DataFrame, marked: DataFrame, groups: DataFrame, shingle: int)
     links = links.union(_verified(whole, groups, beside, shingle))
     tried = tried.union(beside).distinct()
     found = materialize(components(links), "near-roots")
-    left = materialize(_in_blocks(materialize(rooted(rows, found), "near-rooted"), groups).join(tried, ["a", "b"], "left_anti"), "near-across")
+    others = _in_blocks(materialize(rooted(rows, found), "near-rooted"), groups).union(_twos(rows, groups)).distinct()
+    left = materialize(others.join(tried, ["a", "b"], "left_anti"), "near-across")
     for first in (True, False):
         now = _with_roots(left, found)
         if first:

@@ -96,3 +96,10 @@ def test_swapped_nulls_and_maps(spark):
     assert corpus_pipeline.near_dedup(spark, same, SF).count() == 1
     deep = spark.createDataFrame([(1, None, ({"x": 1}, [None, 1])), (1, None, ({"x": 1}, [1, None]))], "doc_id long, text string, s struct<m:map<string,int>,l:array<int>>")
     assert corpus_pipeline.near_dedup(spark, deep, SF).count() == 1
+
+
+def test_shingles_of_two_texts(spark):
+    """A pair that only a shingle of two texts brings together is a candidate, whatever is closest to its ends."""
+    groups = spark.createDataFrame([(i, 50, 0, i, bytearray(64)) for i in (1, 2, 3)], "sig long, n long, f0 long, f1 long, parity binary")
+    rows = spark.createDataFrame([(7, 1), (7, 3), (8, 1), (8, 3), (9, 2), (9, 3), (10, 1), (10, 2), (10, 3), (11, 2)], "h long, sig long")
+    assert sorted(tuple(r) for r in simhash_near._twos(rows, groups).collect()) == [(1, 3, 1), (2, 3, 1)]
