@@ -21,7 +21,8 @@ each of four places of the ring, are checked too, which joins most of what is le
 class in linear work. After that the texts outside the largest class are compared in blocks, with each
 other and with that class. What leaves a block has passed the ring and a bound that is exact:
 each shingle flips one of PARITIES bits, so sets differ in as many shingles as bits at least,
-and near ones in few. Texts of four fifths boilerplate that are still no copies of each other
+and near ones in few. Shingles that stand in the same texts are compared once, and a pair that
+several shingles bring together leaves the block of the smallest one they know of. Texts of four fifths boilerplate that are still no copies of each other
 are the worst case: their comparisons in blocks, not what leaves them, grow with their square.
 
 Only distinct sets are compared (64-bit hashes of shingles and sets). Nulls and texts without
@@ -57,6 +58,8 @@ SAMPLE, COMMON = 10_000, 8
 LAST = 1 << 16
 #: Texts of a shingle that are sorted by their fingerprints, at least.
 FEW = 8
+#: Smallest shingles of a text's rows that its blocks know.
+FIRSTS = 16
 #: Fingerprints of a side of a block, and texts that meet one copy of a text.
 BLOCK, COPIES = 1024, 256
 _NONE = np.empty(0, dtype=np.uint64)
@@ -214,6 +217,27 @@ def _following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """rows (h, sig) with one shingle, the smallest, of those that stand in the same texts: the others give the same pairs."""
+    texts = rows.groupBy("h").agg(F.bit_xor(F.xxhash64("sig")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("_y"), F.count(F.lit(1)).alias("_n"))
+    return rows.join(texts.groupBy("_x", "_y", "_n").agg(F.min("h").alias("h")).select("h"), "h")
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """(sig, firsts) of rows (h, sig): the FIRSTS smallest h of each sig."""
+    return rows.groupBy("sig").agg(F.slice(F.array_sort(F.collect_list("h")), 1, FIRSTS).alias("firsts"))
+
+
+def _padded(lists: pa.ChunkedArray) -> np.ndarray:
+    """Rows of FIRSTS longs; shorter lists end in the greatest long."""
+    parts = [np.empty((0, FIRSTS), dtype=np.int64)]
+    for chunk in lists.chunks:
+        part = np.full((len(chunk), FIRSTS), np.iinfo(np.int64).max)
+        part[np.arange(FIRSTS) < chunk.value_lengths().to_numpy()[:, None]] = chunk.flatten().to_numpy()
+        parts.append(part)
+    return np.concatenate(parts)
+
+
 def _neighbours(rows: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) across classes whose fingerprints are next to each other under some shingle; rows: (h, sig, root)."""
     sizes = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n")).filter(F.col("lo") < F.col("hi")).filter(F.col("_n") >= FEW)
@@ -236,13 +260,17 @@ def _twos(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _across(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The pairs (a, b, dist) of a block (sig, root, n, f0, f1, parity) across classes that the ring and the parities let through."""
+    """The pairs (a, b, dist) of a block (h, sig, root, n, f0, f1, parity, firsts) across classes that the ring and the parities let through.
+
+    A pair that has a smaller shingle in both its firsts is left to that shingle's block, which it is in as well.
+    """
     p, q = NEAR
     out = [np.empty((0, 3), dtype=np.int64)]
     if left.num_rows and right.num_rows:
         (s, r, n), (t, u, m) = ([x.column(c).to_numpy() for c in ("sig", "root", "n")] for x in (left, right))
         f, g = (np.stack([x.column(c).to_numpy() for c in ("f0", "f1")], axis=1) for x in (left, right))
         odd, even = (np.frombuffer(b"".join(x.column("parity").to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for x in (left, right))
+        before, after, h = _padded(left.column("firsts")), _padded(right.column("firsts")), left.column("h")[0].as_py()
         for i in range(len(s)):
             j = np.flatnonzero((u != r[i]) & (np.minimum(n[i], m) * q >= np.maximum(n[i], m) * p))
             diff = f[i] ^ g[j]
@@ -251,6 +279,8 @@ def _across(left: pa.Table, right: pa.Table) -> pa.Table:
             # Sets of n and m that are near differ in (q - p) / (q + p) of n + m shingles at most.
             ok = np.bitwise_count(odd[i] ^ even[j]).sum(axis=1).astype(np.int64) * (q + p) <= (q - p) * (n[i] + m[j])
             j, diff = j[ok], diff[ok]
+            ok = ~np.isin(after[j], before[i][before[i] < h]).any(axis=1)
+            j, diff = j[ok], diff[ok]
             a, b = np.full(len(j), s[i]), t[j]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.bitwise_count(diff.view(np.uint64)).sum(axis=1).astype(np.int64)], axis=1))
     return pa.table(dict(zip(("a", "b", "dist"), np.concatenate(out).T, strict=True)))
@@ -265,10 +295,10 @@ def _in_blocks(rows: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = per.groupBy("h").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.max("_n").alias("_in"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_classes")).filter("_classes > 1 and _n > 2")
     parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     sizes = sizes.select("h", "_main", parts(F.col("_n") - F.col("_in")).alias("_others"), parts(F.col("_in")).alias("_mains"))
-    mixed = rows.join(sizes, "h").join(groups.select("sig", "n", "f0", "f1", "parity"), "sig").withColumn("_own", F.xxhash64("sig"))
+    mixed = rows.join(sizes, "h").join(groups.select("sig", "n", "f0", "f1", "parity"), "sig").join(_firsts(rows), "sig").withColumn("_own", F.xxhash64("sig"))
     main = F.col("root") == F.col("_main")
     mixed = materialize(mixed.withColumn("_own", F.when(main, F.col("_others") + F.pmod("_own", "_mains")).otherwise(F.pmod("_own", "_others")).cast("int")), "near-mixed")
-    names = ["h", "sig", "root", "n", "f0", "f1", "parity"]
+    names = ["h", "sig", "root", "n", "f0", "f1", "parity", "firsts"]
     # Parts of other texts come first. Each of them meets itself, those behind it and the parts of the largest class.
     left = mixed.filter("_own < _others").select(*names, F.col("_own").alias("i"), F.explode(F.sequence(F.col("_own"), F.col("_others") + F.col("_mains") - 1)).alias("j"))
     right = mixed.select(*names, F.explode(F.sequence(F.lit(0), F.least("_own", F.col("_others") - 1))).alias("i"), F.col("_own").alias("j"))
@@ -325,7 +355,7 @@ def _roots(whole: DataFrame, marked: DataFrame, groups: DataFrame, shingle: int)
     rows = member.select("h", "sig").union(member.select("h", F.col("a").alias("sig")).distinct())
     rooted = lambda x, found: x.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rows = materialize(rows, "near-rows")
+    rows = materialize(_one_each(rows), "near-rows")
     beside = _neighbours(rooted(rows, found), groups, found).join(tried, ["a", "b"], "left_anti")
     links = links.union(_verified(whole, groups, beside, shingle))
     tried = tried.union(beside).distinct()
