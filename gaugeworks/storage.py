@@ -8,23 +8,47 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+#: By application: the folder of a local session that names none.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session without it, as in tests, gets a folder of its own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir as a full URI; only a local session without it, as in tests, gets a folder of its own."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='gaugeworks-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="gaugeworks-")
+        found = f"file://{_own[context.applicationId]}"
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and host by which Spark takes it, so that other readers take it alike."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return f"file://{full.removeprefix('file:')}" if re.match("file:/[^/]", full) else full
+
+
+def for_workers(path: str) -> str:
+    """A full URI as Python workers open it; an error, on the driver, if they can't."""
+    path = re.sub("^s3[an]://", "s3://", path)
+    try:
+        pafs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"Python workers can't reach {path}; name a folder in spark.checkpoint.dir that they can ({e})") from e
+    return path
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
