@@ -120,6 +120,18 @@ SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_remove
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+h AS (SELECT *, length(text) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+ sha256(text) AS restored_sha256
+FROM p
+"""
+
 def _secrets_base() -> str:
     lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
     kinds = (("assign", lower, r"(?:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([a-z0-9+/_.=-]+)", 1, 8), ("access", "text", "AKIA[A-Z0-9]+", 0, 16), ("hex", "text", "[0-9a-f]+", 0, 32))
@@ -148,4 +160,5 @@ ORACLES: dict[str, str] = {
     "op6_embeddings": OP6,
     "op8_warc": OP8,
     "op10_suffixes": OP10,
+    "op13_infill": OP13,
 }
