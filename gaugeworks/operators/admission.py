@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass, replace
 from enum import Enum
+from fractions import Fraction
+from functools import cached_property
+from typing import ClassVar
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.folds import Fold, folded
+from gaugeworks.operators.folds import Composable, folded
 from gaugeworks.operators.ordered import Stream, numbered
 
 
@@ -47,36 +52,138 @@ def drop_oldest(df: DataFrame, stream: Stream, capacity: int) -> DataFrame:
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= capacity).drop("_rank")
 
 
+def _saved(*arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, *arrays)
+    return out.getvalue()
+
+
+def _loaded(data: bytes) -> list[np.ndarray]:
+    with np.load(io.BytesIO(data)) as found:
+        return [found[k] for k in found.files]
+
+
 @dataclass(frozen=True)
-class TokenBucket(Fold):
-    """Accepts a row if a token is left. Tokens come back with event time, fractions included, up to the capacity."""
+class TokenBucket(Composable):
+    """Accepts a row if a token is left. Tokens come back with event time, fractions included, up to the capacity.
+
+    Tokens are counted in whole units, of which a nanosecond brings a whole number, so neither
+    rounding nor the way rows are cut into blocks changes what is accepted. What a run of rows
+    does to the tokens is a function of pieces, each the tokens before plus a number, or a number;
+    two starts less than a cost apart differ by one accepted row at most, so there are some two
+    pieces for each cost that the capacity holds, however long the run.
+    """
 
     capacity: float = 100.0
     refill_per_second: float = 1000.0
     initial: float = 100.0
     cost: float = 1.0
+    state_type: ClassVar[str] = "units long, last long"
+
+    def __post_init__(self) -> None:
+        if min(self.capacity, self.refill_per_second, self.initial) < 0 or self.cost <= 0:
+            raise ValueError("capacity, refill and initial tokens can't be negative, and a row costs something")
+        if self._scale * Fraction(str(self.capacity)) >= 1 << 62:
+            raise ValueError("a capacity of that many units of this refill can't be counted")
 
     @classmethod
     def of_rate(cls, per_second: float, time: str = "timestamp_ns") -> TokenBucket:
         return cls((time,), {"accepted": "boolean", "tokens": "double"}, per_second * 0.1, per_second, per_second * 0.1)
 
+    @property
+    def carry(self) -> str:
+        return self.inputs[0]
+
+    @cached_property
+    def _scale(self) -> int:
+        """Units of a token."""
+        parts = [Fraction(str(x)) for x in (self.refill_per_second, self.capacity, self.initial, self.cost)]
+        return int(np.lcm.reduce([p.denominator for p in parts], dtype=object)) * 10**9
+
+    @cached_property
+    def _units(self) -> tuple[int, int, int, int]:
+        """Capacity, initial tokens and cost, and what a nanosecond brings."""
+        of = lambda x: int(Fraction(str(x)) * self._scale)
+        return of(self.capacity), min(of(self.initial), of(self.capacity)), of(self.cost), of(self.refill_per_second) // 10**9
+
+    def pack(self, state):  # noqa: ANN001, ANN201
+        return state
+
+    def unpack(self, stored):  # noqa: ANN001, ANN201
+        return tuple(stored)
+
     def run(self, state, times):  # noqa: ANN001, ANN201
-        tokens, last = state or (float(min(self.initial, self.capacity)), None)
+        capacity, initial, cost, gain = self._units
+        units, last = state or (initial, None)
         accepted, left = [], []
         for t in times:
             if t is not None:
                 if last is not None and t > last:
-                    tokens = min(float(self.capacity), tokens + (t - last) * self.refill_per_second / 1e9)
+                    units = min(capacity, units + (t - last) * gain)
                 last = t if last is None or t > last else last
-            ok = tokens >= self.cost
-            tokens -= self.cost if ok else 0.0
+            ok = units >= cost
+            units -= cost if ok else 0
             accepted.append(ok)
-            left.append(tokens)
-        return (tokens, last), (accepted, left)
+            left.append(units / self._scale)
+        return (units, last), (accepted, left)
+
+    def core(self):  # noqa: ANN201
+        return self._units[1]
+
+    def seeded(self, core, carried):  # noqa: ANN001, ANN201
+        return core, carried
+
+    def identity(self):  # noqa: ANN201
+        """Pieces: where each starts, whether the tokens before count in it, and what is added."""
+        return np.zeros(1, np.int64), np.ones(1, bool), np.zeros(1, np.int64)
+
+    def extended(self, function, carried, times):  # noqa: ANN001, ANN201
+        capacity, _, cost, gain = self._units
+        for t in times:
+            if t is not None:
+                if carried is not None and t > carried and gain:
+                    function = self._refilled(function, min(capacity, (t - carried) * gain))
+                carried = t if carried is None or t > carried else carried
+            function = self._charged(function)
+        return function, carried
+
+    def _refilled(self, function, more: int):  # noqa: ANN001, ANN202
+        capacity = self._units[0]
+        starts, slopes, added = self._split(function, capacity - more)
+        full = np.where(slopes, starts + added, added) >= capacity - more
+        return self._merged(starts, slopes & ~full, np.where(full, capacity, added + more))
+
+    def _charged(self, function):  # noqa: ANN001, ANN202
+        cost = self._units[2]
+        starts, slopes, added = self._split(function, cost)
+        return self._merged(starts, slopes, added - cost * (np.where(slopes, starts + added, added) >= cost))
+
+    def _split(self, function, value: int):  # noqa: ANN001, ANN202
+        """The pieces cut where they reach a value."""
+        starts, slopes, added = function
+        ends = np.append(starts[1:], self._units[0] + 1)
+        at = value - added
+        crossing = np.flatnonzero(slopes & (starts < at) & (at < ends))
+        if not len(crossing):
+            return function
+        return np.insert(starts, crossing + 1, at[crossing]), np.insert(slopes, crossing + 1, True), np.insert(added, crossing + 1, added[crossing])
+
+    @staticmethod
+    def _merged(starts, slopes, added):  # noqa: ANN001, ANN205
+        new = np.append(True, (slopes[1:] != slopes[:-1]) | (added[1:] != added[:-1]))
+        return (starts, slopes, added) if new.all() else (starts[new], slopes[new], added[new])
+
+    def packed(self, function) -> bytes:  # noqa: ANN001
+        return _saved(*function)
+
+    def applied(self, packed, core):  # noqa: ANN001, ANN201
+        starts, slopes, added = _loaded(packed)
+        i = int(np.searchsorted(starts, core, "right")) - 1
+        return int(added[i]) + (core if slopes[i] else 0)
 
 
 @dataclass(frozen=True)
-class Controller(Fold):
+class Controller(Composable):
     """Adaptive quality: lasting high utilisation lowers it a level, lasting low one raises it.
 
     One counter serves both directions and starts anew between the marks; a level changes on
@@ -86,6 +193,13 @@ class Controller(Fold):
     high: float = 0.8
     low: float = 0.5
     hysteresis: int = 10
+    state_type: ClassVar[str] = "level int, counter long, samples long"
+
+    def pack(self, state):  # noqa: ANN001, ANN201
+        return state
+
+    def unpack(self, stored):  # noqa: ANN001, ANN201
+        return tuple(stored)
 
     def __post_init__(self) -> None:
         if not 0 <= self.low < self.high <= 1:
@@ -114,6 +228,48 @@ class Controller(Fold):
             accepted.append(ok)
         return (level, counter, samples), (qualities, accepted)
 
+    # A counter past the hysteresis acts as one at it, and of the samples only their number modulo
+    # the greatest rate counts: levels and counters are few, and a run maps each of them.
+
+    def core(self):  # noqa: ANN201
+        return [0, 0, 0]
+
+    def seeded(self, core, carried):  # noqa: ANN001, ANN201, ARG002
+        return tuple(core)
+
+    def _steps(self) -> list[np.ndarray]:
+        """By state (level, counter): the next one after a high, a low and another utilisation."""
+        each, last = self.hysteresis + 1, len(LEVELS) - 1
+        level, counter = np.divmod(np.arange(each * len(LEVELS)), each)
+        out = []
+        for step in (1, -1):
+            moves = (counter >= self.hysteresis) & (level + step >= 0) & (level + step <= last)
+            out.append(np.where(moves, (level + step) * each, level * each + np.minimum(counter + 1, self.hysteresis)))
+        return [*out, level * each]
+
+    def identity(self):  # noqa: ANN201
+        states = (self.hysteresis + 1) * len(LEVELS)
+        return np.arange(states), np.zeros(states, np.int64)
+
+    def extended(self, function, carried, utilisations):  # noqa: ANN001, ANN201
+        to, samples = function
+        high, low, other = self._steps()
+        for u in utilisations:
+            if u is not None:
+                to = (high if u > self.high else low if u < self.low else other)[to]
+            samples = samples + (to > self.hysteresis)
+        return (to, samples), carried
+
+    def packed(self, function) -> bytes:  # noqa: ANN001
+        return _saved(*function)
+
+    def applied(self, packed, core):  # noqa: ANN001, ANN201
+        to, samples = _loaded(packed)
+        level, counter, before = core
+        state = level * (self.hysteresis + 1) + min(counter, self.hysteresis)
+        level, counter = divmod(int(to[state]), self.hysteresis + 1)
+        return [level, counter, (before + int(samples[state])) % LEVELS[-1]]
+
 
 class Strategy(Enum):
     """What to do when a stream outgrows its capacity."""

@@ -4,15 +4,21 @@ A fold sees its stream as sorted Arrow batches and keeps only the state, so one
 as long as it likes. `spread` streams of affine folds (EMA, filters, Kalman) are range
 partitioned instead: each block is first summed up as y -> A*y + B, the few blocks of a
 stream are composed in order, and a second pass starts every block from its true state;
-there rounding may differ in the last bits from the plain loop.
+there rounding may differ in the last bits from the plain loop. Composable folds (token bucket,
+controller) do likewise with functions of their own: a block's function is built without knowing
+its start, the few functions of a stream are applied in order, and the results are those of the
+plain loop.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.operators.ordered import Stream, blocks
+from gaugeworks.operators.ordered import AUTO, Stream, blocks, by_size
 
 _SQL = {"double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "string": T.StringType()}
 _ARROW = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
@@ -28,10 +34,21 @@ _ARROW = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "boolea
 
 @dataclass(frozen=True)
 class Fold:
-    """inputs: columns it reads; outputs: name -> type of what it adds. State must pickle."""
+    """inputs: columns it reads; outputs: name -> type of what it adds.
+
+    On streams the state is stored by `state_type`, as `pack` makes it and `unpack` takes it. A
+    fold that names no type stores a pickle.
+    """
 
     inputs: tuple[str, ...]
     outputs: dict[str, str] = field(default_factory=dict)
+    state_type: ClassVar[str] = "blob binary"
+
+    def pack(self, state) -> tuple:  # noqa: ANN001
+        return (pickle.dumps(state),)
+
+    def unpack(self, stored: tuple):  # noqa: ANN201
+        return pickle.loads(stored[0])
 
     def start(self):  # noqa: ANN201
         return None
@@ -41,6 +58,39 @@ class Fold:
         raise NotImplementedError
 
 
+@dataclass(frozen=True)
+class Composable(Fold):
+    """A fold that does to its state, over any run of rows, what a function of bounded size does.
+
+    The core of a state is what such a function maps. What else a run hangs on is carried: the
+    greatest value of the `carry` column before it. Cores are stored as JSON.
+    """
+
+    carry: ClassVar[str | None] = None
+
+    def core(self):  # noqa: ANN201
+        """The core of the first state."""
+        raise NotImplementedError
+
+    def identity(self):  # noqa: ANN201
+        """The function of no rows."""
+        raise NotImplementedError
+
+    def extended(self, function, carried, *columns: list):  # noqa: ANN001, ANN201
+        """(function, carried) with further rows behind it."""
+        raise NotImplementedError
+
+    def packed(self, function) -> bytes:  # noqa: ANN001
+        raise NotImplementedError
+
+    def applied(self, packed: bytes, core):  # noqa: ANN001, ANN201
+        raise NotImplementedError
+
+    def seeded(self, core, carried):  # noqa: ANN001, ANN201
+        """The state that `run` starts from."""
+        raise NotImplementedError
+
+
 @dataclass(frozen=True)
 class Affine(Fold):
     """y = a*y' + b, the first row as the subclass says. Null readings leave the state and give it again."""
@@ -64,6 +114,13 @@ class Ema(Affine):
     """Exponential moving average, 0 < alpha <= 1; the first reading passes."""
 
     alpha: float = 0.5
+    state_type: ClassVar[str] = "y double"
+
+    def pack(self, state):  # noqa: ANN001, ANN201
+        return (state,)
+
+    def unpack(self, stored):  # noqa: ANN001, ANN201
+        return stored[0]
 
     def __post_init__(self) -> None:
         if not 0 < self.alpha <= 1:
@@ -102,6 +159,13 @@ class HighPass(Affine):
     """y = alpha * (y' + x - x'); the first reading passes, so a constant decays."""
 
     alpha: float = 0.5
+    state_type: ClassVar[str] = "y double, before double"
+
+    def pack(self, state):  # noqa: ANN001, ANN201
+        return state or (None, None)
+
+    def unpack(self, stored):  # noqa: ANN001, ANN201
+        return tuple(stored)
 
     @classmethod
     def of(cls, column: str, out: str, cutoff: float, hz: float) -> HighPass:
@@ -133,6 +197,13 @@ class Kalman(Affine):
     p0: float = 1.0
     q: float = 0.01
     r: float = 0.1
+    state_type: ClassVar[str] = "x double, p double"
+
+    def pack(self, state):  # noqa: ANN001, ANN201
+        return state
+
+    def unpack(self, stored):  # noqa: ANN001, ANN201
+        return tuple(stored)
 
     def run(self, state, values):  # noqa: ANN001, ANN201
         x, p = state or (self.x0, self.p0)
@@ -204,8 +275,12 @@ def folded(df: DataFrame, stream: Stream, fold: Fold) -> DataFrame:
     """df with the fold's outputs."""
     if clash := {*df.columns} & {*fold.outputs}:
         raise ValueError(f"input already has the columns {', '.join(sorted(clash))}")
+    if stream.spread == AUTO:
+        return by_size(df, stream, lambda rows, s: folded(rows, s, fold))
     if stream.spread and isinstance(fold, Affine):
         return _spread(df, stream, fold)
+    if stream.spread and isinstance(fold, Composable):
+        return _composed(df, stream, fold)
     if stream.keys:
         rows = df.repartition(*(F.col(k) for k in stream.keys))
     else:
@@ -351,3 +426,79 @@ def _from_starts(fold: Affine, keys: tuple[str, ...], columns: list[str], names:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], [*columns, *names])
 
     return run
+
+
+def _composed(df: DataFrame, stream: Stream, fold: Composable) -> DataFrame:
+    """The two-pass form for composable folds."""
+    keys, cut = stream.keys, blocks(df, stream)
+    from pyspark.sql import Window
+
+    largest = F.max(fold.carry) if fold.carry else F.lit(None).cast("long")
+    per = cut.groupBy(*keys, "_block").agg(largest.alias("_largest"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_block", F.max("_largest").over(before).alias("_carried"))
+    placed = _same_keys(cut, per, [*keys, "_block"], "left").select(*cut.columns, "_carried")
+    whole = (*keys, "_block")
+    key_schema = [cut.schema[k] for k in whole]
+    dealt = lambda rows: rows.repartition("_block", *keys).sortWithinPartitions("_block", *keys, *stream.order)
+    functions = dealt(placed).mapInArrow(_block_functions(fold, whole), T.StructType([*key_schema, T.StructField("_function", T.BinaryType())]))
+    # A row for each block of a stream.
+    starts = functions.repartition(*(F.col(k) for k in keys)) if keys else functions.coalesce(1)
+    starts = starts.sortWithinPartitions(*keys, "_block").mapInArrow(_applied(fold, keys), T.StructType([*key_schema, T.StructField("_core", T.StringType())]))
+    begun = _same_keys(placed, starts, list(whole), "left").select(*placed.columns, "_core")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(k, _SQL[t]) for k, t in fold.outputs.items())])
+    return dealt(begun).mapInArrow(_from_cores(fold, whole, df.columns), schema)
+
+
+def _block_functions(fold: Composable, keys: tuple[str, ...]):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        current, function, carried, types = None, None, None, None
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            inputs = [batch.column(c).to_pylist() for c in fold.inputs]
+            for key, lo, hi in groups(batch, keys):
+                if key != current:
+                    if current is not None:
+                        done.append((*current, fold.packed(function)))
+                    current, function, carried = key, fold.identity(), batch.column("_carried")[lo].as_py()
+                function, carried = fold.extended(function, carried, *(c[lo:hi] for c in inputs))
+        if current is not None:
+            done.append((*current, fold.packed(function)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), [*types, pa.binary()], strict=True)], [*keys, "_function"])
+
+    return run
+
+
+def _applied(fold: Composable, keys: tuple[str, ...]):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, core = object(), None
+        for batch in batches:
+            starts, functions = [], batch.column("_function").to_pylist()
+            for key, lo, hi in groups(batch, keys):
+                if key != current:
+                    current, core = key, fold.core()
+                for f in functions[lo:hi]:
+                    starts.append(json.dumps(core))
+                    core = fold.applied(f, core)
+            names = [*keys, "_block"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(starts, pa.string())], [*names, "_core"])
+
+    return run
+
+
+def _from_cores(fold: Composable, keys: tuple[str, ...], columns: list[str]):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            inputs, outs = [batch.column(c).to_pylist() for c in fold.inputs], [[] for _ in fold.outputs]
+            for key, lo, hi in groups(batch, keys):
+                if key != current:
+                    current, state = key, fold.seeded(json.loads(batch.column("_core")[lo].as_py()), batch.column("_carried")[lo].as_py())
+                state, got = fold.run(state, *(c[lo:hi] for c in inputs))
+                for have, new in zip(outs, got, strict=True):
+                    have.extend(new)
+            added = [pa.array(o, _ARROW[t]) for o, t in zip(outs, fold.outputs.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], [*columns, *fold.outputs])
+
+    return run

@@ -9,7 +9,9 @@ frames see copies of the rows just before their cell.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,13 +20,19 @@ from gaugeworks.storage import materialize
 
 #: Rows of a cell of a spread stream.
 CELL = 1 << 16
+#: Rows from which a key is hot, and hot keys that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 1 << 22, 1 << 16
+AUTO = "auto"
+#: Rows of a frame from which a median slides.
+LONG_FRAME = 64
 
 
 @dataclass(frozen=True)
 class Stream:
     keys: tuple[str, ...] = ()
     order: tuple[str, ...] = ("seq",)
-    spread: bool = False
+    #: True, False, or AUTO: keys of HOT_ROWS rows and more are spread, the others not.
+    spread: bool | str = False
 
     def window(self, *more: str) -> WindowSpec:
         return Window.partitionBy(*self.keys, *more).orderBy(*self.order)
@@ -40,8 +48,28 @@ def _clear_of(df: DataFrame, *names: str) -> None:
         raise ValueError(f"input already has the columns {', '.join(clash)}")
 
 
+def by_size(df: DataFrame, stream: Stream, operator: Callable[[DataFrame, Stream], DataFrame], hot_rows: int | None = None) -> DataFrame:
+    """The operator over hot keys as spread streams and over the others as plain ones, in one result.
+
+    Keys are counted first, in an action. An unkeyed stream is one key, and null is a key.
+    """
+    if not stream.keys:
+        return operator(df, replace(stream, spread=df.count() >= (hot_rows or HOT_ROWS)))
+    names = [f"_hot_{i}" for i in range(len(stream.keys))]
+    hot = materialize(df.groupBy(*(F.col(k).alias(n) for k, n in zip(stream.keys, names, strict=True))).count().filter(F.col("count") >= (hot_rows or HOT_ROWS)).drop("count"), "hot-keys")
+    found = hot.count()
+    if not found:
+        return operator(df, replace(stream, spread=False))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(stream.keys, names, strict=True)))
+    few = F.broadcast(hot) if found <= HOT_KEYS else hot
+    large = operator(df.join(few, same, "left_semi"), replace(stream, spread=True))
+    return large.unionByName(operator(df.join(few, same, "left_anti"), replace(stream, spread=False)))
+
+
 def running(df: DataFrame, stream: Stream, **values: tuple[str, Column]) -> DataFrame:
     """Adds running values: name=(kind, column), kind one of count, sum, max, min. Sums of integers are exact."""
+    if stream.spread == AUTO:
+        return by_size(df, stream, lambda rows, s: running(rows, s, **values))
     _clear_of(df, *values, *(["_block", "_at", *(f"_{name}" for name in values)] if stream.spread else []))
     kinds = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
     if not stream.spread:
@@ -78,17 +106,23 @@ def numbered(df: DataFrame, stream: Stream, name: str = "n") -> DataFrame:
 
 def framed(df: DataFrame, stream: Stream, size: int, **values: Column | None) -> DataFrame:
     """Adds values that are aggregates over the last `size` rows, this one included."""
+    if stream.spread == AUTO:
+        return by_size(df, stream, lambda rows, s: framed(rows, s, size, **values))
     _clear_of(df, *values, *(["_n", "_cell", "_own"] if stream.spread else []))
     frame = lambda w: w.rowsBetween(-(size - 1), Window.currentRow)
     if not stream.spread:
         return df.withColumns({name: v.over(frame(stream.window())) for name, v in values.items()})
+    rows = _celled(df, stream, size)
+    over = frame(Window.partitionBy(*stream.keys, "_cell").orderBy("_n"))
+    return rows.withColumns({name: v.over(over) for name, v in values.items()}).filter("_own").select(*df.columns, *values)
+
+
+def _celled(df: DataFrame, stream: Stream, size: int) -> DataFrame:
+    """Numbered rows by cell; a row is copied to every later cell that a frame reaches back from, to be seen there and then left out."""
     rows = numbered(df, stream, "_n")
     cell = F.floor(F.col("_n") / F.lit(CELL))
-    # A row is copied to every later cell that a frame reaches back from, to be seen there and then left out.
     reached = F.sequence(cell, F.floor((F.col("_n") + F.lit(size - 1)) / F.lit(CELL)))
-    rows = rows.withColumn("_cell", F.explode(reached)).withColumn("_own", F.col("_cell") == cell)
-    over = frame(Window.partitionBy(*stream.keys, "_cell").orderBy("_n"))
-    return rows.withColumns({name: v.over(over) for name, v in values.items()}).filter("_own").select(*df.columns, *values)
+    return rows.withColumn("_cell", F.explode(reached)).withColumn("_own", F.col("_cell") == cell)
 
 
 def moving_average(df: DataFrame, stream: Stream, column: str, size: int, out: str = "average") -> DataFrame:
@@ -97,14 +131,38 @@ def moving_average(df: DataFrame, stream: Stream, column: str, size: int, out: s
 
 
 def median_filter(df: DataFrame, stream: Stream, column: str, size: int, out: str = "median") -> DataFrame:
-    """Upper median of the last min(n, size) values; NaN counts as the largest."""
+    """Upper median of the last min(n, size) values; NaN counts as the largest, null rows as no value.
+
+    Short frames are lists that are sorted for each row; long ones slide through sorted buckets.
+    """
+    if size > LONG_FRAME:
+        return _slid(df, stream, column, size, out)
     lists = framed(df, stream, size, _values=F.collect_list(column))
     middle = F.get(F.sort_array("_values"), F.floor(F.size("_values") / F.lit(2)).cast("int"))
     return lists.withColumn(out, middle).drop("_values")
 
 
+def _slid(df: DataFrame, stream: Stream, column: str, size: int, out: str) -> DataFrame:
+    from gaugeworks.operators.folds import folded
+    from gaugeworks.operators.sliding import SlidingMedian
+
+    if stream.spread == AUTO:
+        return by_size(df, stream, lambda rows, s: _slid(rows, s, column, size, out))
+    kind = df.schema[column].dataType
+    numbers = df.withColumn("_number", F.col(column).cast("double"))
+    fold = SlidingMedian(("_number",), {out: "double"}, size)
+    if stream.spread:
+        cells = Stream((*stream.keys, "_cell"), ("_n",))
+        got = folded(_celled(numbers, stream, size), cells, fold).filter("_own")
+    else:
+        got = folded(numbers, stream, fold)
+    return got.withColumn(out, F.col(out).cast(kind)).select(*df.columns, out)
+
+
 def with_previous(df: DataFrame, stream: Stream, column: str, out: str) -> DataFrame:
     """Adds the value of the row before; null for the first."""
+    if stream.spread == AUTO:
+        return by_size(df, stream, lambda rows, s: with_previous(rows, s, column, out))
     if not stream.spread:
         return df.withColumn(out, F.lag(column).over(stream.window()))
     two = framed(df, stream, 2, _rows=F.count(F.lit(1)), _first=F.first(column))
