@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gaugeworks.llm.licenses import TEMPLATES, Template
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -120,6 +122,27 @@ SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_remove
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
+def _op11(templates: tuple[Template, ...]) -> str:
+    """Grams, diagonals and shares as plain joins over word lists."""
+    listed = ", ".join(f"({i}, '{t.label}', {t.base}, {t.share}::DOUBLE, {t.gram}, {t.slack}, {t.votes}, [{', '.join(repr(w.decode()) for w in t.words)}])" for i, t in enumerate(templates))
+    return f"""
+WITH t(t, label, base, share, k, slack, needed, ws) AS (VALUES {listed}),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM d, (VALUES (2), (5)) AS sizes(k))),
+tg AS (SELECT t, k, i - 1 AS place, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT t, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM t)),
+v AS (SELECT doc_id, t, pos - place AS diagonal, count(*) AS votes FROM g JOIN tg USING (k, gram) GROUP BY ALL),
+a AS (SELECT v.*, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) > slack, true)::INTEGER AS apart, needed FROM v JOIN t USING (t)),
+m AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS grp FROM a),
+c AS (SELECT doc_id, t, grp, list(diagonal) AS ds FROM m GROUP BY doc_id, t, grp HAVING sum(votes) >= any_value(needed)),
+p AS (SELECT doc_id, t, grp, diagonal, unnest(generate_series(1, len(t.ws))) AS place, t.ws AS tw, d.ws AS dw FROM (SELECT doc_id, t, grp, unnest(ds) AS diagonal FROM c) JOIN t USING (t) JOIN d USING (doc_id)),
+s AS (SELECT doc_id, t, count(DISTINCT place) / any_value(len(tw))::DOUBLE AS stands, min(diagonal + place - 1) AS start FROM p WHERE diagonal + place >= 1 AND dw[diagonal + place] = tw[place] GROUP BY doc_id, t, grp),
+f AS (SELECT s.*, label, base FROM s JOIN t USING (t) WHERE stands >= share),
+r AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+ array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(stands) AS score FROM f GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
 OP13 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
 h AS (SELECT *, length(text) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
@@ -160,5 +183,6 @@ ORACLES: dict[str, str] = {
     "op6_embeddings": OP6,
     "op8_warc": OP8,
     "op10_suffixes": OP10,
+    "op11_licenses": _op11(TEMPLATES),
     "op13_infill": OP13,
 }

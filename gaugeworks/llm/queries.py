@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import alignment, chat, decontaminate, embeddings, infill, language, mixing, secrets, simhash, suffixes, urls, warc
+from gaugeworks.llm import alignment, chat, decontaminate, embeddings, infill, language, licenses, mixing, secrets, simhash, suffixes, urls, warc
 from gaugeworks.llm._common import table
 from gaugeworks.llm.oracles import ORACLES  # noqa: F401
 
@@ -82,6 +82,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -92,5 +96,5 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_mixing, op3_simhash, op4_urls, op5_chat, op6_embeddings, op7_language, op8_warc, op9_secrets, op10_suffixes, op12_alignment, op13_infill, secrets_base, urls_by_template)
+    for f in (op1_decontamination, op2_mixing, op3_simhash, op4_urls, op5_chat, op6_embeddings, op7_language, op8_warc, op9_secrets, op10_suffixes, op11_licenses, op12_alignment, op13_infill, secrets_base, urls_by_template)
 }
