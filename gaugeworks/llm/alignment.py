@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm._common import SLICE_BYTES, clear_of, materialize, text_slices
+from gaugeworks.llm._common import clear_of, materialize, text_slices
 
 TOKENIZERS = "/opt/tokenizers"
-#: Text of a chunk, and entries of a task's memory of segments.
+#: Text of a chunk, text that is aligned at a time, and entries of a task's memory of segments.
 CHUNK_BYTES = 8 << 20
-MEMORY = 1 << 20
+SLICE_BYTES = 2 << 20
+MEMORY = 1 << 19
 #: Segments that any version of the pattern's character classes cuts alike, without long runs of white space.
 _USUAL = re.compile(r"[ \n]{0,8}[\x21-\x7eÀ-ɏ]{1,200}[\x21-\x7eÀ-ɏ\n]{0,8}")
 COUNTED = ("n_a", "n_b", "n_groups", "n_links")
@@ -360,7 +361,7 @@ def chunks(docs: DataFrame, files: Tokenizers) -> DataFrame:
         known, number = _segments(files), TaskContext.get().partitionId() << 32
         chunk, rows = Chunk(known), []
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 chunk.add(part.column("text"))
                 rows.append(part)
                 if chunk.bytes >= CHUNK_BYTES:
