@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,13 @@ class ArrivalSync(Fold):
 
     tolerance: int = 0
     capacity: int = 64
+    state_type: ClassVar[str] = "held array<struct<t:bigint,s:bigint>>"
+
+    def pack(self, state):  # noqa: ANN001, ANN201
+        return (list(state),)
+
+    def unpack(self, stored):  # noqa: ANN001, ANN201
+        return deque((tuple(x) for x in stored[0] or []), maxlen=self.capacity)
 
     def start(self):  # noqa: ANN201
         return deque(maxlen=self.capacity)

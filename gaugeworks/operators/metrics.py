@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.ordered import Stream, running, with_previous
-
-PERCENTILES = {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99, "p999_ns": 0.999}
+from gaugeworks.operators.percentiles import PERCENTILES, bucket_of, bucket_value, summary  # noqa: F401
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -29,28 +29,41 @@ def event_rate(df: DataFrame, time: str = "timestamp_ns", keys: tuple[str, ...]
     return got.withColumn("rate", F.when(F.col("elapsed_secs") > 0, F.col("count") / F.col("elapsed_secs")).otherwise(F.lit(0.0)))
 
 
-def latency_aggregates(column: str = "latency_ns", exact: bool = True, accuracy: int = 10_000) -> list[Column]:
-    """count, mean, min, max and nearest-rank percentiles of whole nanoseconds; exact ones, or a sketch of fixed size."""
+#: Of a latency, in order.
+LATENCY = ("count", "mean_ns", "min_ns", "max_ns", *PERCENTILES)
+
+
+def latency_aggregates(column: str = "latency_ns", accuracy: int = 10_000) -> list[Column]:
+    """count, mean, min, max and percentiles of whole nanoseconds by a sketch of fixed size."""
     value = F.col(column)
-    rank = (lambda p: F.expr(f"percentile_disc({p}) within group (order by `{column}`)")) if exact else (lambda p: F.percentile_approx(value, p, accuracy))
-    tail = [F.coalesce(rank(p), F.lit(0)).cast("long").alias(name) for name, p in PERCENTILES.items()]
+    tail = [F.coalesce(F.percentile_approx(value, p, accuracy), F.lit(0)).cast("long").alias(name) for name, p in PERCENTILES.items()]
     return [F.count(value).alias("count"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean_ns"), F.min(value).alias("min_ns"), F.max(value).alias("max_ns"), *tail]
 
 
-def latency(df: DataFrame, column: str = "latency_ns", keys: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    got = df.groupBy(*keys).agg(*latency_aggregates(column, exact))
+def latency(df: DataFrame, column: str = "latency_ns", keys: tuple[str, ...] = (), exact: bool = True, spread: bool | str = False) -> DataFrame:
+    """Latencies by key, exact ones by ranks over value counts. Without a value count, mean and percentiles are 0."""
+    if exact:
+        got = summary(df, column, keys, spread=spread).withColumnsRenamed({"mean": "mean_ns", "least": "min_ns", "most": "max_ns"})
+        got = got.withColumns({"mean_ns": F.coalesce("mean_ns", F.lit(0.0))} | {name: F.coalesce(F.col(name).cast("long"), F.lit(0)) for name in PERCENTILES})
+    else:
+        got = df.groupBy(*keys).agg(*latency_aggregates(column))
     return got.withColumns({"mean_us": F.col("mean_ns") / 1000, "p99_us": F.col("p99_ns") / 1000})
 
 
-def latency_bucket(value: Column) -> Column:
-    """Number of the 64 logarithmic buckets that compatible histograms use."""
-    log2 = F.length(F.bin(F.greatest(value, F.lit(1)).cast("long"))) - 1
-    return F.least(F.floor(log2 * 10 / 3), F.lit(63)).cast("int")
+def _with_latency(counted: DataFrame, df: DataFrame, column: str, keys: tuple[str, ...], out: str, spread: bool | str) -> DataFrame:
+    """Rows by key with the exact latency of the key as a struct, its zeros where there is no value."""
+    found = latency(df, column, keys, spread=spread)
+    zero = {"count": F.lit(0).cast("long"), "mean_ns": F.lit(0.0)} | {name: F.lit(0).cast("long") for name in PERCENTILES}
+    found = found.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *([] if keys else [F.lit(0).alias("_one")]), *(F.col(c).alias(f"_{c}") for c in LATENCY))
+    left = counted if keys else counted.withColumn("_none", F.lit(0))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] or [F.col("_none") == F.col("_one")]
+    joined = left.join(found, reduce(lambda a, b: a & b, same), "left")
+    return joined.select(*counted.columns, F.struct(*(F.coalesce(f"_{c}", zero[c]).alias(c) if c in zero else F.col(f"_{c}").alias(c) for c in LATENCY)).alias(out))
 
 
-def bucket_value(bucket: Column) -> Column:
-    """What such a histogram reports for a bucket."""
-    return F.pow(F.lit(2.0), F.floor(bucket * 3 / 10)).cast("long")
+def latency_bucket(value: Column) -> Column:
+    """Number of the 64 logarithmic buckets that compatible histograms use."""
+    return bucket_of(value)
 
 
 def latency_histogram(df: DataFrame, column: str = "latency_ns", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -81,7 +94,7 @@ def intervals(df: DataFrame, stream: Stream, time: str = "timestamp_ns", out: st
     return with_previous(df, stream, time, "_previous").withColumn(out, F.col(time) - F.col("_previous")).drop("_previous")
 
 
-def stage_metrics(df: DataFrame, latency_column: str = "latency_ns", keys: tuple[str, ...] = ("name",)) -> DataFrame:
+def stage_metrics(df: DataFrame, latency_column: str = "latency_ns", keys: tuple[str, ...] = ("name",), spread: bool | str = False) -> DataFrame:
     """A row for each stage of item rows (name, outcome in output, filtered, dropped, error; latency_ns, bytes, timestamp_ns).
 
     Every item counts as input. Rates are by input.
@@ -90,13 +103,12 @@ def stage_metrics(df: DataFrame, latency_column: str = "latency_ns", keys: tuple
     got = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("input_count"),
         *(F.count_if(F.col("outcome") == o).alias(f"{n}_count") for o, n in (("output", "output"), ("filtered", "filtered"), ("dropped", "dropped"), ("error", "error"))),
-        F.struct(*latency_aggregates(latency_column)).alias("latency"),
         F.struct(*jitter_aggregates(latency_column)).alias("jitter"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_processed"),
         F.coalesce(F.sum(ns), F.lit(0)).alias("total_ns"),
         ((F.max("timestamp_ns") - F.min("timestamp_ns")) / 1e9).alias("elapsed_secs"),
     )
-    return with_stage_rates(got)
+    return with_stage_rates(_with_latency(got, df, latency_column, keys, "latency", spread))
 
 
 def with_stage_rates(stages: DataFrame) -> DataFrame:
@@ -112,7 +124,7 @@ def with_stage_rates(stages: DataFrame) -> DataFrame:
     return stages.withColumns(out)
 
 
-def pipeline_snapshot(stages: DataFrame, end_to_end: DataFrame, latency_column: str = "latency_ns") -> DataFrame:
+def pipeline_snapshot(stages: DataFrame, end_to_end: DataFrame, latency_column: str = "latency_ns", spread: bool | str = False) -> DataFrame:
     """One row: stages as an array by name, end-to-end latency and jitter, totals, drop_rate (1 - out / in) and throughput.
 
     end_to_end: an item a row (latency_ns null if it never came out, timestamp_ns).
@@ -121,10 +133,10 @@ def pipeline_snapshot(stages: DataFrame, end_to_end: DataFrame, latency_column:
     total = end_to_end.agg(
         F.count(F.lit(1)).alias("total_input"),
         F.count(latency_column).alias("total_output"),
-        F.struct(*latency_aggregates(latency_column)).alias("end_to_end_latency"),
         F.struct(*jitter_aggregates(latency_column)).alias("end_to_end_jitter"),
         F.coalesce((F.max("timestamp_ns") - F.min("timestamp_ns")) / 1e9, F.lit(0.0)).alias("elapsed_secs"),
     )
+    total = _with_latency(total, end_to_end, latency_column, (), "end_to_end_latency", spread)
     both = listed.join(total)  # one row on either side
     return both.withColumns({"drop_rate": F.when(F.col("total_input") > 0, 1 - F.col("total_output") / F.col("total_input")).otherwise(F.lit(0.0)), "throughput": F.when(F.col("elapsed_secs") > 0, F.col("total_output") / F.col("elapsed_secs")).otherwise(F.lit(0.0))})
 

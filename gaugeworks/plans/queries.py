@@ -336,8 +336,8 @@ def event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def target_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _latencies(spark, sf_dir)
-    both = rows.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("throughput"), F.expr("percentile_disc(0.99) within group (order by latency_ns)").cast("long").alias("p99_ns"), F.round(F.stddev_samp("latency_ns")).alias("std_dev_ns"))
+    got = metrics.stage_metrics(_stages(spark, sf_dir), keys=("name",))
+    both = got.select(F.col("name").alias("event_type"), F.col("input_count").cast("double").alias("throughput"), F.col("latency.p99_ns").alias("p99_ns"), F.round("jitter.std_dev_ns").alias("std_dev_ns"))
     return metrics.Targets(throughput=1000, p99_us=200, jitter_ms=0.05).check(both)
 
 

@@ -2,40 +2,46 @@
 
 from __future__ import annotations
 
-import pickle
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
+from typing import ClassVar
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from gaugeworks.operators.folds import _SQL, Fold
+from gaugeworks.operators.folds import Fold
+from gaugeworks.operators.sliding import Frame
+from gaugeworks.streaming.state import asof_nearest, spoken, streamed  # noqa: F401
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 @dataclass(frozen=True)
 class LastRows(Fold):
-    """Moving average and upper median of the last `size` readings."""
+    """Moving average and upper median of the last `size` readings; null rows are no reading."""
 
     size: int = 10
+    state_type: ClassVar[str] = "held array<double>"
 
     def start(self):  # noqa: ANN201
-        return deque(maxlen=self.size)
+        return Frame(self.size)
+
+    def pack(self, state):  # noqa: ANN001, ANN201
+        return (list(state.rows),)
+
+    def unpack(self, stored):  # noqa: ANN001, ANN201
+        return Frame(self.size, stored[0] or [])
 
     def run(self, state, values):  # noqa: ANN001, ANN201
         averages, medians = [], []
         for x in values:
             if x is not None:
-                state.append(x)
-            averages.append(sum(state) / len(state) if state else None)
-            medians.append(sorted(state, key=lambda v: (v != v, v))[len(state) // 2] if state else None)
+                state.push(x)
+            averages.append(sum(state.rows) / len(state.rows) if state.rows else None)
+            medians.append(state.median())
         named = {"average": averages, "median": medians}
         return state, tuple(named[k] for k in self.outputs)
 
@@ -45,6 +51,13 @@ class Running(Fold):
     """Count, sum in whole units and largest time so far, as count, mean and timestamp_ns of a clock that never goes back."""
 
     scale: int = 100
+    state_type: ClassVar[str] = "n long, units long, top long"
+
+    def pack(self, state):  # noqa: ANN001, ANN201
+        return state
+
+    def unpack(self, stored):  # noqa: ANN001, ANN201
+        return tuple(stored)
 
     def run(self, state, values, times):  # noqa: ANN001, ANN201
         n, units, top = state or (0, 0, None)
@@ -59,37 +72,6 @@ class Running(Fold):
         return (n, units, top), (counts, means, tops)
 
 
-def streamed(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold: Fold, mode: str = "append") -> DataFrame:
-    """A fold over a streaming DataFrame, its state in the state store.
-
-    Rows of one key in one micro-batch are sorted by `order`; a row that comes in a later
-    batch than its successors is folded in after them. Needs the RocksDB state store (ROCKSDB).
-    """
-    schema = T.StructType([*df.schema.fields, *(T.StructField(k, _SQL[t]) for k, t in fold.outputs.items())])
-    return df.groupBy(*keys).transformWithStateInPandas(_processor(fold, list(order), schema.names, list(fold.outputs)), schema, mode, "None")
-
-
-def _processor(fold: Fold, order: list[str], names: list[str], outputs: list[str]) -> StatefulProcessor:
-    class Processor(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("state", "blob binary")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, ARG002
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-            state = pickle.loads(self.state.get()[0]) if self.state.exists() else fold.start()
-            columns = [[None if pd.isna(v) else v for v in batch[c].tolist()] for c in fold.inputs]
-            state, got = fold.run(state, *columns)
-            self.state.update((pickle.dumps(state),))
-            for name, values in zip(outputs, got, strict=True):
-                batch[name] = values
-            yield batch[names]
-
-        def close(self) -> None:
-            pass
-
-    return Processor()
-
-
 def windowed(df: DataFrame, time: str, delay: str, size: str, slide: str | None = None, keys: tuple[str, ...] = (), **aggregates: Column) -> DataFrame:
     """Tumbling or sliding event-time windows; rows later than the watermark are left out."""
     return df.withWatermark(time, delay).groupBy(F.window(time, size, slide), *keys).agg(*(c.alias(k) for k, c in aggregates.items()))
