@@ -41,13 +41,17 @@ def sample_every(df: DataFrame, stream: Stream, rate: int) -> DataFrame:
 
 
 def drop_newest(df: DataFrame, stream: Stream, capacity: int) -> DataFrame:
-    """Keeps the first `capacity` rows of each admission window (the stream's keys)."""
+    """Keeps the first `capacity` rows of each admission window (the stream's keys; without any, all rows are one window)."""
+    if not stream.keys:
+        return df.orderBy(*stream.order).limit(capacity)
     rank = F.row_number().over(stream.window())
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= capacity).drop("_rank")
 
 
 def drop_oldest(df: DataFrame, stream: Stream, capacity: int) -> DataFrame:
     """Keeps the last `capacity` rows of each admission window."""
+    if not stream.keys:
+        return df.orderBy(*(F.desc(c) for c in stream.order)).limit(capacity)
     rank = F.row_number().over(Window.partitionBy(*stream.keys).orderBy(*(F.desc(c) for c in stream.order)))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= capacity).drop("_rank")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from gaugeworks.plans.queries import ALPHA, CUTOFF, EULER, HZ, TOLERANCE_NS
+from gaugeworks.plans.queries import ALPHA, CUTOFF, EULER, HZ, IDLE_NS, TOLERANCE_NS
 
 _R = "r AS (SELECT user_id AS sensor_id, event_id AS seq, epoch_us(ts) * 1000 AS timestamp_ns, event_type, value FROM events WHERE NOT isnan(value) AND value BETWEEN -1000 AND 1000)"
 _N = f"{_R}, n AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY seq) AS n FROM r)"
@@ -82,6 +82,47 @@ def _product() -> str:
     return f"WITH {_I}, t AS ({turned}) SELECT seq, {', '.join(cols)} FROM t"
 
 
+def _controller(key: str, high: float, low: float, hysteresis: int) -> str:
+    return f"""WITH RECURSIVE {_R}, u AS (SELECT {key} AS key, seq, row_number() OVER (PARTITION BY {key} ORDER BY seq) AS n, CASE WHEN value / 100 > {_d(high)} THEN 1 WHEN value / 100 < {_d(low)} THEN -1 ELSE 0 END AS d FROM r),
+        f AS (SELECT key, seq, n, 0 AS level, CASE WHEN d <> 0 THEN 1 ELSE 0 END AS c, 0 AS used, true AS accepted FROM u WHERE n = 1
+              UNION ALL SELECT key, seq, n, level, CASE WHEN d = 0 OR level <> before THEN 0 ELSE c + 1 END, CASE WHEN level > 0 THEN used + 1 ELSE used END, level = 0 OR used % (1 << level) = 0
+              FROM (SELECT u.key, u.seq, u.n, u.d, p.c, p.used, p.level AS before, CASE WHEN u.d <> 0 AND p.c >= {hysteresis} AND p.level + u.d BETWEEN 0 AND 4 THEN p.level + u.d ELSE p.level END AS level FROM f AS p JOIN u ON u.key = p.key AND u.n = p.n + 1))
+        SELECT key AS {key}, seq, level AS quality, accepted FROM f"""
+
+
+#: A token is 10^14 units, of which a nanosecond brings one.
+_UNIT = 10**14
+_BUCKET_BY_TYPE = f"""WITH RECURSIVE {_R}, n AS (SELECT event_type, seq, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS n, coalesce(max(timestamp_ns) OVER (PARTITION BY event_type ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), timestamp_ns) AS before, timestamp_ns AS t FROM r),
+        f AS (SELECT event_type, seq, n, {3 * _UNIT}::BIGINT AS had FROM n WHERE n = 1
+              UNION ALL SELECT n.event_type, n.seq, n.n, least({3 * _UNIT}, CASE WHEN p.had >= {_UNIT} THEN p.had - {_UNIT} ELSE p.had END + greatest(n.t - n.before, 0)) FROM f AS p JOIN n ON n.event_type = p.event_type AND n.n = p.n + 1)
+        SELECT event_type, seq, had >= {_UNIT} AS accepted, round(CASE WHEN had >= {_UNIT} THEN had - {_UNIT} ELSE had END / {_UNIT}::DOUBLE, 6) AS tokens FROM f"""
+
+_SHARES = (("p50_ns", 0.5), ("p95_ns", 0.95), ("p99_ns", 0.99), ("p999_ns", 0.999))
+_DISC = ", ".join(f"quantile_disc(latency_ns, {q}) AS {c}" for c, q in _SHARES)
+_STATES = f"""WITH {_LAT}, b AS (SELECT event_type, least((length(ltrim(bin(greatest(latency_ns, 1)), '0')) - 1) * 10 // 3, 63)::INTEGER AS bucket, count(*) AS n FROM l GROUP BY ALL),
+    t AS (SELECT event_type, bucket, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS through, sum(n) OVER (PARTITION BY event_type) AS total FROM b),
+    p AS (SELECT event_type, {", ".join(f"1::BIGINT << ((min(bucket) FILTER (through >= ceil(total * {q}))) * 3 // 10) AS {c}" for c, q in _SHARES)} FROM t GROUP BY event_type),
+    m AS (SELECT event_type, count(*) AS count, min(latency_ns)::DOUBLE AS least, max(latency_ns)::DOUBLE AS most, round(avg(latency_ns), 3) AS mean, round(stddev_samp(latency_ns), 3) AS std_dev FROM l GROUP BY event_type)
+    SELECT m.*, {", ".join(c for c, _ in _SHARES)} FROM m JOIN p USING (event_type)"""
+
+#: Latency, jitter and counts of one stage or of the whole, as the exports tell them.
+_TOLD = f"sum(latency_ns)::DOUBLE / count(latency_ns) AS mean_ns, {_DISC}, stddev_samp(latency_ns) AS std_dev_ns"
+_WHOLE = f"w AS (SELECT count(*) AS i, count(latency_ns) AS o, (max(timestamp_ns) - min(timestamp_ns)) / 1e9::DOUBLE AS secs, {_TOLD} FROM (SELECT timestamp_ns, CASE WHEN outcome = 'output' THEN latency_ns END AS latency_ns FROM st))"
+
+
+def _json() -> str:
+    latency = "'\"count\": ' || o || ', \"mean_ns\": ' || format('{:.2f}', mean_ns)" + "".join(f" || ', \"{c}\": ' || {c}" for c, _ in _SHARES)
+    counts = "".join(f" || ', \"{c}_count\": ' || {c}_count" for c in ("input", "output", "filtered", "dropped", "error"))
+    stage = f"'{{\"name\": \"' || name || '\"'{counts} || ', \"throughput_ratio\": ' || format('{{:.4f}}', output_count / input_count) || ', \"latency\": {{\"mean_ns\": ' || format('{{:.2f}}', mean_ns) || ', \"p99_ns\": ' || p99_ns || '}}, \"jitter\": {{\"std_dev_ns\": ' || format('{{:.2f}}', std_dev_ns) || '}}}}'"
+    return f"""WITH {_STAGES}, {_WHOLE}, c AS (SELECT name, count(*) AS input_count, {_count("output", "output")}, {_count("filtered", "filtered")}, {_count("dropped", "dropped")}, {_count("error", "error")}, {_TOLD} FROM st GROUP BY name)
+        SELECT '{{"throughput": ' || format('{{:.2f}}', o / secs) || ', "total_input": ' || i || ', "total_output": ' || o || ', "drop_rate": ' || format('{{:.4f}}', 1 - o / i) || ', "elapsed_secs": ' || format('{{:.3f}}', secs)
+        || ', "end_to_end_latency": {{' || {latency} || '}}, "end_to_end_jitter": {{"count": ' || o || ', "mean_ns": ' || format('{{:.2f}}', mean_ns) || ', "std_dev_ns": ' || format('{{:.2f}}', std_dev_ns)
+        || '}}, "stages": [' || (SELECT string_agg({stage}, ', ' ORDER BY name) FROM c) || ']}}' AS json FROM w"""
+
+
+_BURSTS = f"WITH {_R}, b AS (SELECT *, lead(timestamp_ns) OVER (PARTITION BY sensor_id ORDER BY timestamp_ns, seq) AS next FROM r) SELECT sensor_id, timestamp_ns + {IDLE_NS} AS at_ns, 'tick' AS cause, seq AS last_seq, value FROM b WHERE next IS NULL OR next > timestamp_ns + {IDLE_NS}"
+
+
 ORACLES: dict[str, str] = {
     "flagship_status": f"WITH {_R} {_status('sensor_id')}",
     "flagship_status_global": f"WITH {_R} {_status('')}",
@@ -134,11 +175,9 @@ ORACLES: dict[str, str] = {
         f AS (SELECT sensor_id, seq, n, timestamp_ns, 3::DOUBLE AS had FROM n WHERE n = 1
               UNION ALL SELECT n.sensor_id, n.seq, n.n, n.timestamp_ns, least(3::DOUBLE, CASE WHEN p.had >= 1 THEN p.had - 1 ELSE p.had END + (n.timestamp_ns - p.timestamp_ns) * {_d(0.00001)} / 1e9::DOUBLE) FROM f AS p JOIN n ON n.sensor_id = p.sensor_id AND n.n = p.n + 1)
         SELECT sensor_id, seq, had >= 1 AS accepted, round(CASE WHEN had >= 1 THEN had - 1 ELSE had END, 6) AS tokens FROM f""",
-    "adaptive_controller": f"""WITH RECURSIVE {_N}, u AS (SELECT *, CASE WHEN value / 100 > {_d(0.4)} THEN 1 WHEN value / 100 < {_d(0.2)} THEN -1 ELSE 0 END AS d FROM n),
-        f AS (SELECT sensor_id, seq, n, 0 AS level, CASE WHEN d <> 0 THEN 1 ELSE 0 END AS c, 0 AS used, true AS accepted FROM u WHERE n = 1
-              UNION ALL SELECT sensor_id, seq, n, level, CASE WHEN d = 0 OR level <> before THEN 0 ELSE c + 1 END, CASE WHEN level > 0 THEN used + 1 ELSE used END, level = 0 OR used % (1 << level) = 0
-              FROM (SELECT u.sensor_id, u.seq, u.n, u.d, p.c, p.used, p.level AS before, CASE WHEN u.d <> 0 AND p.c >= 2 AND p.level + u.d BETWEEN 0 AND 4 THEN p.level + u.d ELSE p.level END AS level FROM f AS p JOIN u ON u.sensor_id = p.sensor_id AND u.n = p.n + 1))
-        SELECT sensor_id, seq, level AS quality, accepted FROM f""",
+    "adaptive_controller": _controller("sensor_id", 0.4, 0.2, 2),
+    "adaptive_controller_spread": _controller("event_type", 0.4, 0.2, 2),
+    "admission_adaptive": f"SELECT sensor_id, count(*) AS kept, max(seq) AS last FROM ({_controller('sensor_id', 0.8, 0.5, 10)}) WHERE accepted GROUP BY sensor_id",
     "admission_stats": f"""WITH {_R}, c AS (SELECT sensor_id, count(*) FILTER (event_type IN ('view', 'click')) AS accepted, count(*) FILTER (event_type = 'error') AS dropped, count(*) FILTER (event_type = 'signup') AS blocked, count(*) FILTER (event_type = 'purchase') AS sampled_out FROM r GROUP BY sensor_id)
         SELECT *, accepted + dropped + sampled_out AS total, coalesce((dropped + sampled_out) / nullif(accepted + dropped + sampled_out, 0), 0) AS drop_rate, coalesce(accepted / nullif(accepted + dropped + sampled_out, 0), 1) AS acceptance_rate FROM c""",
     "latency_percentiles": f"WITH {_LAT} SELECT event_type, count(*) AS count, sum(latency_ns)::DOUBLE / count(*) AS mean_ns, min(latency_ns) AS min_ns, max(latency_ns) AS max_ns, " + ", ".join(f"quantile_disc(latency_ns, {q}) AS {c}" for c, q in (("p50_ns", 0.5), ("p95_ns", 0.95), ("p99_ns", 0.99), ("p999_ns", 0.999))) + " FROM l GROUP BY event_type",
@@ -154,11 +193,14 @@ ORACLES: dict[str, str] = {
     "queue_metrics": f"""WITH {_R}, q AS (SELECT sensor_id, seq, {_QUEUE} FROM r), d AS (SELECT *, (sum({_STEP}) OVER (PARTITION BY sensor_id ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS depth FROM q),
         c AS (SELECT sensor_id, count(*) FILTER (kind = 'send') AS sent, count(*) FILTER (kind = 'recv') AS received, count(*) FILTER (kind = 'drop') AS dropped, greatest(max(depth), 0) AS max_depth FROM d GROUP BY sensor_id)
         SELECT *, sent - received AS depth, (sent - received) * 100::DOUBLE / 10 AS utilization, (sent - received) * 100::DOUBLE / 10 >= 80 AS pressure, coalesce(dropped * 100::DOUBLE / nullif(sent, 0), 0) AS drop_rate FROM c""",
-    "stage_metrics": f"""WITH {_STAGES}, c AS (SELECT name, count(*) AS input_count, {_count("output", "output")}, {_count("filtered", "filtered")}, {_count("dropped", "dropped")}, {_count("error", "error")}, count(*) * 8 AS bytes_processed, sum(latency_ns)::BIGINT AS total_ns, quantile_disc(latency_ns, 0.99) AS p99_ns FROM st GROUP BY name)
-        SELECT *, output_count / input_count AS throughput_ratio, filtered_count / input_count AS filter_rate, dropped_count / input_count AS drop_rate, total_ns / input_count AS avg_processing_ns FROM c""",
-    "snapshot_csv": f"""WITH {_STAGES}, c AS (SELECT name AS stage, count(*) AS input_count, {_count("output", "output")}, {_count("filtered", "filtered")}, {_count("dropped", "dropped")}, {_count("error", "error")}, quantile_disc(latency_ns, 0.99) AS p99_latency_ns FROM st GROUP BY name
-        UNION ALL SELECT '_pipeline', count(*), count(*) FILTER (outcome = 'output'), 0, count(*) - count(*) FILTER (outcome = 'output'), 0, quantile_disc(latency_ns, 0.99) FILTER (outcome = 'output') FROM st)
-        SELECT stage, input_count, output_count, filtered_count::BIGINT AS filtered_count, dropped_count, error_count::BIGINT AS error_count, format('{{:.4f}}', output_count / input_count) AS throughput_ratio, p99_latency_ns FROM c""",
+    "stage_metrics": f"""WITH {_STAGES}, c AS (SELECT name, count(*) AS input_count, {_count("output", "output")}, {_count("filtered", "filtered")}, {_count("dropped", "dropped")}, {_count("error", "error")}, count(*) * 8 AS bytes_processed, sum(latency_ns)::BIGINT AS total_ns,
+        (max(timestamp_ns) - min(timestamp_ns)) / 1e9::DOUBLE AS elapsed_secs, sum(latency_ns)::DOUBLE / count(*) AS mean_ns, min(latency_ns) AS min_ns, max(latency_ns) AS max_ns, {_DISC}, max(latency_ns) - min(latency_ns) AS range_ns, round(stddev_samp(latency_ns), 3) AS std_dev_ns FROM st GROUP BY name)
+        SELECT *, output_count / input_count AS throughput_ratio, filtered_count / input_count AS filter_rate, dropped_count / input_count AS drop_rate, total_ns / input_count AS avg_processing_ns, output_count / elapsed_secs AS throughput, bytes_processed / elapsed_secs AS bytes_per_sec FROM c""",
+    "snapshot_csv": f"""WITH {_STAGES}, {_WHOLE}, c AS (SELECT name AS stage, count(*) AS input_count, {_count("output", "output")}, {_count("filtered", "filtered")}, {_count("dropped", "dropped")}, {_count("error", "error")}, {_TOLD} FROM st GROUP BY name
+        UNION ALL SELECT '_pipeline', i, o, 0, i - o, 0, mean_ns, {", ".join(c for c, _ in _SHARES)}, std_dev_ns FROM w)
+        SELECT format('{{:.3f}}', (SELECT secs FROM w)) AS timestamp, stage, input_count, output_count, filtered_count::BIGINT AS filtered_count, dropped_count, error_count::BIGINT AS error_count, format('{{:.4f}}', output_count / input_count) AS throughput_ratio, format('{{:.2f}}', mean_ns) AS mean_latency_ns,
+        p99_ns AS p99_latency_ns, format('{{:.2f}}', std_dev_ns) AS jitter_ns FROM c""",
+    "snapshot_json": _json(),
     "snapshot_summary": f"""WITH {_LAT}, c AS (SELECT count(*)::DOUBLE AS throughput, max(latency_ns) AS p99, min(latency_ns)::DOUBLE AS jit, count(*) AS i, count(*) FILTER (seq % 2 = 0) AS o FROM l GROUP BY event_type)
         SELECT count(*) AS snapshots, avg(throughput) AS avg_throughput, min(throughput) AS min_throughput, max(throughput) AS max_throughput, avg(p99) AS avg_p99_ns, max(p99)::DOUBLE AS max_p99_ns, avg(jit) AS avg_jitter_ns, max(jit) AS max_jitter_ns, sum(i)::BIGINT AS total_input, sum(o)::BIGINT AS total_output, 1 - sum(o)::DOUBLE / sum(i) AS overall_drop_rate FROM c""",
     "recorder": f"WITH {_R} SELECT sensor_id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY seq DESC) AS k FROM r) WHERE k <= 3",
@@ -175,4 +217,15 @@ ORACLES: dict[str, str] = {
     "SELECT sensor_id, count(*) AS kept, min(seq) AS first, max(seq) AS last, strategy FROM k GROUP BY sensor_id, strategy",
     "sequence_source": "SELECT i * 10000000 AS timestamp_ns, i AS seq, least(i + 1, 5)::INTEGER AS data, 'hold' AS mode FROM range(20) AS t(i) UNION ALL SELECT i * 10000000, i, (i % 3 + 1)::INTEGER, 'repeat' FROM range(20) AS t(i)",
     "sensor_generators": "SELECT 'demo' AS source, i AS seq, round(50 + 30 * sin(i * 0.1::DOUBLE), 6) AS value FROM range(1000) AS t(i) UNION ALL SELECT 'barometer', i, round(101325 + 100 * sin(i * 0.1::DOUBLE), 6) FROM range(1000) AS t(i)",
+    "token_bucket_spread": _BUCKET_BY_TYPE,
+    "hot_types_status": f"WITH {_R} {_status('event_type')}",
+    "median_101": f"WITH {_R}, w AS (SELECT event_type, seq, value, list_sort(list(value) OVER (PARTITION BY event_type ORDER BY seq ROWS 100 PRECEDING)) AS l FROM r) SELECT event_type, seq, value, l[len(l) // 2 + 1] AS median FROM w",
+    "latency_percentiles_global": f"WITH {_LAT} SELECT count(*) AS count, sum(latency_ns)::DOUBLE / count(*) AS mean_ns, min(latency_ns) AS min_ns, max(latency_ns) AS max_ns, {_DISC} FROM l",
+    "latency_states": _STATES,
+    "dead_letters": f"""WITH {_R}, k AS (SELECT seq, value, CASE WHEN event_type = 'error' THEN 'InvalidData' WHEN value < 5 THEN 'ReadFailed' END AS kind FROM r)
+        SELECT seq, CASE WHEN kind IS NULL THEN value / 2 END AS half, kind, CASE kind WHEN 'InvalidData' THEN 'an error event' WHEN 'ReadFailed' THEN 'too small' END AS message, CASE kind WHEN 'InvalidData' THEN 'check' WHEN 'ReadFailed' THEN 'half' END AS stage FROM k""",
+    "stream_asof_nearest": f"WITH {_NEAR} SELECT seq, secondary_seq, time_diff FROM m WHERE k = 1",
+    "stream_debounce": _BURSTS,
+    "debounce": _BURSTS,
+    "stream_ema": _ema(ALPHA, "ema"),
 }

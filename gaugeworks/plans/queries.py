@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from gaugeworks import schema
 from gaugeworks.functions import clock, lidar, vectors
-from gaugeworks.operators import admission, core, export, folds, fusion, metrics, ordered
+from gaugeworks import errors
+from gaugeworks.operators import admission, core, export, folds, fusion, machines, metrics, ordered, percentiles
 from gaugeworks.operators.ordered import Stream
 from gaugeworks.sources import sensors
+from gaugeworks.storage import shared_path
+from gaugeworks.streaming import engine, letters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 BY_SENSOR = Stream(("sensor_id",), ("seq",))
 GLOBAL = Stream((), ("seq",), spread=True)
+BY_TYPE = Stream(("event_type",), ("seq",), spread=True)
 ALPHA, HZ, CUTOFF = 0.2, 100.0, 10.0
 EULER = (0.5, 0.3, 0.1)
 TOLERANCE_NS = 600 * 10**9
@@ -360,8 +364,10 @@ def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, rates, exact latency and jitter of each stage; spreads rounded, as sums run in any order."""
     got = metrics.stage_metrics(_stages(spark, sf_dir))
-    return got.select("name", "input_count", "output_count", "filtered_count", "dropped_count", "error_count", "bytes_processed", "total_ns", "throughput_ratio", "filter_rate", "drop_rate", "avg_processing_ns", F.col("latency.p99_ns").alias("p99_ns"))
+    plain = ("name", "input_count", "output_count", "filtered_count", "dropped_count", "error_count", "bytes_processed", "total_ns", "elapsed_secs", "throughput_ratio", "filter_rate", "drop_rate", "avg_processing_ns", "throughput", "bytes_per_sec")
+    return got.select(*plain, *(F.col(f"latency.{c}").alias(c) for c in metrics.LATENCY if c != "count"), F.col("jitter.range_ns").alias("range_ns"), F.round("jitter.std_dev_ns", 3).alias("std_dev_ns"))
 
 
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +379,7 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def snapshot_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export's rows: the whole pipeline and each stage."""
-    return export.to_csv_rows(_snapshot(spark, sf_dir)).drop("timestamp", "mean_latency_ns", "jitter_ns")
+    return export.to_csv_rows(_snapshot(spark, sf_dir))
 
 
 @query
@@ -483,3 +489,115 @@ def sensor_generators(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: A
     demo = sensors.demo_stream(spark, 1000).select(F.lit("demo").alias("source"), "seq", rounded(F.col("value")).alias("value"))
     return demo.unionByName(sensors.barometer(spark, 1000).select(F.lit("barometer").alias("source"), "seq", rounded(F.col("pressure_pa")).alias("value")))
 
+
+
+@query
+def token_bucket_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few long streams, one for each type of event, in blocks. Times that go back bring no tokens."""
+    rows = in_range(spark, sf_dir).select("event_type", "seq", "timestamp_ns")
+    return folds.folded(rows, BY_TYPE, BUCKET).select("event_type", "seq", "accepted", F.round("tokens", 6).alias("tokens"))
+
+
+@query
+def adaptive_controller_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = in_range(spark, sf_dir).select("event_type", "seq", (F.col("value") / 100).alias("utilization"))
+    return folds.folded(rows, BY_TYPE, CONTROLLER).select("event_type", "seq", "quality", "accepted")
+
+
+@query
+def admission_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the adaptive strategy admits, by sensor."""
+    rows = in_range(spark, sf_dir).select("sensor_id", "seq", (F.col("value") / 100).alias("utilization"))
+    return admission.Strategy.ADAPTIVE.apply(rows, BY_SENSOR).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("kept"), F.max("seq").alias("last"))
+
+
+@query
+def hot_types_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running status by type of event; types with a fifth of all rows are found hot and spread."""
+    rows = in_range(spark, sf_dir).select("event_type", "seq", "value")
+    return ordered.by_size(rows, Stream(("event_type",), ("seq",)), ordered.running_status, hot_rows=max(1, rows.count() // 5))
+
+
+@query
+def median_101(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame too long to sort for each row."""
+    return ordered.median_filter(in_range(spark, sf_dir).select("event_type", "seq", "value"), BY_TYPE, "value", 101)
+
+
+@query
+def latency_percentiles_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all readings, in blocks of values."""
+    return metrics.latency(_latencies(spark, sf_dir), spread=True).select(*metrics.LATENCY)
+
+
+@query
+def latency_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States by type and sensor, merged by type, told by buckets."""
+    parts = percentiles.states(_latencies(spark, sf_dir), "latency_ns", ("event_type", "sensor_id"))
+    got = percentiles.told(percentiles.merged(parts, ("event_type",)))
+    return got.select("event_type", "count", "least", "most", *(F.round(c, 3).alias(c) for c in ("mean", "std_dev")), *percentiles.PERCENTILES)
+
+
+def _halved(value: float) -> tuple:
+    if value < 5:
+        raise errors.ReadFailed("too small")
+    return (value / 2,)
+
+
+@query
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reading's error, by a check and a stage, and the stage's output where there is none."""
+    steps = (letters.Check(F.col("event_type") != "error", errors.InvalidData, "an error event"), letters.Guarded("half", _halved, ("value",), {"half": "double"}))
+    got = letters.passed(in_range(spark, sf_dir).select("seq", "event_type", "value"), *steps)
+    return got.select("seq", "half", F.col("error.kind").alias("kind"), F.col("error.message").alias("message"), F.col("error.stage").alias("stage"))
+
+
+IDLE_NS = 3600 * 10**9
+
+
+def _as_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows as a stream, with an end far behind them of each kind, seq -1, that moves the watermark."""
+    ends = rows.groupBy("event_type").agg((F.max("timestamp_ns") + 10**18).alias("timestamp_ns")).withColumn("seq", F.lit(-1).cast("long"))
+    path = shared_path(spark, "stream")
+    rows.unionByName(ends, allowMissingColumns=True).write.parquet(path)
+    for k, v in engine.ROCKSDB.items():
+        spark.conf.set(k, v)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def _drained(df: DataFrame) -> DataFrame:
+    """What a stream gives over all that is there now, through a table in the shared folder."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "drained")
+    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query
+def stream_asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asof_nearest over two streams, by timers."""
+    rows = _as_stream(spark, in_range(spark, sf_dir).filter("event_type in ('purchase', 'view')").select("seq", "timestamp_ns", "value", "event_type"))
+    primary, secondary = (rows.filter(F.col("event_type") == kind).drop("event_type") for kind in ("purchase", "view"))
+    got = _drained(engine.asof_nearest(primary, secondary, TOLERANCE_NS, "1 hour").select("seq", F.col("secondary.seq").alias("secondary_seq"), "time_diff"))
+    return got.filter("seq >= 0")
+
+
+@query
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last reading of each burst of a sensor, told by a tick once it has been idle for an hour."""
+    rows = _as_stream(spark, in_range(spark, sf_dir).select("sensor_id", "seq", "timestamp_ns", "value", "event_type"))
+    machine = machines.Debounce(("seq", "value"), {"last_seq": "long", "value": "double"}, idle_ns=IDLE_NS)
+    return _drained(engine.spoken(rows, ("sensor_id",), ("timestamp_ns", "seq"), machine, "1 hour")).filter("last_seq >= 0")
+
+
+@query
+def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream_debounce over a table."""
+    machine = machines.Debounce(("seq", "value"), {"last_seq": "long", "value": "double"}, idle_ns=IDLE_NS)
+    return machines.spoken(in_range(spark, sf_dir), Stream(("sensor_id",), ("timestamp_ns", "seq")), machine)
+
+
+@query
+def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ema over a stream, its state in the state store."""
+    rows = _as_stream(spark, in_range(spark, sf_dir).select("sensor_id", "seq", "timestamp_ns", "value", "event_type")).filter("seq >= 0").select("sensor_id", "seq", "value")
+    return _drained(engine.streamed(rows, ("sensor_id",), ("seq",), folds.Ema(("value",), {"ema": "double"}, ALPHA)))

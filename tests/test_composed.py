@@ -146,3 +146,11 @@ def test_long_frames_cost_little_more():
         fold.run(fold.start(), values)
         took[size] = time.process_time() - began
     assert took[10_000] < 4 * took[10] + 0.2
+
+
+def test_admission_windows_without_keys(spark, rows):
+    """The first and the last rows of all, found by each task's own."""
+    for f, want in ((admission.drop_newest, range(5)), (admission.drop_oldest, range(5995, 6000))):
+        got = f(rows, Stream(), 5)
+        assert sorted(r.seq for r in got.collect()) == list(want)
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString().split("TakeOrderedAndProject")[-1]
