@@ -3,7 +3,10 @@
 A record's fingerprint is the SHA-256 of those of its nested field paths (a.b, a[].b) that some
 layout maps, types left out; other fields don't matter. It selects one of LAYOUTS; each maps
 its layout to canonical turns (turn, role, text). An empty list of turns has its layout and no
-turns. Records with an unknown fingerprint, or that are no JSON, have layout null and no turns.
+turns. A record of several layouts' fields has the fingerprint of none: it takes the layout that is
+there whole, the one of most fields if there are several, and a `system` text beside it, null and
+empty ones left out, goes before its turns. Records with no whole layout, or that are no JSON,
+have layout null and no turns.
 A table of turn rows is fingerprinted by the paths of its schema in the same way; if columns of
 several row layouts clash, the first layout that is there whole is taken.
 
@@ -80,6 +83,8 @@ LAYOUTS = (
 )
 
 
+SYSTEM = "system"
+
 #: Tokens of a variant's schema text: a field's name, plain or quoted, the brackets, a type.
 _TOKEN = r"`(?:[^`]|``)*`: |[^`:<>, ]+: |OBJECT<>|OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9, ]+\))?"
 
@@ -118,11 +123,27 @@ def turns_of_records(records: DataFrame, column: str = "record", layouts: tuple[
     known = sorted({p for x in layouts for p in (*x.paths, x.empty) if p})
     mapped = F.array_intersect(paths_of(F.schema_of_variant("v")), F.array(*map(F.lit, known)))
     got = records.withColumn("v", F.try_parse_json(column)).withColumn("fingerprint", F.sha2(F.array_join(F.array_sort(mapped), "\n"), 256))
-    name, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)
+    got = got.withColumn("layout", _layout_of(mapped, layouts))
+    turns = F.array().cast(_TURNS)
+    for x in layouts:
+        turns = F.when(F.col("layout") == x.name, F.expr(x.turns).cast(_TURNS)).otherwise(turns)
+    # Of a layout that doesn't map it, a system text is a turn of its own.
+    told = [x.name for x in layouts if SYSTEM in x.paths]
+    system = F.expr(f"nullif({_get(SYSTEM)}, '')")
+    apart = F.col("layout").isNotNull() & ~F.col("layout").isin(*told) & system.isNotNull()
+    first = F.array(F.struct(F.lit(-1).cast("bigint").alias("turn"), F.lit("system").alias("role"), system.alias("text")))
+    return got.withColumn("turns", F.when(apart, F.concat(first, turns)).otherwise(turns)).drop("v", column)
+
+
+def _layout_of(mapped: Column, layouts: tuple[Layout, ...]) -> Column:
+    """By fingerprint; else the layout of most fields that is there whole, the first of several."""
+    name = F.lit(None).cast("string")
+    for x in reversed(sorted(layouts, key=lambda x: -len(x.paths))):
+        whole = F.size(F.array_except(F.array(*map(F.lit, x.paths)), mapped)) == 0
+        name = F.when(whole | (F.array_contains(mapped, x.empty) if x.empty else F.lit(False)), F.lit(x.name)).otherwise(name)
     for x in layouts:
-        fits = F.col("fingerprint").isin(*x.fingerprints)
-        name, turns = F.when(fits, F.lit(x.name)).otherwise(name), F.when(fits, F.expr(x.turns).cast(_TURNS)).otherwise(turns)
-    return got.withColumns({"layout": name, "turns": turns}).drop("v", column)
+        name = F.when(F.col("fingerprint").isin(*x.fingerprints), F.lit(x.name)).otherwise(name)
+    return name
 
 
 #: Layouts of tables with a row for each turn: paths of (conversation, turn, role, text).

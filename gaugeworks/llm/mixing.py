@@ -15,7 +15,7 @@ source without words has target 0. An empty table gives an empty mix. Sums are e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm._common import attach, clear_of, count_words, keyed, materialize
@@ -54,9 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, the keys, source, size, source_size, target, repeats, taken."""
-    key: Column = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = materialize(docs.select("doc_id", *keys, "source", count_words().alias("size")), "mix-sizes")
-    keyed_rows = sized.withColumn("_key", key).withColumn("_block", F.substring("_key", 1, 3))
+    # Rows without an id are drawn by their text, so they don't meet in one block.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string")))
+    sized = materialize(docs.select("doc_id", *keys, "source", count_words().alias("size"), F.md5(F.concat(F.lit(SEED), name)).alias("_key")), "mix-sizes")
+    keyed_rows = sized.withColumn("_block", F.substring("_key", 1, 3))
     blocks = keyed_rows.groupBy("source", "_block").agg(F.sum("size").alias("_words"))
     ahead = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_words").over(ahead), F.lit(0)))

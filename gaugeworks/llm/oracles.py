@@ -181,6 +181,7 @@ ORACLES: dict[str, str] = {
     "urls_by_template": _op4((*(("block", f"{host}/en/{d}") for host in ("com", "net") for d in range(1, 8)), *(("allow", f"org/en/{d}") for d in range(1, 6)), ("block", "org/de/"))),
     "op5_chat": _op5(),
     "op6_embeddings": OP6,
+    "embeddings_near": OP6.replace(">= 0.95", ">= 0.42"),
     "op8_warc": OP8,
     "op10_suffixes": OP10,
     "op11_licenses": _op11(TEMPLATES),

@@ -11,7 +11,8 @@ two standard errors of the node's. A child without labels is similar if its dept
 its number of different children are about those of the node, at least half of which is
 labelled; so a few labels never speak for a host's other branches. Levels run to the end of the longest path. A path that has
 ended counts as an empty segment. After LEVELS levels, shapes leave together once none of their
-template is longer, and a shape that shares its template with no other keeps its own rest. A template is rejected if its smoothed purity
+template is longer, a shape that shares its template with no other keeps its own rest, and
+segments that all shapes of a template share are one step. A template is rejected if its smoothed purity
 (blocked + SMOOTH / 2) / (labelled + SMOOTH) reaches PURITY; unlabelled ones stay at one half.
 
 Distinct (host, template) pairs are counted before any level runs, so a hot host is a few
@@ -99,28 +100,46 @@ def judged_templates(parsed: DataFrame) -> DataFrame:
     tree = tree.withColumn("segments", F.split("shape", "/", -1)).withColumn("template", F.lit(""))
     tree = materialize(tree, "url-shapes")
     for level in range(1, LEVELS + 1):
-        tree = _grown(tree, level)
-    tree, ended = materialize(tree, "url-level"), []
+        tree = _grown(tree, F.lit(level))
+    tree, ended = materialize(tree.withColumn("done", F.lit(LEVELS)), "url-level"), []
     while True:
-        level += 1
-        longer = tree.groupBy("host", "template").agg(F.count(F.lit(1)).alias("shapes"), F.max(F.size("segments")).alias("most")).filter((F.col("shapes") > 1) & (F.col("most") >= level))
-        open_ = tree.join(longer.select("host", "template"), ["host", "template"], "left_semi")
-        open_ = materialize(_grown(open_, level), "url-level")
+        open_ = materialize(_grown(_followed(tree), F.col("done") + 1).withColumn("done", F.col("done") + 1), "url-level")
         if open_.isEmpty():
             break
-        ended.append(tree.join(open_.select("host", "shape"), ["host", "shape"], "left_anti").withColumn("level", F.lit(level)))
+        ended.append(tree.join(open_.select("host", "shape"), ["host", "shape"], "left_anti"))
         tree = open_
-    ended.append(tree.withColumn("level", F.lit(level)))
-    tree = reduce(DataFrame.unionByName, ended)
-    rest = F.array_join(F.slice("segments", F.col("level"), F.greatest(F.size("segments") - F.col("level") + 1, F.lit(0))), "/")
+    tree = reduce(DataFrame.unionByName, [*ended, tree])
+    rest = F.array_join(_rest(), "/")
     tree = materialize(tree.withColumn("template", F.concat_ws("/", "template", rest)).select("host", "shape", "template", "labelled", "bad"), "url-templates")
     purity = tree.groupBy("host", "template").agg(((F.sum("bad") + SMOOTH / 2) / (F.sum("labelled") + SMOOTH)).alias("purity"))
     return tree.select("host", "shape", "template").join(purity, ["host", "template"]).withColumn("reject", F.col("purity") >= PURITY)
 
 
-def _grown(tree: DataFrame, level: int) -> DataFrame:
+def _rest() -> Column:
+    """The segments behind the levels that are done."""
+    return F.slice("segments", F.col("done") + 1, F.greatest(F.size("segments") - F.col("done"), F.lit(0)))
+
+
+def _followed(tree: DataFrame) -> DataFrame:
+    """The shapes that share their template with a longer or another one, behind all segments that they have in common.
+
+    A node with one child is that child: similar to itself if it has labels, else under its own
+    name. So a chain of such nodes is one step, and rounds are as many as there are branchings on a path.
+    """
+    nodes = tree.groupBy("host", "template").agg(F.count(F.lit(1)).alias("shapes"), F.max(F.size("segments")).alias("most"), F.max("done").alias("least"), F.sum("labelled").alias("marks"), F.min(_rest()).alias("low"), F.max(_rest()).alias("high"))
+    # Lists in order: what the first and the last have in common, all have.
+    apart = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    chain = F.slice("low", F.lit(1), F.greatest(apart - 1, F.lit(0)).cast("int"))
+    nodes = nodes.filter("shapes > 1 and most > least").select("host", "template", "marks", chain.alias("chain"))
+    tokens = F.transform("chain", lambda x: F.when(F.col("marks") > 0, F.lit("*")).otherwise(x))
+    followed = tree.join(nodes, ["host", "template"])
+    named = F.when(F.size("chain") > 0, F.concat_ws("/", "template", F.array_join(tokens, "/"))).otherwise(F.col("template"))
+    return followed.withColumns({"template": named, "done": F.col("done") + F.size("chain")}).drop("marks", "chain")
+
+
+def _grown(tree: DataFrame, level: Column) -> DataFrame:
     """Shapes with the templates that one more level gives."""
-    at = lambda k: F.coalesce(F.try_element_at("segments", F.lit(k)), F.lit(""))
+    at = lambda k: F.coalesce(F.try_element_at("segments", k), F.lit(""))
     here = tree.withColumns({"child": at(level), "next": at(level + 1)}).withColumn("below", F.greatest(F.size("segments") - level, F.lit(0)) * F.col("n"))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad", "below")]
     child = here.groupBy("host", "template", "child").agg(*sums, F.count_distinct("next").alias("fan"))

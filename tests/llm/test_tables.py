@@ -92,6 +92,17 @@ RECORDS = [
     ('{"a b":{"prompt":"x"},"prompt":"a","completion":"b"}', "prompt", ["user:a", "assistant:b"]),
     ('{"nested":{"prompt":"a","completion":"b"}}', None, []),
     ('["a"]', None, []),
+    # Fields of several layouts: the one that is there whole, with a system text beside it.
+    ('{"system":"s","messages":[{"role":"user","content":"a"}]}', "messages", ["system:s", "user:a"]),
+    ('{"messages":[{"role":"user","content":"a"}],"input":"x"}', "messages", ["user:a"]),
+    ('{"prompt":"p","messages":[{"role":"user","content":"a"}]}', "messages", ["user:a"]),
+    ('{"conversations":[{"from":"human","value":"a"}],"system":"s"}', "conversations", ["system:s", "user:a"]),
+    ('{"instruction":"a","input":"x","output":"b","system":"s"}', "instruction_input", ["system:s", "user:a\n\nx", "assistant:b"]),
+    ('{"system":"s","prompt":"a","response":"b","completion":"c"}', "system_prompt", ["system:s", "user:a", "assistant:b"]),
+    ('{"prompt":"a","completion":"b","system":null}', "prompt", ["user:a", "assistant:b"]),
+    ('{"prompt":"a","completion":"b","system":""}', "prompt", ["user:a", "assistant:b"]),
+    ('{"messages":[],"system":"s"}', "messages", ["system:s"]),
+    ('{"prompt":"a","answer":"b"}', None, []),
     ('{"other":1}', None, []),
     ("not json", None, []),
     (None, None, []),
