@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,16 +15,33 @@ from gaugeworks.storage import materialize, shared_path  # noqa: F401
 
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch, one row at least.
+BATCH_BYTES = 8 << 20
 #: Longs of a sieve's bitmap at most.
 WORDS = 1 << 20
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of few bytes from here on: whatever the length of texts, a batch stands in memory several times."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns memory that is free in this Python worker to the system, for the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive pieces of a batch that hold about `limit` bytes of text, one row at least."""
+    """Consecutive pieces of a batch that hold about `limit` bytes of text, one row at least. Frees what they leave."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
@@ -33,6 +51,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
 
 
 def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
