@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontaminate, language, mixing, secrets, simhash_near
-from gaugeworks.llm._common import shared_path, table
+from gaugeworks.llm._common import lean, shared_path, table
 from gaugeworks.storage import mark, release
 
 
@@ -20,6 +20,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Needs the columns text and lang; lang only fits the model. Repeated rows are judged alike.
     """
+    lean(spark)
     model = language.fit(docs.select("text", "lang"))
     return language.predict(docs, model).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
@@ -29,16 +30,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are one class. Null doc_ids come last; of rows that tie or repeat one stays.
     """
+    lean(spark)
     return simhash_near.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark; null and empty texts hold none and stay."""
+    lean(spark)
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; every row stays, nulls and repeated ones too."""
+    lean(spark)
     return secrets.redact(docs)
 
 
@@ -47,6 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source. Repeated rows are documents of their own.
     """
+    lean(spark)
     return mixing.mix_documents(docs)
 
 
