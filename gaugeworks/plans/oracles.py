@@ -228,4 +228,12 @@ ORACLES: dict[str, str] = {
     "stream_debounce": _BURSTS,
     "debounce": _BURSTS,
     "stream_ema": _ema(ALPHA, "ema"),
+    "windowed_counts": f"""WITH {_R}, w AS (SELECT event_type, value, (timestamp_ns // 1000 // 43200000000 - k) * 43200000000 AS start_us FROM r, (VALUES (0), (1)) AS t(k))
+        SELECT event_type, start_us, start_us + 86400000000 AS end_us, count(*) AS n, max(value) AS most FROM w GROUP BY event_type, start_us""",
+    "session_counts": f"""WITH {_R}, t AS (SELECT sensor_id, value, timestamp_ns // 1000 AS us FROM r), g AS (SELECT *, coalesce(us - lag(us) OVER o > 86400000000, true)::INTEGER AS new FROM t WINDOW o AS (PARTITION BY sensor_id ORDER BY us)),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY sensor_id ORDER BY us) AS k FROM g) SELECT sensor_id, min(us) AS start_us, max(us) + 86400000000 AS end_us, count(*) AS n, min(value) AS least FROM s GROUP BY sensor_id, k""",
+    "snapshot_text": f"WITH {_STAGES}, {_WHOLE} SELECT printf('in %d, out %d, dropped %.2f%%, %.1f items/s, p99 %.1f us, jitter %.3f ms', i, o, (1 - o / i) * 100, o / secs, p99_ns / 1000, std_dev_ns / 1e6) AS text FROM w",
+    "inspected_rows": f"WITH {_R} SELECT 'before' AS place, count(*) FILTER (value < 50) AS passed, count(*) AS rows, min(seq) AS first, max(value) AS most FROM r UNION ALL SELECT 'after', count(*), count(*), min(seq), max(value) FROM r WHERE value < 50",
+    "callback_counts": f"WITH {_R} SELECT event_type, count(*) AS n, max(value) AS most FROM r GROUP BY event_type",
+    "quarantined": "SELECT event_id AS seq, value, coalesce(NOT isnan(value) AND value BETWEEN 20 AND 60, false) AS good FROM events",
 }

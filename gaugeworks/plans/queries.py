@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks import schema
@@ -601,3 +601,57 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ema over a stream, its state in the state store."""
     rows = _as_stream(spark, in_range(spark, sf_dir).select("sensor_id", "seq", "timestamp_ns", "value", "event_type")).filter("seq >= 0").select("sensor_id", "seq", "value")
     return _drained(engine.streamed(rows, ("sensor_id",), ("seq",), folds.Ema(("value",), {"ema": "double"}, ALPHA)))
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_range(spark, sf_dir).withColumn("event_time", clock.event_time(F.col("timestamp_ns")))
+
+
+def _bounds(window: str) -> list[Column]:
+    return [F.unix_micros(f"{window}.{end}").alias(f"{end}_us") for end in ("start", "end")]
+
+
+@query
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each type of event, sliding by half a day."""
+    got = engine.windowed(_timed(spark, sf_dir), "event_time", "1 hour", "1 day", "12 hours", ("event_type",), n=F.count(F.lit(1)), most=F.max("value"))
+    return got.select("event_type", *_bounds("window"), "n", "most")
+
+
+@query
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a sensor: readings less than a day apart."""
+    got = engine.sessions(_timed(spark, sf_dir), "event_time", "1 hour", "1 day", ("sensor_id",), n=F.count(F.lit(1)), least=F.min("value"))
+    return got.select("sensor_id", *_bounds("session_window"), "n", "least")
+
+
+@query
+def snapshot_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir).select(export.summary_line().alias("text"))
+
+
+@query
+def inspected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two inspections of a pipeline have seen, told once its result is counted."""
+    seen = [Observation(name) for name in ("before", "after")]
+    sums = (F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first"), F.max("value").alias("most"))
+    chain = core.Pipeline().inspect(seen[0], *sums).filter(F.col("value") < 50).inspect(seen[1], *sums)
+    passed = chain(in_range(spark, sf_dir).select("seq", "value")).count()
+    return spark.createDataFrame([(o, passed, *(s.get[c] for c in ("rows", "first", "most"))) for o, s in zip(("before", "after"), seen, strict=True)], "place string, passed long, rows long, first long, most double")
+
+
+@query
+def callback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callback for each micro-batch adds up its rows by type; a batch that runs again replaces its own."""
+    rows = _as_stream(spark, in_range(spark, sf_dir).select("seq", "timestamp_ns", "value", "event_type")).filter("seq >= 0")
+    path = shared_path(spark, "callback")
+    sink = letters.batches(path, lambda df: df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most")))
+    engine.callback(rows, sink, checkpointLocation=shared_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return letters.read(spark, path).groupBy("event_type").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+
+
+@query
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and bad readings apart; null and NaN are not good."""
+    good, bad = errors.quarantine(schema.readings(spark, sf_dir).select("seq", "value"), ~F.isnan("value") & F.col("value").between(20, 60))
+    return good.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False)))
