@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.storage import materialize, shared_path  # noqa: F401
+from gaugeworks.storage import for_workers, materialize, shared_path  # noqa: F401
 
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 4 << 20

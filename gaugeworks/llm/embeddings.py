@@ -11,7 +11,7 @@ Lists grow with the table, one for LIST_ROWS vectors up to MAX_LISTS; beyond FLA
 quantiser has two levels, the second fitted on the executors for each part of the first, and
 a vector probes the nearest lists of its nearest parts. The index is fitted on rows drawn by
 hash, about SAMPLE_PER_LIST for a list of the first level (MAX_SAMPLE at most) and PART_SAMPLE
-for a list of the second (MOST_OF_PART at most for a part's lists); all rows are indexed. What is broadcast is at most MAX_LISTS centres.
+for a list of the second (MOST_OF_PART at most for a part's lists); all rows are indexed. What is broadcast is at most MAX_LISTS centres and CENTRE_BYTES of them.
 
 Lists meet their queries in cells of about BLOCK x BLOCK vectors, so a hot list is many
 tasks. A cell returns counts and a spanning forest of its links, never pairs.
@@ -38,6 +38,8 @@ PROBES = 16
 LIST_ROWS = 128
 #: Lists in all, and those of a quantiser of one level.
 MAX_LISTS, FLAT = 1 << 18, 1024
+#: Bytes of all centres at most, as they are broadcast: MAX_LISTS of 64 dimensions.
+CENTRE_BYTES = 64 << 20
 SAMPLE_PER_LIST = 40
 MAX_SAMPLE = 65_536
 #: Rows for each list that the second level is fitted on, and those of a part at most.
@@ -187,7 +189,7 @@ def search(reps: DataFrame, dim: int, cosine: float = COSINE, probes: int = PROB
     """
     spark = reps.sparkSession
     total = reps.count()
-    lists = lists or int(min(max(total // LIST_ROWS, 16), MAX_LISTS))
+    lists = lists or int(min(max(total // LIST_ROWS, 16), MAX_LISTS, max(16, CENTRE_BYTES // (4 * dim))))
     index = fit(reps, dim, total, lists)
     if index is None:
         return spark.createDataFrame([], "rid long, n long, other long")

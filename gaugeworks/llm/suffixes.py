@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._common import as_bytes, materialize, shared_path
+from gaugeworks.llm._common import as_bytes, for_workers, materialize, shared_path
 
 LENGTH = 50
 K = 25
@@ -211,7 +211,7 @@ def unpack(blob: bytes, n: int) -> list[np.ndarray]:
 
 def store(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """Packs (doc_id, text) into chunk files; returns the materialised list (chunk, path, bytes)."""
-    folder = shared_path(docs.sparkSession, "suffix-chunks")
+    folder = for_workers(shared_path(docs.sparkSession, "suffix-chunks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)

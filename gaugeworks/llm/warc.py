@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm._common import materialize, shared_path
+from gaugeworks.llm._common import for_workers, materialize, shared_path
 
 REVISIT_BYTES = 1000
 CHUNK = 1 << 20
@@ -232,8 +232,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """Writes the pages to monolithic archives, normalises those, drops them, and returns the list of files."""
     spark = pages.sparkSession
-    whole = shared_path(spark, "warc-monolithic")
-    manifest = normalise(write_monolithic(record_types(pages), whole), shared_path(spark, "warc"))
+    whole = for_workers(shared_path(spark, "warc-monolithic"))
+    manifest = normalise(write_monolithic(record_types(pages), whole), for_workers(shared_path(spark, "warc")))
     fs, root = pafs.FileSystem.from_uri(whole)
     if fs.get_file_info(root).type != pafs.FileType.NotFound:
         fs.delete_dir(root)
