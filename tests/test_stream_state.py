@@ -37,6 +37,10 @@ def stream(spark, folder, schema=SCHEMA):
 def rocksdb(spark):
     for k, v in engine.ROCKSDB.items():
         spark.conf.set(k, v)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # each is a state store
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def odd_rows():
@@ -46,11 +50,8 @@ def odd_rows():
 
 FOLDS = {
     "ema": folds.Ema(("value",), {"y": "double"}, 0.5),
-    "high_pass": folds.HighPass.of("value", "y", 10, 100),
     "kalman": folds.Kalman(("value",), {"x": "double", "p": "double"}),
-    "bucket": admission.TokenBucket(("timestamp_ns",), {"accepted": "boolean", "tokens": "double"}, 2, 0.7, 1),
     "bucket_of_nulls": admission.TokenBucket(("note",), {"accepted": "boolean", "tokens": "double"}, 2, 0.7, 1),
-    "controller": admission.Controller.of("value", hysteresis=1),
     "sync": fusion.ArrivalSync(("control", "timestamp_ns", "note"), {"t": "long", "s": "long", "d": "long"}, SECOND, 4),
     "last_rows": engine.LastRows(("value",), {"average": "double", "median": "double"}, 5),
     "sliding": sliding.SlidingMedian(("value",), {"median": "double"}, 5),
