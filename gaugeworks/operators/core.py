@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.percentiles import PERCENTILES, Sums, bucket_of, histogram, moments
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -91,19 +93,41 @@ class Pipeline:
             df = stage(df)
         return df
 
-    def measured(self, df: DataFrame) -> tuple[DataFrame, Callable[[], list[dict]]]:
-        """The result, and a function that gives each stage's row counts once an action has run."""
-        seen = [Observation()]
-        df = df.observe(seen[0], F.count(F.lit(1)).alias("rows"))
-        for stage in self.stages:
-            seen.append(Observation())
-            df = stage(df).observe(seen[-1], F.count(F.lit(1)).alias("rows"))
+    def measured(self, df: DataFrame, latency: Column | None = None) -> tuple[DataFrame, Callable[[], list[dict]]]:
+        """The result, and a function that tells each stage's counts and rates once an action has run.
 
-        def counts() -> list[dict]:
-            rows = [o.get["rows"] for o in seen]
-            return [{"name": s.name, "input_count": a, "output_count": b, "filtered_count": max(a - b, 0)} for s, a, b in zip(self.stages, rows, rows[1:], strict=False)]
+        latency: nanoseconds of a row, by columns that every stage keeps; the rows that leave a
+        stage then also give their total, mean, least, most, deviation and bucket percentiles.
+        """
+        seen: list[Observation] = []
 
-        return df, counts
+        def observed(rows: DataFrame) -> DataFrame:
+            seen.append(Observation())
+            count = F.count(F.lit(1)).alias("rows")
+            if latency is None:
+                return rows.observe(seen[-1], count)
+            wide = rows.withColumn("_latency", latency).withColumn("_bucket", bucket_of(F.col("_latency")))
+            return wide.observe(seen[-1], count, F.lit(0).alias("errors"), histogram("_bucket").alias("histogram"), moments("_latency").alias("moments")).drop("_latency", "_bucket")
+
+        df = observed(df)
+        for stage in self.stages:
+            df = observed(stage(df))
+
+        def told() -> list[dict]:
+            found = [o.get for o in seen]
+            out = []
+            for stage, before, after in zip(self.stages, found, found[1:], strict=False):
+                a, b = before["rows"], after["rows"]
+                row = {"name": stage.name, "input_count": a, "output_count": b, "filtered_count": max(a - b, 0), "throughput_ratio": b / a if a else 0.0, "filter_rate": max(a - b, 0) / a if a else 0.0}
+                if latency is not None:
+                    sums = Sums()
+                    sums.add(after)
+                    n, mean, least, most, *ranks = sums.latency()
+                    row |= {"total_ns": round(n * mean), "mean_ns": mean, "min_ns": least, "max_ns": most, **dict(zip(PERCENTILES, ranks, strict=True)), "std_dev_ns": sums.jitter()[3]}
+                out.append(row)
+            return out
+
+        return df, told
 
 
 @dataclass(frozen=True)

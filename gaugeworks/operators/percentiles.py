@@ -10,6 +10,8 @@ partitions or files, in any order.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
 
@@ -24,9 +26,9 @@ BUCKETS = 64
 
 
 def bucket_of(value: Column) -> Column:
-    """Number of the 64 logarithmic buckets that compatible histograms use."""
+    """Number of the 64 logarithmic buckets that compatible histograms use; null has none."""
     log2 = F.length(F.bin(F.greatest(value, F.lit(1)).cast("long"))) - 1
-    return F.least(F.floor(log2 * 10 / 3), F.lit(BUCKETS - 1)).cast("int")
+    return F.when(value.isNotNull(), F.least(F.floor(log2 * 10 / 3), F.lit(BUCKETS - 1)).cast("int"))
 
 
 def bucket_value(bucket: Column) -> Column:
@@ -77,10 +79,9 @@ def _ranked(counted: DataFrame, stream: Stream) -> DataFrame:
     return through.join(whole, reduce(lambda a, b: a & b, same)).select(*through.columns, "_all")
 
 
-def histogram(column: str) -> Column:
-    """Aggregate: counts by bucket."""
-    bucket = bucket_of(F.col(column))
-    return F.array(*(F.count_if(F.col(column).isNotNull() & (bucket == i)) for i in range(BUCKETS)))
+def histogram(bucket: str) -> Column:
+    """Aggregate: counts by bucket, from a column of bucket numbers, so each is found once a row; nulls are in none."""
+    return F.array(*(F.count_if(F.col(bucket) == i) for i in range(BUCKETS)))
 
 
 def moments(column: str) -> Column:
@@ -91,7 +92,7 @@ def moments(column: str) -> Column:
 
 def states(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The keys, `histogram` and `moments`; for streams too, in complete or update mode or by foreachBatch."""
-    return df.groupBy(*keys).agg(histogram(column).alias("histogram"), moments(column).alias("moments"))
+    return df.withColumn("_bucket", bucket_of(F.col(column))).groupBy(*keys).agg(histogram("_bucket").alias("histogram"), moments(column).alias("moments"))
 
 
 def merged(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -122,3 +123,48 @@ def told(rows: DataFrame) -> DataFrame:
     variance = F.when(m["n"] > 1, m["m2"] / (m["n"] - 1)).otherwise(F.lit(0.0))
     columns = {"count": m["n"], "mean": F.coalesce(m["mean"], F.lit(0.0)), "least": m["least"], "most": m["most"], "variance": variance, "std_dev": F.sqrt(variance)}
     return rows.withColumns(columns | {name: bucket_percentile(F.col("histogram"), share) for name, share in PERCENTILES.items()}).drop("histogram", "moments")
+
+
+@dataclass
+class Sums:
+    """Observed states of one place of a pipeline, added up: rows, errors, histogram and moments."""
+
+    rows: int = 0
+    errors: int = 0
+    histogram: list[int] = field(default_factory=lambda: [0] * BUCKETS)
+    n: int = 0
+    mean: float = 0.0
+    m2: float = 0.0
+    least: float | None = None
+    most: float | None = None
+
+    def add(self, seen) -> None:  # noqa: ANN001
+        """A row or mapping of `rows`, `errors`, `histogram` and `moments`."""
+        self.rows += seen["rows"]
+        self.errors += seen["errors"]
+        self.histogram = [a + b for a, b in zip(self.histogram, seen["histogram"], strict=True)]
+        m = seen["moments"]
+        if m["n"]:
+            n, apart = self.n + m["n"], m["mean"] - self.mean
+            self.m2 += m["m2"] + apart * apart * self.n * m["n"] / n
+            self.mean += apart * m["n"] / n
+            self.n = n
+            self.least = m["least"] if self.least is None else min(self.least, m["least"])
+            self.most = m["most"] if self.most is None else max(self.most, m["most"])
+
+    def percentile(self, share: float) -> int:
+        rank, through = max(1, math.ceil(self.n * share - 1e-9)), 0
+        for i, count in enumerate(self.histogram):
+            through += count
+            if self.n and through >= rank:
+                return 1 << (i * 3 // 10)
+        return 0
+
+    def latency(self) -> tuple:
+        whole = lambda x: None if x is None else int(x)
+        return (self.n, self.mean, whole(self.least), whole(self.most), *(self.percentile(p) for p in PERCENTILES.values()))
+
+    def jitter(self) -> tuple:
+        variance = self.m2 / (self.n - 1) if self.n > 1 else 0.0
+        least, most = self.latency()[2:4]
+        return self.n, self.mean, variance, math.sqrt(variance), least, most, None if least is None else most - least

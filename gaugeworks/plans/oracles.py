@@ -236,4 +236,10 @@ ORACLES: dict[str, str] = {
     "inspected_rows": f"WITH {_R} SELECT 'before' AS place, count(*) FILTER (value < 50) AS passed, count(*) AS rows, min(seq) AS first, max(value) AS most FROM r UNION ALL SELECT 'after', count(*), count(*), min(seq), max(value) FROM r WHERE value < 50",
     "callback_counts": f"WITH {_R} SELECT event_type, count(*) AS n, max(value) AS most FROM r GROUP BY event_type",
     "quarantined": "SELECT event_id AS seq, value, coalesce(NOT isnan(value) AND value BETWEEN 20 AND 60, false) AS good FROM events",
+    "stage_latencies": f"""WITH {_LAT}, s AS (SELECT 0 AS stage, 'filter' AS name, latency_ns FROM l WHERE value > 0 UNION ALL SELECT 1, 'map', latency_ns FROM l WHERE value > 0 UNION ALL SELECT 2, 'filter', latency_ns FROM l WHERE value > 0 AND value * 2 < 60),
+        b AS (SELECT stage, least((length(ltrim(bin(greatest(latency_ns, 1)), '0')) - 1) * 10 // 3, 63)::INTEGER AS bucket, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT stage, bucket, sum(n) OVER (PARTITION BY stage ORDER BY bucket) AS through, sum(n) OVER (PARTITION BY stage) AS total FROM b),
+        p AS (SELECT stage, {", ".join(f"1::BIGINT << ((min(bucket) FILTER (through >= ceil(total * {q}))) * 3 // 10) AS {c}" for c, q in _SHARES)} FROM t GROUP BY stage),
+        m AS (SELECT stage, name, count(*) AS output_count, sum(latency_ns)::BIGINT AS total_ns, min(latency_ns) AS min_ns, max(latency_ns) AS max_ns, round(stddev_samp(latency_ns), 3) AS std_dev_ns FROM s GROUP BY stage, name),
+        i AS (SELECT *, CASE stage WHEN 0 THEN (SELECT count(*) FROM l) ELSE lag(output_count) OVER (ORDER BY stage) END AS input_count FROM m)
+        SELECT i.*, output_count / input_count AS throughput_ratio, (input_count - output_count) / input_count AS filter_rate, {", ".join(c for c, _ in _SHARES)} FROM i JOIN p USING (stage)""",
 }

@@ -655,3 +655,15 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good and bad readings apart; null and NaN are not good."""
     good, bad = errors.quarantine(schema.readings(spark, sf_dir).select("seq", "value"), ~F.isnan("value") & F.col("value").between(20, 60))
     return good.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False)))
+
+
+@query
+def stage_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, rates and latency of each stage, observed while the rows pass."""
+    chain = core.Pipeline().filter(F.col("value") > 0).map(value=F.col("value") * 2).filter(F.col("value") < 60)
+    out, told = chain.measured(_latencies(spark, sf_dir), F.col("latency_ns"))
+    out.write.format("noop").mode("overwrite").save()
+    columns = ("name", "input_count", "output_count", "throughput_ratio", "filter_rate", "total_ns", "min_ns", "max_ns", *percentiles.PERCENTILES)
+    rows = [(i, *(t[c] for c in columns), round(t["std_dev_ns"], 3)) for i, t in enumerate(told())]
+    kinds_of = ("string", "long", "long", "double", "double", *["long"] * 7)
+    return spark.createDataFrame(rows, ", ".join(["stage long", *(f"{c} {k}" for c, k in zip(columns, kinds_of, strict=True)), "std_dev_ns double"]))

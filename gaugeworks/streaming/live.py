@@ -9,20 +9,18 @@ of logarithmic buckets.
 
 from __future__ import annotations
 
-import math
 import threading
 import time
 from collections import deque
-from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from gaugeworks.operators import export
 from gaugeworks.operators.core import Pipeline
-from gaugeworks.operators.percentiles import BUCKETS, PERCENTILES, histogram, moments
+from gaugeworks.operators.percentiles import Sums, bucket_of, histogram, moments
 
 _LATENCY = "struct<count:bigint,mean_ns:double,min_ns:bigint,max_ns:bigint,p50_ns:bigint,p95_ns:bigint,p99_ns:bigint,p999_ns:bigint>"
 _JITTER = "struct<count:bigint,mean_ns:double,variance:double,std_dev_ns:double,min_ns:bigint,max_ns:bigint,range_ns:bigint>"
@@ -50,8 +48,8 @@ def watched(pipeline: Pipeline, df: DataFrame, name: str, latency: Column | None
     failed = F.coalesce(errors, F.lit(False)) if errors is not None else F.lit(False)
 
     def observed(rows: DataFrame, place: int, stage: str) -> DataFrame:
-        rows = rows.withColumn("_latency", latency)
-        return rows.observe(f"{name}/{place}/{stage}", F.count(F.lit(1)).alias("rows"), F.count_if(failed).alias("errors"), histogram("_latency").alias("histogram"), moments("_latency").alias("moments")).drop("_latency")
+        rows = rows.withColumn("_latency", latency).withColumn("_bucket", bucket_of(F.col("_latency")))
+        return rows.observe(f"{name}/{place}/{stage}", F.count(F.lit(1)).alias("rows"), F.count_if(failed).alias("errors"), histogram("_bucket").alias("histogram"), moments("_latency").alias("moments")).drop("_latency", "_bucket")
 
     df = observed(df, 0, "")
     for i, stage in enumerate(pipeline.stages, 1):
@@ -59,50 +57,6 @@ def watched(pipeline: Pipeline, df: DataFrame, name: str, latency: Column | None
     return df
 
 
-@dataclass
-class Sums:
-    """What one place of a pipeline has observed so far."""
-
-    rows: int = 0
-    errors: int = 0
-    histogram: list[int] = field(default_factory=lambda: [0] * BUCKETS)
-    n: int = 0
-    mean: float = 0.0
-    m2: float = 0.0
-    least: float | None = None
-    most: float | None = None
-
-    def add(self, seen: Row) -> None:
-        self.rows += seen["rows"]
-        self.errors += seen["errors"]
-        self.histogram = [a + b for a, b in zip(self.histogram, seen["histogram"], strict=True)]
-        m = seen["moments"]
-        if m["n"]:
-            n, apart = self.n + m["n"], m["mean"] - self.mean
-            self.m2 += m["m2"] + apart * apart * self.n * m["n"] / n
-            self.mean += apart * m["n"] / n
-            self.n = n
-            self.least = m["least"] if self.least is None else min(self.least, m["least"])
-            self.most = m["most"] if self.most is None else max(self.most, m["most"])
-
-    def percentile(self, share: float) -> int:
-        rank, through = max(1, math.ceil(self.n * share - 1e-9)), 0
-        for i, count in enumerate(self.histogram):
-            through += count
-            if self.n and through >= rank:
-                return 1 << (i * 3 // 10)
-        return 0
-
-    def latency(self) -> tuple:
-        whole = lambda x: None if x is None else int(x)
-        return (self.n, self.mean, whole(self.least), whole(self.most), *(self.percentile(p) for p in PERCENTILES.values()))
-
-    def jitter(self) -> tuple:
-        variance = self.m2 / (self.n - 1) if self.n > 1 else 0.0
-        least, most = self.latency()[2:4]
-        return self.n, self.mean, variance, math.sqrt(variance), least, most, None if least is None else most - least
-
-
 def _share(part: float, whole: float) -> float:
     return part / whole if whole else 0.0
 

@@ -70,7 +70,7 @@ def test_a_batch_counts_once(spark, folder):
     class Report:
         runId, batchId, id, name, numInputRows, timestamp = "r", 0, "q", None, 5, "2026-01-01T00:00:00.000Z"
         durationMs = {"triggerExecution": 100}
-        observedMetrics = {f"w/{i}/{s}": spark.createDataFrame([(i, 100 + i) for i in range(5 - i)], "seq long, v long").agg(F.count(F.lit(1)).alias("rows"), F.lit(0).alias("errors"), live.histogram("v").alias("histogram"), live.moments("v").alias("moments")).first() for i, s in enumerate(["", "a/b"])}
+        observedMetrics = {f"w/{i}/{s}": spark.createDataFrame([(i, 100 + i) for i in range(5 - i)], "seq long, v long").withColumn("b", live.bucket_of(F.col("v"))).agg(F.count(F.lit(1)).alias("rows"), F.lit(0).alias("errors"), live.histogram("b").alias("histogram"), live.moments("v").alias("moments")).first() for i, s in enumerate(["", "a/b"])}
 
     recorder = live.Recorder("w")
     recorder.take(Report)
