@@ -73,10 +73,12 @@ def _ranked(counted: DataFrame, stream: Stream) -> DataFrame:
     through = running(counted, stream, _through=("sum", F.col("_n")))
     if not stream.spread:
         return through.withColumn("_all", F.sum("_n").over(Window.partitionBy(*stream.keys)))
-    # Of a spread key the total is at its greatest value: a row for each key.
-    whole = counted.groupBy(*(F.col(k).alias(f"_of{k}") for k in stream.keys), *([] if stream.keys else [F.lit(0).alias("_of")])).agg(F.sum("_n").alias("_all"))
-    same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in stream.keys] or [F.lit(0) + F.col("_n") * 0 == F.col("_of")]
-    return through.join(whole, reduce(lambda a, b: a & b, same)).select(*through.columns, "_all")
+    # The blocks are written, so the rows of a whole key are read off them: those up to its greatest value.
+    if not stream.keys:
+        return through.withColumn("_all", F.lit(through.agg(F.max("_through")).first()[0] or 0).cast("long"))
+    whole = through.groupBy(*(F.col(k).alias(f"_of{k}") for k in stream.keys)).agg(F.max("_through").alias("_all"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in stream.keys))
+    return through.join(whole, same).select(*through.columns, "_all")
 
 
 def histogram(bucket: str) -> Column:
