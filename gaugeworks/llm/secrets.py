@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from gaugeworks.llm._common import as_bytes, clear_of
 
 KINDS = ("assign", "access", "hex", "login", "bare", "endpoint")
-#: Code points between linked parts at most; None: the scope alone bounds them.
-REACH: int | None = None
+#: Code points between linked parts: a few lines of a settings file, not a page of prose. None: the scope alone
+#: bounds them. On the test data either finds the same spans (README).
+REACH: int | None = 200
 #: Digits of a bare token of letters of one case.
 LEAST_DIGITS = 4
 MASK = "[SECRET]"
