@@ -13,8 +13,14 @@ a vector probes the nearest lists of its nearest parts. The index is fitted on r
 hash, about SAMPLE_PER_LIST for a list of the first level (MAX_SAMPLE at most) and PART_SAMPLE
 for a list of the second (MOST_OF_PART at most for a part's lists); all rows are indexed. What is broadcast is at most MAX_LISTS centres and CENTRE_BYTES of them.
 
-Lists meet their queries in cells of about BLOCK x BLOCK vectors, so a hot list is many
-tasks. A cell returns counts and a spanning forest of its links, never pairs.
+Without a number of probes the search is whole at any cosine: a vector is sent to all lists
+whose ball, the centre and the distance of the furthest vector, comes near enough, and of two
+lists it is sent from the first to the second only. Lists have about WHOLE_ROWS vectors then.
+At low cosines all balls are near, and the work is that of all pairs, in cells of bounded size.
+
+Lists meet their queries in cells of about BLOCK x BLOCK vectors (WHOLE_ROWS squared in a whole
+search), so a hot list is many tasks. A cell returns counts and a spanning forest of its links,
+never pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
 nor do vectors of different lengths. Components are compared as doubles. Repeated rows are
@@ -49,6 +55,10 @@ PARTS = 12
 SUBSPACES = 8
 CODES = 64
 BLOCK = 1024
+#: Vectors of a list, and of a side of a cell, in a whole search.
+WHOLE_ROWS = 4096
+#: Where more than one of so many pairs passes the codes, cosines are computed for a whole strip.
+DENSE = 16
 _EPS = 1e-6
 
 
@@ -182,14 +192,17 @@ def fit(reps: DataFrame, dim: int, total: int, lists: int) -> Index | None:
     return Index(points, below[order], part_of[order], centres)
 
 
-def search(reps: DataFrame, dim: int, cosine: float = COSINE, probes: int = PROBES, lists: int | None = None) -> DataFrame:
+def search(reps: DataFrame, dim: int, cosine: float = COSINE, probes: int | None = PROBES, lists: int | None = None) -> DataFrame:
     """(rid, n, other) for representatives (rid, embedding, mult) of one length.
 
     Rows with n: so many other rows link with rid, of one cell. Rows with other: a link.
     """
     spark = reps.sparkSession
     total = reps.count()
-    lists = lists or int(min(max(total // LIST_ROWS, 16), MAX_LISTS, max(16, CENTRE_BYTES // (4 * dim))))
+    whole = probes is None
+    rows, block = (WHOLE_ROWS, WHOLE_ROWS) if whole else (LIST_ROWS, BLOCK)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    lists = lists or int(min(max(total // rows, 16), MAX_LISTS, max(16, CENTRE_BYTES // (4 * dim))))
     index = fit(reps, dim, total, lists)
     if index is None:
         return spark.createDataFrame([], "rid long, n long, other long")
@@ -199,9 +212,11 @@ def search(reps: DataFrame, dim: int, cosine: float = COSINE, probes: int = PROB
         held: Index = shared.value
         for batch in batches:
             x = unit(_vectors(batch.column("embedding"), dim))
-            near = held.probes(x, probes)
+            near = held.probes(x, probes or 1)
             home = near[:, 0]
             codes, error = held.encode(x, home)
+            if whole:
+                near = np.zeros((len(x), 0), dtype=np.int64)  # told by `reached`, when all balls are known
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid"), batch.column("embedding"), batch.column("mult"), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([[i for i in r if i >= 0] for r in near.tolist()], pa.list_(pa.int32()))],
                 ["rid", "embedding", "mult", "home", "codes", "error", "probes"],
@@ -209,13 +224,17 @@ def search(reps: DataFrame, dim: int, cosine: float = COSINE, probes: int = PROB
 
     kind = reps.schema["embedding"].dataType.simpleString()
     coded = materialize(reps.select("rid", "embedding", "mult").mapInArrow(encode, f"rid long, embedding {kind}, mult long, home int, codes binary, error double, probes array<int>"), "pq-codes")
+    if whole:
+        far = coded.select("home", "embedding").mapInArrow(offsets(shared, dim), "home int, off double").groupBy("home").agg(F.max("off").alias("off")).toArrow()  # a row for each list
+        radii = np.full(len(index.centres), -np.inf)
+        radii[far["home"].to_numpy()] = far["off"].to_numpy()
+        coded = coded.mapInArrow(reached(shared, dim, radii, reach), coded.schema)
     sent = coded.select(F.col("rid").alias("qid"), F.col("embedding").alias("vector"), F.col("mult").alias("times"), F.col("home").alias("from"), F.explode("probes").alias("home"))
-    blocks = lambda df, name: df.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+    blocks = lambda df, name: df.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
     sized = F.broadcast(blocks(coded, "nd").join(blocks(sent, "nq"), "home"))  # MAX_LISTS rows of three numbers at most
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    data = coded.join(sized, "home").select("home", own("rid", "nd").alias("db"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "rid", "embedding", "mult", "codes", "error", "probes")
+    data = coded.join(sized, "home").select("home", own("rid", "nd").alias("db"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "rid", "embedding", "mult", "codes", "error", *(() if whole else ("probes",)))
     queries = sent.join(sized, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), own("qid", "nq").alias("qb"), "qid", "vector", "times", "from")
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         rid, n, other = np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -224,18 +243,24 @@ def search(reps: DataFrame, dim: int, cosine: float = COSINE, probes: int = PROB
             d_ids, q_ids = left["rid"].to_numpy(), right["qid"].to_numpy()
             codes = np.frombuffer(b"".join(left["codes"].to_pylist()), dtype=np.uint8).reshape(len(d), -1)
             near = linked(shared.value, left["home"][0].as_py(), d, codes, left["error"].to_numpy(), d_ids, q, q_ids, reach, cosine)
-            # A vector of this list that probes its partner's list counts the pair there, as a query.
-            i, j = np.nonzero(near)
-            lists_of = left["probes"].to_pylist()
-            both = np.full((len(d), max(map(len, lists_of))), -1)
-            for k, x in enumerate(lists_of):
-                both[k, : len(x)] = x
             back, home = np.zeros(len(d), np.int64), right["from"].to_numpy()
-            for at in range(0, len(i), 1 << 18):
-                a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-                one = ~(both[b] == home[a, None]).any(axis=1)
-                np.add.at(back, b[one], right["times"].to_numpy()[a[one]])
-            counted = near @ left["mult"].to_numpy()
+            if whole:
+                # Only one side of a pair from two lists is a query.
+                times = np.where(home == left["home"][0].as_py(), 0, right["times"].to_numpy())
+                for at in range(0, len(q), 256):
+                    back += times[at : at + 256] @ near[at : at + 256]
+            else:
+                # A vector of this list that probes its partner's list counts the pair there, as a query.
+                i, j = np.nonzero(near)
+                lists_of = left["probes"].to_pylist()
+                both = np.full((len(d), max(map(len, lists_of))), -1)
+                for k, x in enumerate(lists_of):
+                    both[k, : len(x)] = x
+                for at in range(0, len(i), 1 << 18):
+                    a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                    one = ~(both[b] == home[a, None]).any(axis=1)
+                    np.add.at(back, b[one], right["times"].to_numpy()[a[one]])
+            counted = np.concatenate([near[at : at + 256] @ left["mult"].to_numpy() for at in range(0, len(q), 256)])
             rid, n = np.concatenate([q_ids[counted > 0], d_ids[back > 0]]), np.concatenate([counted[counted > 0], back[back > 0]])
             other = forest(near, q_ids, d_ids)
         return pa.table(
@@ -250,6 +275,37 @@ def search(reps: DataFrame, dim: int, cosine: float = COSINE, probes: int = PROB
     return data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(cell, "rid long, n long, other long")
 
 
+def offsets(shared, dim: int):  # noqa: ANN001, ANN201
+    """The distance of each vector from its list's centre."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            home = batch.column("home").to_numpy()
+            off = np.sqrt(((unit(_vectors(batch.column("embedding"), dim)) - shared.value.centres[home]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("home"), pa.array(off)], ["home", "off"])
+
+    return run
+
+
+def reached(shared, dim: int, radii: np.ndarray, reach: float):  # noqa: ANN001, ANN201
+    """For each vector its own list and the later ones whose balls may hold a vector within reach."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        centres = shared.value.centres.astype(np.float64)
+        norms = (centres**2).sum(axis=1)
+        for batch in batches:
+            x, home = unit(_vectors(batch.column("embedding"), dim)), batch.column("home").to_numpy()
+            lists: list[list[int]] = []
+            for at in range(0, len(x), 2048):
+                off = np.sqrt(np.maximum(0, 1 + norms - 2 * x[at : at + 2048] @ centres.T))
+                own = home[at : at + 2048, None]
+                to = ((off <= radii + reach + _EPS) & (np.arange(len(radii)) > own)) | (np.arange(len(radii)) == own)
+                lists += [np.flatnonzero(r).tolist() for r in to]
+            yield batch.set_column(batch.schema.get_field_index("probes"), "probes", pa.array(lists, pa.list_(pa.int32())))
+
+    return run
+
+
 def linked(index: Index, home: int, d: np.ndarray, codes: np.ndarray, error: np.ndarray, d_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, reach: float, cosine: float) -> np.ndarray:
     """By query and vector of a list, whether they link."""
     near = np.zeros((len(q), len(d)), dtype=bool)
@@ -257,6 +313,10 @@ def linked(index: Index, home: int, d: np.ndarray, codes: np.ndarray, error: np.
     for at in range(0, len(q), 256):
         part = q[at : at + 256]
         found = (index.distances(part, home, codes) <= limit) & (q_ids[at : at + 256, None] != d_ids)
+        if np.count_nonzero(found) * DENSE > found.size:
+            cosines = part @ d.T
+            near[at : at + 256] = found & (cosines >= cosine + _EPS)
+            found &= np.abs(cosines - cosine) < _EPS  # the same sum decides as below
         i, j = np.nonzero(found)
         for k in range(0, len(i), 32_768):
             a, b = i[k : k + 32_768], j[k : k + 32_768]
@@ -283,8 +343,8 @@ def forest(near: np.ndarray, q_ids: np.ndarray, d_ids: np.ndarray) -> list[tuple
     return edges
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES, lists: int | None = None) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int | None = PROBES, lists: int | None = None) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. Without probes no link is lost."""
     held = vectors.schema["embedding"].dataType.elementType
     wide = F.col("embedding") if isinstance(held, T.FloatType) else F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
     good = vectors.filter(valid()).select("vec_id", wide)

@@ -220,6 +220,46 @@ def test_more_lists_than_probes(spark, monkeypatch, flat):
     assert all((got[i].component_id == got[j].component_id) == (n[i] == 1) for i, j in alone if near[j].sum() == 1)
 
 
+def least_reachable(near):
+    label = np.arange(len(near))
+    while True:
+        new = np.where(near, label, len(near)).min(axis=1, initial=len(near))
+        new = np.minimum(label, new)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def test_near_links_are_whole(spark, tmp_path):
+    """embeddings_near on a table of more lists than op6 probes: as all pairs have it."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(4000, 64)).astype("float32")
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= queries.NEAR_COSINE
+    np.fill_diagonal(near, False)
+    got = sorted(map(tuple, queries.embeddings_near(spark, str(tmp_path)).collect()))
+    assert [r[1] for r in got] == near.sum(axis=1).tolist()
+    assert [r[2] for r in got] == least_reachable(near).tolist()
+
+
+@pytest.mark.parametrize(("cosine", "flat"), [(0.42, True), (0.9, True), (0.9, False)])
+def test_whole_search(spark, monkeypatch, cosine, flat):
+    """Many lists in small cells, copies among them, at cosines where balls of lists are out of reach and where none is."""
+    monkeypatch.setattr(embeddings, "WHOLE_ROWS", 100)
+    if not flat:
+        monkeypatch.setattr(embeddings, "FLAT", 4)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(30, 16))[rng.integers(0, 30, 700)] + rng.choice([0.15, 0.6], size=(700, 1)) * rng.normal(size=(700, 16))
+    v = np.concatenate([v, v[:50], v[:20]])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= cosine
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embeddings.near_duplicates(frame, cosine, probes=None, lists=40).collect()))
+    assert [r[:3] for r in got] == list(zip(range(len(v)), near.sum(axis=1).tolist(), least_reachable(near).tolist(), strict=True))
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert [tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame([(None, None)], "vec_id long, embedding array<float>")).collect()] == [(None, 0, None, True)]
