@@ -56,6 +56,12 @@ def drop_oldest(df: DataFrame, stream: Stream, capacity: int) -> DataFrame:
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= capacity).drop("_rank")
 
 
+#: Rows that a bucket's function takes in one step, at first and at most, and rows taken one by one at most before the next try.
+STRETCH, LONGEST, SINGLES = 16, 1 << 16, 64
+#: Times beyond are taken one by one, as their differences may not fit.
+_FAR = 1 << 62
+
+
 def _saved(*arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, *arrays)
@@ -75,7 +81,9 @@ class TokenBucket(Composable):
     rounding nor the way rows are cut into blocks changes what is accepted. What a run of rows
     does to the tokens is a function of pieces, each the tokens before plus a number, or a number;
     two starts less than a cost apart differ by one accepted row at most, so there are some two
-    pieces for each cost that the capacity holds, however long the run.
+    pieces for each cost that the capacity holds, however long the run. Where no start fills the
+    bucket, n rows that bring d1, d2, ... accept n + min(0, floor((tokens + w) / cost)) in all, w being
+    the least of d1 + ... + dj - j * cost: such stretches are one step, other rows one each.
     """
 
     capacity: float = 100.0
@@ -142,14 +150,76 @@ class TokenBucket(Composable):
         return np.zeros(1, np.int64), np.ones(1, bool), np.zeros(1, np.int64)
 
     def extended(self, function, carried, times):  # noqa: ANN001, ANN201
-        capacity, _, cost, gain = self._units
-        for t in times:
-            if t is not None:
-                if carried is not None and t > carried and gain:
-                    function = self._refilled(function, min(capacity, (t - carried) * gain))
-                carried = t if carried is None or t > carried else carried
-            function = self._charged(function)
-        return function, carried
+        refills, after = self._refills(carried, times)
+        capacity, _, cost, _ = self._units
+        longest = min(LONGEST, (1 << 60) // (capacity + cost))
+        at, size, singles = 0, STRETCH, 1
+        while at < len(refills):
+            if len(function[0]) == 1 and not function[1][0]:
+                # All starts have met: the plain loop.
+                units = int(function[2][0])
+                for more in refills[at:].tolist():
+                    units = min(capacity, units + more)
+                    units -= cost if units >= cost else 0
+                return (*function[:2], np.array([units], np.int64)), after
+            part = refills[at : at + min(size, longest)]
+            function, done = self._stretched(function, part)
+            at += done
+            if done == len(part) > 0:
+                size, singles = min(2 * size, LONGEST), 1
+                continue
+            size = max(STRETCH, done)
+            singles = 1 if done > 8 else min(2 * singles, SINGLES)
+            for more in refills[at : at + singles].tolist():
+                function = self._charged(self._refilled(function, more) if more else function)
+            at += singles
+        return function, after
+
+    def _refills(self, carried, times) -> tuple[np.ndarray, int | None]:  # noqa: ANN001
+        """What each row brings, the capacity at most, and the greatest time after them."""
+        capacity, _, _, gain = self._units
+        known = [t for t in times if t is not None]
+        after = max([*known, *([] if carried is None else [carried])], default=None)
+        if after is None or not gain:
+            return np.zeros(len(times), np.int64), after
+        if after >= _FAR or min([*known, *([] if carried is None else [carried])]) <= -_FAR:
+            refills = []
+            for t in times:
+                refills.append(0 if t is None or carried is None else min(capacity, max(0, t - carried) * gain))
+                carried = carried if t is None else t if carried is None else max(t, carried)
+            return np.array(refills, np.int64), after
+        tops = np.maximum.accumulate(np.array([-_FAR if carried is None else carried, *(-_FAR if t is None else t for t in times)], np.int64))
+        passed = np.where(tops[:-1] == -_FAR, 0, np.diff(tops))
+        if gain >= capacity:
+            return np.where(passed > 0, capacity, 0), after
+        return np.minimum(np.minimum(passed, capacity // gain + 1) * gain, capacity), after
+
+    def _stretched(self, function, refills: np.ndarray):  # noqa: ANN001, ANN202
+        """(function, n) with the first n rows behind it, before which no start fills the bucket."""
+        capacity, _, cost, _ = self._units
+        starts, slopes, added = function
+        ends = np.append(starts[1:], capacity + 1)
+        most = int(np.where(slopes, ends - 1 + added, added).max())
+        net = np.cumsum(refills) - cost * np.arange(len(refills))
+        least = np.minimum(np.minimum.accumulate(net - cost), 0)
+        before = np.append(0, least[:-1])[: len(least)]
+        full = net + np.maximum(most, np.where(before < 0, cost - 1 - before, 0)) > capacity
+        n = int(full.argmax()) if full.any() else len(full)
+        if not n:
+            return function, 0
+        total, w = int(net[n - 1]) - cost, -int(least[n - 1])
+        # Tokens w, w - cost, ... and more accept one row more than those below.
+        low, high = starts + added, ends + added
+        first = np.maximum((w - high) // cost + 1, 0)
+        count = np.where(slopes, np.maximum(-((low - w) // cost) - first, 0), 0)
+        if count.any():
+            piece = np.repeat(np.arange(len(starts)), count)
+            cuts = w - cost * (first[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)) - added[piece]
+            order = np.argsort(np.append(starts, cuts), kind="stable")
+            piece = np.append(np.arange(len(starts)), piece)[order]
+            starts, slopes, added = np.append(starts, cuts)[order], slopes[piece], added[piece]
+        tokens = np.where(slopes, starts + added, added)
+        return self._merged(starts, slopes, added + total - cost * np.minimum((tokens - w) // cost, 0)), n
 
     def _refilled(self, function, more: int):  # noqa: ANN001, ANN202
         capacity = self._units[0]

@@ -20,6 +20,8 @@ from gaugeworks.storage import materialize
 
 #: Rows of a cell of a spread stream.
 CELL = 1 << 16
+#: Rows of a block of a spread stream, about.
+BLOCK_ROWS = 1 << 16
 #: Rows from which a key is hot, and hot keys that are broadcast at most.
 HOT_ROWS, HOT_KEYS = 1 << 22, 1 << 16
 AUTO = "auto"
@@ -95,8 +97,14 @@ def running(df: DataFrame, stream: Stream, **values: tuple[str, Column]) -> Data
 
 
 def blocks(df: DataFrame, stream: Stream) -> DataFrame:
-    """df range-partitioned by keys and order, with the partition's number as `_block`; written, so that it stays so."""
-    return materialize(df.repartitionByRange(*stream.keys, *stream.order).withColumn("_block", F.spark_partition_id()), "blocks")
+    """df range-partitioned by keys and order, with the partition's number as `_block`; written, so that it stays so.
+
+    Rows are counted first: blocks grow in number with the stream, whatever its bytes, and tasks with them. Spark
+    chooses for what one block would hold.
+    """
+    many = -(-df.count() // BLOCK_ROWS)
+    dealt = df.repartitionByRange(*([many] if many > 1 else []), *stream.keys, *stream.order)
+    return materialize(dealt.withColumn("_block", F.spark_partition_id()), "blocks")
 
 
 def numbered(df: DataFrame, stream: Stream, name: str = "n") -> DataFrame:

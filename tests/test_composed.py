@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from dataclasses import replace
 
 import pytest
@@ -54,6 +55,49 @@ def test_bucket_pieces_are_few():
     assert len(function[0]) <= 2 * 100 + 3
 
 
+@pytest.mark.parametrize("fold", BUCKETS, ids=range(len(BUCKETS)))
+@pytest.mark.parametrize("pause", [10**6, 4 * 10**8, 2 * 10**9, 10**13])
+def test_long_bucket_functions(fold, pause):
+    """Stretches longer than any step, at loads that never, seldom and always fill the bucket; times stand still, go back and are missing."""
+    rng = random.Random(pause)
+    t, times = 0, []
+    for i in range(3000):
+        t += rng.randrange(pause) if rng.random() < 0.7 else 0
+        t += 50 * pause if i % 1000 == 900 else 0
+        times.append(None if rng.random() < 0.02 else t - rng.choice([0] * 20 + [pause]))
+    ends_like_the_loop(fold, times, [700, 701, 2400])
+
+
+def test_bucket_functions_of_far_times():
+    """Differences that 64 bits can't hold."""
+    far = (1 << 63) - 1
+    for fold in BUCKETS:
+        ends_like_the_loop(fold, [-far, -far + 5, None, 0, 10**9, far, far, 3] * 5, [3, 17])
+
+
+@pytest.mark.parametrize("bucket", [(3.0, 0.00001, 3.0), (100, 1000, 100), (100, 0.008, 3)], ids=["empty", "full", "filling"])
+def test_bucket_functions_cost_little_more_than_the_loop(bucket):
+    rng, t, took = random.Random(2), 0, {}
+    times = [t := t + rng.randrange(260 * 10**9) for _ in range(20_000)]
+    fold = admission.TokenBucket(("t",), {"accepted": "boolean", "tokens": "double"}, *bucket)
+    for name, f in (("loop", lambda: fold.run(fold.start(), times)), ("function", lambda: fold.extended(fold.identity(), None, times))):
+        began = time.process_time()
+        f()
+        took[name] = time.process_time() - began
+    assert took["function"] < 10 * took["loop"] + 0.2
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_blocks_grow_with_rows(spark, rows, monkeypatch, keys):
+    """However few the bytes; the results stay those of the plain form."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 500)
+    sizes = [r["count"] for r in ordered.blocks(rows, Stream(keys)).groupBy("_block").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 1000
+    for fold in (BUCKETS[1], CONTROLLERS[1]):
+        plain, spread = (folds.folded(rows, Stream(keys, spread=s), fold).collect() for s in (False, True))
+        assert sorted(map(str, spread)) == sorted(map(str, plain))
+
+
 def test_bucket_limits():
     with pytest.raises(ValueError, match="counted"):
         admission.TokenBucket(("t",), {}, 1e12, 1e-7)
