@@ -57,7 +57,7 @@ CODES = 64
 BLOCK = 1024
 #: Vectors of a list, and of a side of a cell, in a whole search.
 WHOLE_ROWS = 4096
-#: Where more than one of so many pairs passes the codes, cosines are computed for a whole strip.
+#: Where more than one of so many pairs passes the codes, or cosines in single precision, the next means takes whole strips.
 DENSE = 16
 _EPS = 1e-6
 
@@ -310,13 +310,21 @@ def linked(index: Index, home: int, d: np.ndarray, codes: np.ndarray, error: np.
     """By query and vector of a list, whether they link."""
     near = np.zeros((len(q), len(d)), dtype=bool)
     limit = (reach + error + _EPS) ** 2
+    # What single precision may be off by, at unit lengths.
+    single, off, dense = d.astype(np.float32), (d.shape[1] + 4) * 2.0**-23, False
     for at in range(0, len(q), 256):
         part = q[at : at + 256]
-        found = (index.distances(part, home, codes) <= limit) & (q_ids[at : at + 256, None] != d_ids)
-        if np.count_nonzero(found) * DENSE > found.size:
-            cosines = part @ d.T
-            near[at : at + 256] = found & (cosines >= cosine + _EPS)
-            found &= np.abs(cosines - cosine) < _EPS  # the same sum decides as below
+        other = q_ids[at : at + 256, None] != d_ids
+        if not dense:
+            found = (index.distances(part, home, codes) <= limit) & other
+            dense = np.count_nonzero(found) * DENSE > found.size
+        if dense:
+            # The codes tell little in this cell; nor do they lose a pair.
+            found = (part.astype(np.float32) @ single.T >= np.float32(cosine - off - 2.0**-22)) & other
+            if np.count_nonzero(found) * DENSE > found.size:
+                cosines = part @ d.T
+                near[at : at + 256] = found & (cosines >= cosine + _EPS)
+                found &= np.abs(cosines - cosine) < _EPS  # the same sum decides as below
         i, j = np.nonzero(found)
         for k in range(0, len(i), 32_768):
             a, b = i[k : k + 32_768], j[k : k + 32_768]
